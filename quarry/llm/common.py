@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one kernel call handles (a longer text is one call).
 SLICE_BYTES = 3 << 20
@@ -157,3 +158,8 @@ def row_of(firsts: np.ndarray) -> np.ndarray:
 def held_out(doc_id="doc_id"):
     """Rows that no model may learn from: crc32 of the id as text divides by 5."""
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+
+
+def schema_of(df: DataFrame, columns: list[str], more: str) -> T.StructType:
+    """The fields of some columns, then those of a DDL string."""
+    return T.StructType([*df.select(*[F.col(f"`{c}`") for c in columns]).schema.fields, *T.StructType.fromDDL(more).fields])

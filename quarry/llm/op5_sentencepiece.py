@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import prepare, slices, table
+from quarry.llm.common import prepare, schema_of, slices, table
 
 SPACE = "▁"
 #: Words whose ids a task keeps; beyond it the table starts anew.
@@ -54,6 +54,7 @@ class PieceModel:
         special = np.array([lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i) for i in range(size)])
         self.unknown = lib.unk_id()
         self.byte_ids = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.byte_set = set(self.byte_ids)
         if not all(lib.is_byte(i) for i in self.byte_ids):
             raise ValueError("the model has no byte fallback")
         ids = {p: i for i, p in enumerate(self.pieces) if not special[i]}
@@ -256,7 +257,7 @@ class PieceModel:
 
     def raw(self, ids: list[int]) -> str:
         """Text of ids with the leading space still there."""
-        if not ids or not self.is_byte[ids].any():
+        if self.byte_set.isdisjoint(ids):
             return "".join([self.text[i] for i in ids])
         out, run = [], bytearray()
         for i in [*ids, -1]:
@@ -295,7 +296,7 @@ def encode(docs: DataFrame, model: str | None = None, keep: list[str] | None = N
     path = model or default_model()
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "decoded")]
     source = docs.select(*{c: 0 for c in [*keep, text]})
-    schema = docs.select(*keep).schema.add("ids", "array<int>").add("decoded", "string")
+    schema = schema_of(docs, keep, "ids array<int>, decoded string")
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +340,7 @@ def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
                     c.append(hashlib.sha256((out[1:] if out.startswith(" ") else out).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(a, pa.int64()), pa.array(b), pa.array(c)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    schema = docs.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    schema = schema_of(docs, ["doc_id"], "n_tokens long, ids_sha256 string, decoded_sha256 string")
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
