@@ -11,9 +11,9 @@ Documents with equal sets become one class first, so groups of exact copies of
 any size cost one row. Within a bucket every class is compared with one centre
 only (a star), which bounds pairs by the number of bucket entries. The centre is
 the member that shares most buckets, by that the best connected one. Where the
-confirmed stars leave a bucket with several components, members of different
-components are compared with each other, so no candidate pair that could join
-two components goes untested. Links are confirmed on full sets.
+confirmed stars leave a bucket with several components, its members are compared
+in blocks, so no candidate pair that could join two components goes untested.
+All links are confirmed on full sets.
 
 Edge cases: null or blank text has the empty set and links with nothing; rows
 that repeat a doc_id are one node each text, joined by that id; extra columns
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import checkpoint, find_words, hash_words, lower_ascii, mix, prepare, rolling, row_of, schema_of, slices, small_side, table
 
 BINS, ROWS = 128, 4
+#: Members of a bucket compared at once, and groups that buckets are dealt into.
+BLOCK, GROUPS = 1500, 1021
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -159,6 +161,65 @@ def confirm(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     return with_a.select("a", "b", "n_a", "n_b", shared.alias("shared")).filter(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b")
 
 
+def within_buckets(placed: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """Confirmed pairs (a, b) of bucket members with different roots.
+
+    A bucket's sets come together once and are compared as blocks of a matrix
+    product, so rows grow with members, not pairs. A bucket of over BLOCK members
+    is cut into chunks that meet pairwise in tasks of their own.
+    """
+    chunks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    mine = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
+    dealt = placed.withColumn("mine", mine).withColumn("cell", F.explode(cells)).select("bucket", "node", "n", "root", "mine", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"))
+    rows = dealt.join(grams, "node").withColumn("g", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(GROUPS)))
+
+    def compare(group: pa.Table) -> pa.Table:
+        bucket, i, j, mine_ = (group.column(c).to_numpy() for c in ("bucket", "i", "j", "mine"))
+        node, root, n = (group.column(c).to_numpy() for c in ("node", "root", "n"))
+        lists = group.column("grams").combine_chunks()
+        if isinstance(lists, pa.ChunkedArray):
+            lists = lists.chunk(0)
+        flat, bounds = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+        order = np.lexsort((mine_, j, i, bucket))
+        fresh = np.concatenate(([True], np.any([x[order][1:] != x[order][:-1] for x in (bucket, i, j)], axis=0)))
+        cut = np.append(np.flatnonzero(fresh), len(order))
+        found = set()
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            own = order[lo:hi]
+            pairs = _alike(flat, bounds, own, n[own].astype(np.float64), root[own], mine_[own], bool(i[own[0]] != j[own[0]]), percent)
+            found.update((min(a, b), max(a, b)) for a, b in zip(node[own[pairs[0]]].tolist(), node[own[pairs[1]]].tolist()))
+        a, b = zip(*sorted(found)) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.select("g", "bucket", "i", "j", "mine", F.col("node").cast("long").alias("node"), "n", F.col("root").cast("long").alias("root"), "grams").groupBy("g").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _alike(flat: np.ndarray, bounds: np.ndarray, own: np.ndarray, n: np.ndarray, root: np.ndarray, mine: np.ndarray, across: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of pairs that share enough, with different roots (and of different chunks)."""
+    size = (bounds[own + 1] - bounds[own]).astype(np.int64)
+    at = np.repeat(bounds[own] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))
+    row = np.repeat(np.arange(len(own)), size)
+    word, back, seen = np.unique(flat[at], return_inverse=True, return_counts=True)
+    useful = seen[back] > 1  # what one member alone holds is in no intersection
+    number = np.cumsum(seen > 1) - 1
+    row, back = row[useful], number[back[useful]]
+    shared = np.zeros((len(own), len(own)), np.float32)
+    step = max(1, (8 << 20) // max(1, len(own)))  # words at once: the matrix stays within 32 MB
+    turn = np.argsort(back, kind="stable")
+    row, back = row[turn], back[turn]
+    for first in range(0, int((seen > 1).sum()), step):
+        lo, hi = np.searchsorted(back, (first, first + step))
+        x = np.zeros((len(own), int(min(step, (seen > 1).sum() - first))), np.float32)
+        x[row[lo:hi], back[lo:hi] - first] = 1
+        shared += x @ x.T
+    union = n[:, None] + n[None, :] - shared
+    good = (100.0 * shared >= percent * union) & (root[:, None] != root[None, :])
+    if across:
+        good &= mine[:, None] != mine[None, :]
+    return np.nonzero(np.triu(good, 1))
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node and root, the smallest node reachable over edges (a, b).
 
@@ -205,15 +266,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: in
     grams = checkpoint(sets(chosen, width, text, key).withColumnRenamed(key, "node").dropDuplicates(["node"]))
     links = checkpoint(confirm(stars, grams, percent))
     roots = checkpoint(components(members, links))
-    # Members of a bucket that the stars left in different components are compared with each other.
+    # Members of a bucket that the stars left in different components are compared within the bucket.
     placed = entries.select("bucket", "node", "n").join(roots, "node")
-    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
-    placed = checkpoint(placed.join(split, "bucket"))
-    side = lambda x: placed.select("bucket", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}"))
-    rest = side("a").join(side("b"), "bucket").filter("a < b AND root_a <> root_b").select("a", "n_a", "b", "n_b")
-    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = checkpoint(fitting(rest, percent).join(seen, ["a", "b"], "left_anti"))
-    more = checkpoint(confirm(rest, grams, percent))
+    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).filter("low <> high").select("bucket", "m")
+    more = checkpoint(within_buckets(placed.join(split, "bucket"), grams, percent))
     if more.limit(1).count():
         roots = checkpoint(components(members, links.union(more)))
     named = classes.select("set_a", "set_b", "n_shingles", "node")
