@@ -74,6 +74,17 @@ def _pack(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def _pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending 32-bit values as differences, byte by byte: the high bytes, mostly 0, compress away."""
+    gaps = np.diff(x, prepend=np.uint32(0)).astype("<u4")
+    return gaps.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpack_sorted(raw: bytes) -> np.ndarray:
+    gaps = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(gaps, dtype=np.uint32)
+
+
 def _in_sorted(values: np.ndarray, table_: np.ndarray) -> np.ndarray:
     if not len(table_):
         return np.zeros(len(values), bool)
@@ -111,14 +122,16 @@ def repeats(docs: DataFrame, window: int = 50, text: str = "text", key: str = "d
             own = order[cut[b] : cut[b + 1]]
             rows["bucket"].append(b)
             rows["g"].append(g)
-            rows["probes"].append(_pack(probes[own].astype(np.uint32)))
-            rows["several"].append(_pack(np.packbits(several[own])))
+            low = probes[own].astype(np.uint32)
+            turn = np.argsort(low, kind="stable")
+            rows["probes"].append(_pack_sorted(low[turn]))
+            rows["several"].append(_pack(np.packbits(several[own][turn])))
             rows["blocks"].append(_pack(blocks[order_b[cut_b[b] : cut_b[b + 1]]].astype(np.uint32)))
         return pa.table(rows, schema=pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("probes", pa.binary()), ("several", pa.binary()), ("blocks", pa.binary())]))
 
     def meet(bucket: pa.Table) -> pa.Table:
         """The anchors of a bucket that are a reference block and stand in more than one place."""
-        probes = [np.frombuffer(x, np.uint32) for x in bucket.column("probes").to_pylist()]
+        probes = [_unpack_sorted(x) for x in bucket.column("probes").to_pylist()]
         several = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(p)] for x, p in zip(bucket.column("several").to_pylist(), probes)]
         blocks = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in bucket.column("blocks").to_pylist()]))
         all_, often = np.concatenate(probes), np.concatenate(several)
@@ -151,7 +164,7 @@ def repeats(docs: DataFrame, window: int = 50, text: str = "text", key: str = "d
         return inside[near[inside]]
 
     def passages(group: pa.Table, live: pa.Table) -> pa.Table:
-        rows = {"bucket": [], "g": [], "a": [], "b": [], "owner": []}
+        rows = {"bucket": [], "g": [], "a": [], "b": [], "owner": [], "several": []}
         if group.num_rows and live.num_rows:
             g, keys = group.column("g")[0].as_py(), _keys(group)
             _, _, words, firsts = _words(group)
@@ -161,13 +174,15 @@ def repeats(docs: DataFrame, window: int = 50, text: str = "text", key: str = "d
             order = np.lexsort((key_, b, a))  # the smallest key of a passage first
             a, b, key_ = a[order], b[order], key_[order]
             fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
+            first = np.flatnonzero(fresh)
+            several = (np.diff(np.append(first, len(a))) > 1).astype(np.uint8)
             a, b, key_ = a[fresh], b[fresh], key_[fresh]
             order, cut = _cut(a, groups)
             for k in np.flatnonzero(np.diff(cut)).tolist():
                 own = order[cut[k] : cut[k + 1]]
-                for name, x in (("bucket", k), ("g", g), ("a", _pack(a[own])), ("b", _pack(b[own])), ("owner", _pack(key_[own]))):
+                for name, x in (("bucket", k), ("g", g), ("a", _pack(a[own])), ("b", _pack(b[own])), ("owner", _pack(key_[own])), ("several", _pack(several[own]))):
                     rows[name].append(x)
-        return pa.table(rows, schema=pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("owner", pa.binary())]))
+        return pa.table(rows, schema=pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("owner", pa.binary()), ("several", pa.binary())]))
 
     def owners(bucket: pa.Table) -> pa.Table:
         """To each group, the passages whose smallest holder isn't the group's own smallest, or that it holds more than once."""
@@ -178,24 +193,27 @@ def repeats(docs: DataFrame, window: int = 50, text: str = "text", key: str = "d
         first = np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))
         lowest = np.empty(len(a), np.int64)
         lowest[order] = owner[order][np.flatnonzero(first)][np.cumsum(first) - 1]
-        rows = {"g": [], "a": [], "b": [], "owner": []}
+        several = np.concatenate([np.frombuffer(x, np.uint8) for x in bucket.column("several").to_pylist()])
+        useful = (lowest < owner) | (several > 0)
+        name = mix(a) ^ b
+        rows = {"g": [], "name": [], "owner": []}
         cut = np.searchsorted(part, np.arange(bucket.num_rows + 1))
         for k, g in enumerate(bucket.column("g").to_pylist()):
-            own = slice(cut[k], cut[k + 1])
-            for name, x in (("g", g), ("a", _pack(a[own])), ("b", _pack(b[own])), ("owner", _pack(lowest[own]))):
-                rows[name].append(x)
-        return pa.table(rows, schema=pa.schema([("g", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("owner", pa.binary())]))
+            own = np.flatnonzero(useful[cut[k] : cut[k + 1]]) + cut[k]
+            if len(own):
+                for column, x in (("g", g), ("name", _pack(name[own])), ("owner", _pack(lowest[own]))):
+                    rows[column].append(x)
+        return pa.table(rows, schema=pa.schema([("g", pa.int32()), ("name", pa.binary()), ("owner", pa.binary())]))
 
     def remove(group: pa.Table, owned: pa.Table) -> pa.Table:
         data, offsets, words, firsts = _words(group)
         keys = _keys(group)
         gone = np.zeros(len(words) + 1, np.int64)
         if owned.num_rows and len(words) >= window:
-            a = np.concatenate([np.frombuffer(x, np.uint64) for x in owned.column("a").to_pylist()])
-            b = np.concatenate([np.frombuffer(x, np.uint64) for x in owned.column("b").to_pylist()])
+            name = np.concatenate([np.frombuffer(x, np.uint64) for x in owned.column("name").to_pylist()])
             owner = np.concatenate([np.frombuffer(x, np.int64) for x in owned.column("owner").to_pylist()])
-            order = np.argsort(mix(a) ^ b)
-            name, owner = (mix(a) ^ b)[order], owner[order]
+            order = np.argsort(name)
+            name, owner = name[order], owner[order]
             at = _inside(firsts, window)
             wa, wb = _pair_hash(words, at, window)
             mine = mix(wa) ^ wb
@@ -219,8 +237,8 @@ def repeats(docs: DataFrame, window: int = 50, text: str = "text", key: str = "d
 
     by_g = dealt.groupBy("g")
     live = by_g.applyInArrow(anchors, "bucket int, g int, probes binary, several binary, blocks binary").groupBy("bucket").applyInArrow(meet, "g int, bucket int, live binary")
-    held = by_g.cogroup(live.groupBy("g")).applyInArrow(passages, "bucket int, g int, a binary, b binary, owner binary")
-    owned = held.groupBy("bucket").applyInArrow(owners, "g int, a binary, b binary, owner binary")
+    held = by_g.cogroup(live.groupBy("g")).applyInArrow(passages, "bucket int, g int, a binary, b binary, owner binary, several binary")
+    owned = held.groupBy("bucket").applyInArrow(owners, "g int, name binary, owner binary")
     out = by_g.cogroup(owned.groupBy("g")).applyInArrow(remove, "key long, n_words long, n_removed long, kept string, removed array<struct<start:long,end:long>>")
     return out.withColumnRenamed("key", key)
 
