@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one kernel call handles (a longer text is one call).
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
+#: Python workers outlive their tasks: freed arrays must go back to the system, not stay with the worker.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(2 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: A side is broadcast only when its measured size stays below this.
 BROADCAST_BYTES = 16 << 20
 
@@ -37,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package and give checkpoints a folder.
+    """Let Python workers import this package and free memory, and give checkpoints a folder.
 
     The checkpoint folder is the one the session names; only where none is set
     (a local test) a local one is used.
@@ -47,6 +49,8 @@ def prepare(spark: SparkSession) -> None:
     paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    for name, value in WORKER_MEMORY.items():
+        sc.environment.setdefault(name, value)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
 
