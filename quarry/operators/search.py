@@ -10,6 +10,7 @@ from __future__ import annotations
 import itertools
 import math
 import time
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from typing import Any
 
@@ -109,10 +110,10 @@ class Search:
         began, self.results = time.time(), []
         width = max(1, spark.sparkContext.defaultParallelism)
 
-        def work(task: pd.DataFrame) -> pd.DataFrame:
+        def work(tasks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x, y, fold = shared.value
             out = []
-            for c, k in zip(task["candidate"], task["fold"]):
+            for c, k in ((c, k) for task in tasks for c, k in zip(task["candidate"], task["fold"])):
                 t, score, error = time.time(), float("nan"), None
                 try:
                     on = fold != k
@@ -122,15 +123,16 @@ class Search:
                 except Exception as e:  # the candidate's score is missing, the search goes on
                     error = f"{type(e).__name__}: {e}"
                 out.append((c, k, score, time.time() - t, error))
-            return pd.DataFrame(out, columns=["candidate", "fold", "score", "seconds", "error"])
+            yield pd.DataFrame(out, columns=["candidate", "fold", "score", "seconds", "error"])
 
         batch = width if self.time_budget is not None else len(todo)
         for first in range(0, len(todo), batch):
             if self.time_budget is not None and time.time() - began > self.time_budget:
                 break
-            rows = [(c, k) for c in range(first, min(first + batch, len(todo))) for k in range(self.cv)]
-            tasks = spark.createDataFrame(rows, "candidate int, fold int")
-            got = tasks.groupBy("candidate", "fold").applyInPandas(work, "candidate int, fold int, score double, seconds double, error string").collect()
+            low, high = first * self.cv, min(first + batch, len(todo)) * self.cv
+            # A partition for each pair: a shuffle of so few rows would be coalesced into one task.
+            tasks = spark.range(low, high, 1, high - low).selectExpr(f"cast(id div {self.cv} as int) AS candidate", f"cast(id % {self.cv} as int) AS fold")
+            got = tasks.mapInPandas(work, "candidate int, fold int, score double, seconds double, error string").collect()
             for c in range(first, min(first + batch, len(todo))):
                 own = sorted((r for r in got if r["candidate"] == c), key=lambda r: r["fold"])
                 scores = [float("nan") if r["score"] is None else r["score"] for r in own]
