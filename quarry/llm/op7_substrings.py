@@ -25,17 +25,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import find_words, hash_words, mix, prepare, rolling, table, text_bytes
+from quarry.llm.common import find_words, hash_words, mix, prepare, rolling, slices, table
 
 #: Characters of text in a group, and the least number of groups.
 GROUP_CHARS, MIN_GROUPS = 8 << 20, 64
 NEVER = np.int64(0x7FFFFFFFFFFFFFFF)
 
 
-def _words(group: pa.Table):
-    data, offsets = text_bytes(group.column("text"))
-    starts, ends, firsts = find_words(data, offsets)
-    return data, offsets, hash_words(data, starts, ends), firsts
+def _words(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes and the first word of each row; arrays as long as the text are only made for a slice."""
+    hashes, firsts, n = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    for _, data, offsets in slices(group):
+        starts, ends, first = find_words(data, offsets)
+        hashes.append(hash_words(data, starts, ends))
+        firsts.append(first[1:] + n)
+        n += len(starts)
+    return np.concatenate(hashes), np.concatenate(firsts)
 
 
 def _keys(group: pa.Table) -> np.ndarray:
@@ -107,7 +112,7 @@ def repeats(docs: DataFrame, window: int = 50, text: str = "text", key: str = "d
 
     def anchors(group: pa.Table) -> pa.Table:
         g = group.column("g")[0].as_py()
-        _, _, words, firsts = _words(group)
+        words, firsts = _words(group)
         hashes, _, reference = _anchors(words, firsts, window)
         blocks = np.unique(hashes[reference])
         hashes.sort()
@@ -167,7 +172,7 @@ def repeats(docs: DataFrame, window: int = 50, text: str = "text", key: str = "d
         rows = {"bucket": [], "g": [], "a": [], "b": [], "owner": [], "several": []}
         if group.num_rows and live.num_rows:
             g, keys = group.column("g")[0].as_py(), _keys(group)
-            _, _, words, firsts = _words(group)
+            words, firsts = _words(group)
             at = candidates(words, firsts, live)
             a, b = _pair_hash(words, at, window)
             key_ = keys[np.searchsorted(firsts, at, "right") - 1] if len(at) else np.zeros(0, np.int64)
@@ -206,7 +211,7 @@ def repeats(docs: DataFrame, window: int = 50, text: str = "text", key: str = "d
         return pa.table(rows, schema=pa.schema([("g", pa.int32()), ("name", pa.binary()), ("owner", pa.binary())]))
 
     def remove(group: pa.Table, owned: pa.Table) -> pa.Table:
-        data, offsets, words, firsts = _words(group)
+        words, firsts = _words(group)
         keys = _keys(group)
         gone = np.zeros(len(words) + 1, np.int64)
         if owned.num_rows and len(words) >= window:
@@ -224,9 +229,8 @@ def repeats(docs: DataFrame, window: int = 50, text: str = "text", key: str = "d
             np.add.at(gone, hit + window, -1)
         gone = np.cumsum(gone)[:-1] > 0
         kept, removed, ranges = [], [], []
-        raw = data.tobytes()
-        for k in range(group.num_rows):
-            own = raw[offsets[k] : offsets[k + 1]].split()
+        for k, text_ in enumerate(group.column("text")):
+            own = (text_.as_py() or "").encode().split()
             drop = gone[firsts[k] : firsts[k + 1]]
             n = int(drop.sum())
             edge = np.flatnonzero(np.diff(np.concatenate(([0], drop.astype(np.int8), [0])))) if n else np.zeros(0, np.int64)
