@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import checkpoint, find_words, hash_words, lower_ascii, mix, prepare, rolling, row_of, schema_of, slices, small_side, table
 
 BINS, ROWS = 128, 4
-#: Members of a bucket compared at once, and groups that buckets are dealt into.
-BLOCK, GROUPS = 1500, 1021
+#: Members of a bucket compared at once; rows of a group that buckets are dealt into, and the least number of groups.
+BLOCK, GROUP_ROWS, MIN_GROUPS = 1500, 10_000, 1021
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -172,7 +172,9 @@ def within_buckets(placed: DataFrame, grams: DataFrame, percent: int) -> DataFra
     mine = F.pmod(F.xxhash64("node"), chunks).cast("int")
     cells = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
     dealt = placed.withColumn("mine", mine).withColumn("cell", F.explode(cells)).select("bucket", "node", "n", "root", "mine", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"))
-    rows = dealt.join(grams, "node").withColumn("g", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(GROUPS)))
+    count = placed.agg(F.sum(chunks.cast("long")).alias("n")).first()["n"] or 0
+    groups = max(MIN_GROUPS, -(-count // GROUP_ROWS))
+    rows = dealt.join(grams, "node").withColumn("g", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)))
 
     def compare(group: pa.Table) -> pa.Table:
         bucket, i, j, mine_ = (group.column(c).to_numpy() for c in ("bucket", "i", "j", "mine"))
