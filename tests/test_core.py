@@ -1,5 +1,6 @@
 """Micro-fixtures with known answers, edge cases, and SQL twins on the smallest tables."""
 
+import hashlib
 import math
 
 import duckdb
@@ -15,7 +16,7 @@ from quarry.operators import profile as pr
 from quarry.operators.local_models import Forest, NaiveBayes, Tree
 from quarry.operators.search import Search, draw, grid
 from quarry.plans import catalogue
-from quarry.plans.autofit import AutoFitConfig, answer, run_csv
+from quarry.plans.autofit import CANDIDATES, AutoFitConfig, answer, run_csv
 from quarry.sources import csv_source, reports
 
 SF = "/root/testdata/sf0.001"
@@ -160,6 +161,31 @@ def test_autofit(spark):
     assert "Best model" in r.summary() and "<svg" in reports.page(r.to_dict()) and "Models by" in reports.markdown(r.to_dict())
 
 
+def test_autofit_rankings_take_every_row_and_grid_point(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.integers(25)), float(rng.integers(-99_999, 999_999)) / 100) for i in range(1, 901)]
+    rows = [(i, n, a, "ABCDE"[n % 5] if i > 400 else "ABCDE"[int(rng.integers(5))]) for i, n, a in rows]  # the first 400 are noise
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").repartition(3).write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.model: r.score for r in catalogue.QUERIES["autofit_rankings"](spark, str(tmp_path)).collect()}
+    x, y = np.array([r[1:3] for r in rows], float), np.array(["ABCDE".index(r[3]) for r in rows], float)
+    x = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    order = sorted(range(len(rows)), key=lambda i: hashlib.md5(f"{rows[i][0]}:42".encode()).hexdigest())
+    fold = np.empty(len(rows), int)
+    for k in range(5):
+        fold[order[k * 180 : (k + 1) * 180]] = k
+    want = {}
+    for name, estimator, space in CANDIDATES["classification"]:
+        if name != "LogisticRegression":
+            for params in grid(space) if space else [{}]:
+                scores = []
+                for k in range(5):
+                    model = estimator(**params)
+                    model.fit(x[fold != k], y[fold != k])
+                    scores.append((model.predict(x[fold == k]) == y[fold == k]).mean())
+                want[name] = max(want.get(name, 0), np.mean(scores))
+    assert got == pytest.approx(want, abs=0.003)  # last digits of scaled values may turn a tie
+
+
 def test_messages(spark):
     assert csv_source.find_csv("hello") is None
     assert csv_source.find_target("please predict Total Price", ["Total Price", "Total"]) == "Total Price"
