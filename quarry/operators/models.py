@@ -1,6 +1,7 @@
 """Estimators fitted by Spark aggregates: ``fit(df, features, label)``, ``transform(df)``.
 
-Nothing but sums, counts and split candidates' best rows reaches the driver.
+Nothing but sums, counts and split candidates' best rows reaches the driver, and KNN's
+bounded training set where each of its rows is predicted from the others.
 """
 
 from __future__ import annotations
@@ -8,8 +9,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.operators.evaluate import accuracy, mse
 from quarry.operators.profile import aggregate
@@ -182,6 +185,35 @@ class KNN(Estimator):
         vote = F.mode("__label", True) if self.task == "classification" else F.avg("__label")
         return df.join(near.groupBy("__qid").agg(vote.alias("prediction")), df[self.key] == F.col("__qid")).drop("__qid")
 
+    def leave_one_out(self) -> DataFrame:
+        """The key of every training row and its prediction from the k nearest of all others.
+
+        Compared in blocks of rows against the whole set; without another row the
+        prediction is missing. Keys must differ and features must be numbers.
+        """
+        from quarry.operators.local_models import Neighbours
+
+        kind, spark = self.train.schema["__tid"].dataType, self.train.sparkSession
+        rows = self.train.orderBy("__tid").toPandas()  # at most MAX_ROWS; in key order ties go to the smaller key
+        x, y = np.array(rows["__t"].tolist(), float).reshape(len(rows), len(self.features)), rows["__label"].to_numpy(float)
+        at = {key: i for i, key in enumerate(rows["__tid"])}
+        if len(at) != len(rows) or not np.isfinite(x).all():
+            raise ValueError("a key occurs twice or a feature is no number")
+        shared = spark.sparkContext.broadcast((x, y, at))
+        k, task, metric = self.k, self.task, self.metric
+
+        def run(batches):
+            x, y, at = shared.value
+            model = Neighbours(k, task, metric)
+            model.fit(x, y)
+            for batch in batches:
+                own = np.array([at[key] for key in batch["__tid"]], np.int64)
+                yield pd.DataFrame({"__tid": batch["__tid"], "prediction": model.predict(x[own], own)})
+
+        tasks = max(spark.sparkContext.defaultParallelism, len(rows) ** 2 // 20_000_000)
+        out = self.train.select("__tid").repartition(tasks).mapInPandas(run, T.StructType([T.StructField("__tid", kind), T.StructField("prediction", T.DoubleType())]))
+        return out.select(F.col("__tid").alias(self.key), F.when(~F.isnan("prediction"), F.col("prediction")).alias("prediction"))
+
 
 class DecisionTree(Estimator):
     """CART by levels: thresholds are all observed values, a row goes left if value <= threshold.

@@ -186,6 +186,27 @@ def test_autofit_rankings_take_every_row_and_grid_point(spark, tmp_path):
     assert got == pytest.approx(want, abs=0.003)  # last digits of scaled values may turn a tie
 
 
+@pytest.mark.parametrize("name,metric", [("knn_classify_all", "euclidean"), ("knn_regress_all", "euclidean"), ("knn_manhattan_all", "manhattan")])
+def test_knn_predicts_every_part(spark, name, metric):
+    parts = duckdb.sql(f"select p_partkey, p_size::double, p_retailprice::double, (p_partkey % 3)::double from '{SF}/part.parquet'").fetchall()
+    want = {}
+    for key, a, b, _ in parts:
+        gap = {k: (a - c) ** 2 + (b - d) ** 2 if metric == "euclidean" else abs(a - c) + abs(b - d) for k, c, d, _ in parts if k != key}
+        near = [float(k % 3) for k in sorted(gap, key=lambda k: (gap[k], k))[:5]]
+        want[key] = round(sum(near) / 5, 6) if "regress" in name else min(near, key=lambda v: (-near.count(v), v))
+    got = catalogue.QUERIES[name](spark, SF).collect()
+    assert len(got) == len(parts) and {r.p_partkey: r.prediction for r in got} == want
+
+
+def test_knn_without_others(spark):
+    df = spark.createDataFrame([(1, 2.0, 1.0)], "k int, a double, y double")
+    fit = lambda df: mod.KNN(5).fit(df, ["a"], "y", "k").leave_one_out().collect()
+    assert [tuple(r) for r in fit(df)] == [(1, None)] and fit(df.limit(0)) == []
+    assert sorted(tuple(r) for r in fit(df.union(spark.createDataFrame([(2, 2.0, 3.0)], df.schema)))) == [(1, 3.0), (2, 1.0)]
+    with pytest.raises(ValueError):
+        fit(df.union(df))
+
+
 def test_messages(spark):
     assert csv_source.find_csv("hello") is None
     assert csv_source.find_target("please predict Total Price", ["Total Price", "Total"]) == "Total Price"
