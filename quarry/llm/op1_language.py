@@ -32,9 +32,14 @@ from quarry.llm.common import held_out, prepare, schema_of, slices, table
 
 GRAMS, BITS = (1, 2, 3), 13
 PER_LANGUAGE, TRAIN_CHARS, LANDMARKS, RIDGE = 300, 20_000, 192, 1e-3
-#: Least score with which the pipeline keeps a document.
-KEEP_SCORE = 0.15
+#: The pipeline drops a text whose likeness (that of its words without digits, if higher) is below FOREIGN, or below DOUBTFUL where the best score is
+#: less than MARGIN of the way from 1/k (k languages) to 1. Set on rows of sf0.1 that were not learned from, whole and cut
+#: to 6 to 200 characters.
+FOREIGN, DOUBTFUL, MARGIN = 0.15, 0.3, 0.2
+#: A text of fewer n-grams can't be as near to a landmark: its kernel is over sqrt(n-grams / SHORT).
+SHORT = 200
 _LETTER = re.compile(r"[^\W\d_]")
+_FIGURE = re.compile(r"[\d@=]")
 
 
 def presence(texts: list[str], grams: tuple[int, ...] = GRAMS, bits: int = BITS) -> np.ndarray:
@@ -64,6 +69,11 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a.astype(np.float32) @ b.astype(np.float32).T) / own(a)[:, None] / own(b)[None, :]
 
 
+def _reach(x: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Kernel to the nearest landmark, for a short text over what it can reach."""
+    return near.max(axis=1) / np.minimum(1, np.sqrt(np.maximum(x.sum(axis=1, dtype=np.float32), 1) / SHORT))
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -71,23 +81,36 @@ class LanguageModel:
     coefficients: np.ndarray  # landmarks -> languages, W^-1/2 folded in
     offset: np.ndarray
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """Ridge outputs, one column a language; near 1 for the right one, 0 for others."""
-        out = [kernel(presence(texts[k : k + 256]), self.landmarks) @ self.coefficients + self.offset for k in range(0, len(texts), 256)]
-        return np.concatenate(out) if out else np.zeros((0, len(self.languages)))
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        lang, score = ["und"] * len(texts), [0.0] * len(texts)
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ridge outputs, one column a language; near 1 for the right one, 0 for others. They sum to 1 for any text, so how
+        like the learned texts it is comes beside them: the kernel to the nearest landmark, for short texts over what they can reach."""
+        out, like = [np.zeros((0, len(self.languages)))], [np.zeros(0)]
+        for k in range(0, len(texts), 256):
+            x = presence(texts[k : k + 256])
+            near = kernel(x, self.landmarks)
+            out.append(near @ self.coefficients + self.offset)
+            like.append(_reach(x, near))
+        like = np.concatenate(like)
+        low = np.flatnonzero(like < DOUBTFUL)
+        for part in np.array_split(low, len(low) // 256 + 1):  # numbers, addresses and keys are of no language
+            x = presence([" ".join(w for w in texts[i].split() if not _FIGURE.search(w)) for i in part])
+            like[part] = np.maximum(like[part], _reach(x, kernel(x, self.landmarks)))
+        return np.concatenate(out), like
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score and likeness of each text."""
+        lang, score, likeness = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if not self.languages:
-            return lang, score
+            return lang, score, likeness
         known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
         # Short texts first: a batch's arrays then hold little that is unused.
-        raw = self.scores([texts[i] for i in known])
+        raw, like = self.scores([texts[i] for i in known])
         best = raw.argmax(axis=1) if len(known) else []
-        for i, b, r in zip(known, best, raw):
+        for i, b, r, near in zip(known, best, raw, like):
             lang[i] = self.languages[b]
             score[i] = float(min(1.0, max(0.0, r[b])))
-        return lang, score
+            likeness[i] = float(near)
+        return lang, score, likeness
 
 
 def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
@@ -125,25 +148,32 @@ def train(docs: DataFrame, **columns: str) -> LanguageModel:
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns, lang_pred and score."""
+    """The kept columns, lang_pred, score and __likeness."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks x n-grams bytes, a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _, _ in slices(batch, text):
-                lang, score = shared.value.predict(part.column(text).to_pylist())
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+                lang, *measures = shared.value.predict(part.column(text).to_pylist())
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(lang, pa.string()), *[pa.array(m, pa.float64()) for m in measures]], names=[*keep, "lang_pred", "score", "__likeness"])
 
     columns = list(dict.fromkeys([*keep, text]))
-    return docs.select(*columns).mapInArrow(run, schema_of(docs, keep, "lang_pred string, score double"))
+    return docs.select(*columns).mapInArrow(run, schema_of(docs, keep, "lang_pred string, score double, __likeness double"))
 
 
 def reject(docs: DataFrame) -> DataFrame:
-    """The documents without those that have no letter or resemble no language learned."""
+    """The documents without those that have no letter or resemble no language learned.
+
+    A language that shares alphabet and many n-grams with a learned one may still
+    pass; with one language there is no margin and FOREIGN alone decides.
+    """
     model = train(docs)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return identify(docs, model, keep).filter((F.col("lang_pred") != "und") & (F.col("score") >= KEEP_SCORE)).select(*keep)
+    k = len(model.languages)
+    unsure = (F.col("score") * k - 1 < MARGIN * (k - 1)) if k > 1 else F.lit(False)
+    strange = (F.col("__likeness") < FOREIGN) | (unsure & (F.col("__likeness") < DOUBTFUL))
+    return identify(docs, model, keep).filter((F.col("lang_pred") != "und") & ~strange).select(*keep)
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

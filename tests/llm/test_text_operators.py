@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import op1_language as o1
 from quarry.llm import op2_pii as o2
@@ -68,6 +69,20 @@ def test_language_held_out(spark):
     assert sum(r.lang_pred == lang[r.doc_id] for r in rows) / len(rows) > 0.95
 
 
+def test_reject_drops_unlearned_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    foreign = ["这是一个用来测试语言识别的中文句子，没有任何拉丁字母。", "中文句子。", "Это предложение на русском языке для проверки определения языка.", "Αυτή είναι μια πρόταση στα ελληνικά για δοκιμή.", "Đây là một câu tiếng Việt dùng để kiểm tra nhận dạng ngôn ngữ."]
+    short = [(900_000_000 + r.doc_id, r.text[:40]) for r in docs.filter(o1.held_out() & F.col("text").rlike(r"^[^\d@=/]{40}")).orderBy("doc_id").limit(60).collect()]
+    more = [(-1 - i, t) for i, t in enumerate([*foreign, *[f"{t} " * 40 for t in foreign], "123 456"])] + short
+    got = {r.doc_id for r in o1.reject(docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(i, t, None) for i, t in more], "doc_id long, text string, lang string"))).select("doc_id").collect()}
+    # A learned language among numbers and addresses, as in check_s.
+    noisy = "With +1 (807) 555-5623 stupid lecne.06@mail4.example.com clown ateant anes 39.73.140.133 and."
+    assert o1.reject(docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(-99, noisy, None)], "doc_id long, text string, lang string"))).filter("doc_id = -99").count() == 1
+    assert not [i for i in got if i < 0]
+    assert {i for i, _ in short} <= got
+    assert {r.doc_id for r in docs.filter(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()} <= got
+
+
 def test_quality_held_out(spark):
     label = dict(duckdb.sql("select doc_id, quality from '/root/testdata/sf0.01/labels.parquet'").fetchall())
     rows = [(r.score, label[r.doc_id]) for r in o10.op10_quality(spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in label]
