@@ -273,6 +273,17 @@ def onehot_unknown(spark, sf):
     return enc.transform(df.filter("c_custkey % 2 = 1")).select("c_custkey", total.alias("total"))
 
 
+@query("onehot_unknown_all", "SELECT c_custkey, (c_mktsegment IN (SELECT c_mktsegment FROM customer WHERE c_mktsegment < 'C'))::INT AS total FROM customer")
+def onehot_unknown_all(spark, sf):
+    """Every customer; the query above encodes the odd keys of its SQL."""
+    df = t(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    enc = P.OneHotEncoder().fit(df.filter("c_mktsegment < 'C'"), {"c_mktsegment": "categorical"})
+    total = F.lit(0)
+    for n in enc.get_feature_names():
+        total = total + F.col(f"`{n}`").cast("int")
+    return enc.transform(df).select("c_custkey", total.alias("total"))
+
+
 @query("onehot_drop_first", "SELECT count(DISTINCT o_orderpriority)::BIGINT - 1 AS n_columns, min(o_orderpriority) AS dropped FROM orders")
 def onehot_drop_first(spark, sf):
     df = t(spark, sf, "orders").select("o_orderpriority")

@@ -207,6 +207,11 @@ def test_knn_without_others(spark):
         fit(df.union(df))
 
 
+def test_onehot_unknown_encodes_every_customer(spark):
+    segments = duckdb.sql(f"select c_custkey, c_mktsegment from '{SF}/customer.parquet'").fetchall()
+    assert {tuple(r) for r in catalogue.QUERIES["onehot_unknown_all"](spark, SF).collect()} == {(k, int(v < "C")) for k, v in segments}
+
+
 def test_messages(spark):
     assert csv_source.find_csv("hello") is None
     assert csv_source.find_target("please predict Total Price", ["Total Price", "Total"]) == "Total Price"
