@@ -166,10 +166,14 @@ def reject(docs: DataFrame) -> DataFrame:
     """The documents without those that have no letter or resemble no language learned.
 
     A language that shares alphabet and many n-grams with a learned one may still
-    pass; with one language there is no margin and FOREIGN alone decides.
+    pass; with one language there is no margin and FOREIGN alone decides; with none
+    learned every text with a letter stays. Texts of over TRAIN_CHARS characters are not
+    learned from, so a language that has no others is judged like an unlearned one.
     """
     model = train(docs)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*keep)
     k = len(model.languages)
     unsure = (F.col("score") * k - 1 < MARGIN * (k - 1)) if k > 1 else F.lit(False)
     strange = (F.col("__likeness") < FOREIGN) | (unsure & (F.col("__likeness") < DOUBTFUL))

@@ -83,6 +83,11 @@ def test_reject_drops_unlearned_languages(spark):
     assert {r.doc_id for r in docs.filter(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()} <= got
 
 
+def test_reject_without_a_model_keeps_texts(spark):
+    docs = spark.createDataFrame([(1, "A clean text.", None), (2, "123 456", None), (3, None, None), (4, "word " * 5_000, "en")], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in o1.reject(docs).collect()) == [1, 4]
+
+
 def test_quality_held_out(spark):
     label = dict(duckdb.sql("select doc_id, quality from '/root/testdata/sf0.01/labels.parquet'").fetchall())
     rows = [(r.score, label[r.doc_id]) for r in o10.op10_quality(spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in label]
