@@ -8,6 +8,7 @@ decoding. All hashes are 64-bit with wrap-around arithmetic.
 from __future__ import annotations
 
 import os
+import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -41,8 +42,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package and free memory, and give checkpoints a folder.
 
-    The checkpoint folder is the one the session names; only where none is set
-    (a local test) a local one is used.
+    The workers' environment is the session's: workers that start later for other
+    queries get the same path and allocator settings. A setting that is there stays.
     """
     sc = spark.sparkContext
     root = str(Path(__file__).resolve().parents[2])
@@ -52,7 +53,23 @@ def prepare(spark: SparkSession) -> None:
     for name, value in WORKER_MEMORY.items():
         sc.environment.setdefault(name, value)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        sc.setCheckpointDir(shared_folder(spark))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset only a local master gets one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or f"{tempfile.gettempdir()}/checkpoints"
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores appended until no column has it (whatever the case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

@@ -8,16 +8,21 @@ tries other bins in an order that depends on the bin alone until it meets one
 that was filled. Bands of consecutive bins are the bucket keys.
 
 Documents with equal sets become one class first, so groups of exact copies of
-any size cost one row. Within a bucket every class is compared with one centre
-only (a star), which bounds pairs by the number of bucket entries. The centre is
-the member that shares most buckets, by that the best connected one. Where the
-confirmed stars leave a bucket with several components, its members are compared
-in blocks, so no candidate pair that could join two components goes untested.
-All links are confirmed on full sets.
-
-Edge cases: null or blank text has the empty set and links with nothing; rows
-that repeat a doc_id are one node each text, joined by that id; extra columns
-are ignored.
+any size cost one row. A class is a node of its own, named by a number; ids come
+in only at the end, so rows that share an id but not a text keep all their links.
+Within a bucket every class is compared with one centre only (a star), which
+bounds pairs by the number of bucket entries. The centre is the member that
+shares most buckets, by that the best connected one. Where the confirmed stars
+leave a bucket with several components, its members are compared in blocks, so no
+candidate pair that could join two components goes untested; members that are
+already joined don't meet again. All links are confirmed on full sets.
+
+Edge cases: null or blank text has the empty set and links with nothing, its
+component is its own id; a null id is larger than all others, so a component has a
+null id only if all its rows have; rows that repeat an id are documents of their
+own, linked by their texts and not by the id; ties between centres can't change
+the components; repeated rows get equal rows; a text of any length is one set in
+memory of one task; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quarry.llm.common import checkpoint, find_words, hash_words, lower_ascii, mix, prepare, rolling, row_of, schema_of, slices, small_side, table
+from quarry.llm.common import checkpoint, find_words, hash_words, lower_ascii, mix, prepare, rolling, row_of, schema_of, slices, small_side, table, unused
 
 BINS, ROWS = 128, 4
 #: Members of a bucket compared at once; rows of a group that buckets are dealt into, and the least number of groups.
@@ -116,40 +122,49 @@ def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketch(docs: DataFrame, width: int, bins: int = BINS, rows: int = ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_shingles, set_a and set_b (digest of the set), bands (null for the empty set)."""
-    schema = schema_of(docs, [key], "n_shingles long, set_a long, set_b long, bands array<long>")
+def sketch(docs: DataFrame, width: int, bins: int = BINS, band_rows: int = ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc, text_hash, n_shingles, set_a and set_b (digest of the set), bands (null for the empty set)."""
+    rows = named(docs, text, key)
+    schema = schema_of(rows, ["doc", "text_hash"], "n_shingles long, set_a long, set_b long, bands array<long>")
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in slices(batch, text):
+            for part, data, offsets in slices(batch):
                 hashes, bounds, _ = shingle_sets(data, offsets, width)
                 size = np.diff(bounds)
-                keys = bands(signatures(hashes, bounds, bins), rows)
-                # Sums of independent mixes tell sets apart, whatever the order of their members.
-                sums = [np.concatenate(([np.uint64(0)], np.cumsum(mix(hashes ^ np.uint64(salt)), dtype=np.uint64))) for salt in (0x51ED2701, 0xA3C59AC2B7)]
-                digest = [(s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums]
+                keys = bands(signatures(hashes, bounds, bins), band_rows)
                 values = pa.array(keys.ravel(), pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * keys.shape[1], pa.int32(), mask=np.append(size == 0, False)), values)
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(size, pa.int64()), *map(pa.array, digest), lists], names=[key, "n_shingles", "set_a", "set_b", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("text_hash"), pa.array(size, pa.int64()), *digests(hashes, bounds), lists], names=["doc", "text_hash", "n_shingles", "set_a", "set_b", "bands"])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def sets(docs: DataFrame, width: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key and its set as a sorted array of longs."""
-    schema = schema_of(docs, [key], "grams array<long>")
-    prepare(docs.sparkSession)
+def named(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """doc, text and text_hash: what tells rows with the same id apart."""
+    return docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"))
+
+
+def digests(hashes: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """128 bits of each set: sums of independent mixes, whatever the order of the members."""
+    sums = [np.concatenate(([np.uint64(0)], np.cumsum(mix(hashes ^ np.uint64(salt)), dtype=np.uint64))) for salt in (0x51ED2701, 0xA3C59AC2B7)]
+    return [pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)) for s in sums]
+
+
+def sets(rows: DataFrame, width: int) -> DataFrame:
+    """set_a, set_b, n_shingles and the set as a sorted array of longs, of rows with ``text``."""
+    schema = T.StructType.fromDDL("set_a long, set_b long, n_shingles long, grams array<long>")
+    prepare(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in slices(batch, text):
+            for _, data, offsets in slices(batch):
                 hashes, bounds, _ = shingle_sets(data, offsets, width)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(key), lists], names=[key, "grams"])
+                yield pa.RecordBatch.from_arrays([*digests(hashes, bounds), pa.array(np.diff(bounds), pa.int64()), lists], names=["set_a", "set_b", "n_shingles", "grams"])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return rows.select("text").mapInArrow(run, schema)
 
 
 def confirm(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
@@ -164,37 +179,45 @@ def confirm(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
 def within_buckets(placed: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     """Confirmed pairs (a, b) of bucket members with different roots.
 
-    A bucket's sets come together once and are compared as blocks of a matrix
-    product, so rows grow with members, not pairs. A bucket of over BLOCK members
-    is cut into chunks that meet pairwise in tasks of their own.
+    A bucket's members are cut into chunks: of one root, if it has BLOCK members in
+    the bucket, else of several small ones. Chunks meet pairwise, in tasks of their
+    own, as blocks of a matrix product. Chunks of the same root don't meet, so a set
+    travels once for each chunk that may hold something new to it.
     """
-    chunks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    mine = F.pmod(F.xxhash64("node"), chunks).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-    dealt = placed.withColumn("mine", mine).withColumn("cell", F.explode(cells)).select("bucket", "node", "n", "root", "mine", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"))
-    count = placed.agg(F.sum(chunks.cast("long")).alias("n")).first()["n"] or 0
-    groups = max(MIN_GROUPS, -(-count // GROUP_ROWS))
-    rows = dealt.join(grams, "node").withColumn("g", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)))
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("g"))
+    pool = sizes.groupBy("bucket").agg(F.sum(F.when(F.col("g") < BLOCK, F.col("g"))).alias("pool"))
+    large = F.col("g") >= BLOCK
+    dealt = placed.join(sizes, ["bucket", "root"]).join(pool, "bucket")
+    part = F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("g") / BLOCK))).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("pool") / BLOCK)))
+    dealt = checkpoint(dealt.select("bucket", "node", "n", "root", F.when(large, F.col("root")).otherwise(F.lit(-1)).alias("kin"), part.cast("int").alias("part")))
+    chunks = dealt.select("bucket", "kin", "part").distinct()
+    other = chunks.select("bucket", F.col("kin").alias("kin2"), F.col("part").alias("part2"))
+    meets = (F.col("kin") != F.col("kin2")) | (F.col("kin") == -1)
+    cells = checkpoint(chunks.join(other, "bucket").filter(meets))  # each pair in both directions
+    low, mine = F.struct(F.col("kin2").alias("kin"), F.col("part2").alias("part")), F.struct("kin", "part")
+    dealt = dealt.join(cells, ["bucket", "kin", "part"]).select("bucket", "node", "n", "root", F.least(low, mine).alias("i"), F.greatest(low, mine).alias("j"), (mine <= low).alias("mine"))
+    groups = max(MIN_GROUPS, -(-dealt.count() // GROUP_ROWS))
+    # 64 bits name a cell; cells that share a name only meet more than they need to.
+    dealt = dealt.select(F.xxhash64("bucket", "i", "j").alias("cell"), (F.col("i") == F.col("j")).alias("alone"), "mine", "node", "n", "root")
+    rows = dealt.join(grams, "node").withColumn("g", F.pmod("cell", F.lit(groups)))
 
     def compare(group: pa.Table) -> pa.Table:
-        bucket, i, j, mine_ = (group.column(c).to_numpy() for c in ("bucket", "i", "j", "mine"))
-        node, root, n = (group.column(c).to_numpy() for c in ("node", "root", "n"))
+        cell, alone, mine, node, root, n = (group.column(c).to_numpy() for c in ("cell", "alone", "mine", "node", "root", "n"))
         lists = group.column("grams").combine_chunks()
         if isinstance(lists, pa.ChunkedArray):
             lists = lists.chunk(0)
         flat, bounds = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
-        order = np.lexsort((mine_, j, i, bucket))
-        fresh = np.concatenate(([True], np.any([x[order][1:] != x[order][:-1] for x in (bucket, i, j)], axis=0)))
-        cut = np.append(np.flatnonzero(fresh), len(order))
+        order = np.argsort(cell, kind="stable")
+        cut = np.append(np.flatnonzero(np.concatenate(([True], cell[order][1:] != cell[order][:-1]))), len(order))
         found = set()
         for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
             own = order[lo:hi]
-            pairs = _alike(flat, bounds, own, n[own].astype(np.float64), root[own], mine_[own], bool(i[own[0]] != j[own[0]]), percent)
+            pairs = _alike(flat, bounds, own, n[own].astype(np.float64), root[own], mine[own], not alone[own[0]], percent)
             found.update((min(a, b), max(a, b)) for a, b in zip(node[own[pairs[0]]].tolist(), node[own[pairs[1]]].tolist()))
         a, b = zip(*sorted(found)) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.select("g", "bucket", "i", "j", "mine", F.col("node").cast("long").alias("node"), "n", F.col("root").cast("long").alias("root"), "grams").groupBy("g").applyInArrow(compare, "a long, b long").distinct()
+    return rows.select("g", "cell", "alone", "mine", "node", "n", "root", "grams").groupBy("g").applyInArrow(compare, "a long, b long").distinct()
 
 
 def _alike(flat: np.ndarray, bounds: np.ndarray, own: np.ndarray, n: np.ndarray, root: np.ndarray, mine: np.ndarray, across: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,39 +271,71 @@ def fitting(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: int = BINS, rows: int = ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_shingles and component_id (smallest key reachable) of each row."""
-    # A row can repeat its key; classes are keyed by the smallest key of equal sets.
-    all_ = checkpoint(sketch(docs, width, bins, rows, text, key).withColumnRenamed(key, "doc"))
-    full = all_.filter("n_shingles > 0 AND doc IS NOT NULL")
-    classes = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc").alias("node"), F.min_by("bands", "doc").alias("bands"))
+def groups(docs: DataFrame, width: int = 5, percent: int = 80, bins: int = BINS, rows: int = ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc, text_hash, n_shingles, root (of the component; null for the empty set) and component_id of each row."""
+    all_ = checkpoint(sketch(docs, width, bins, rows, text, key))
+    full = all_.filter("n_shingles > 0")
+    first = F.struct(F.col("doc").isNull().alias("none"), "doc", "text_hash")
+    same = ["set_a", "set_b", "n_shingles"]
+    # Numbers are unique within the checkpoint, and nothing else is asked of them.
+    classes = checkpoint(full.groupBy(*same).agg(F.min(first).alias("first"), F.min_by("bands", first).alias("bands")).withColumn("node", F.monotonically_increasing_id()))
     entries = checkpoint(classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")))
     crowd = entries.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     entries = entries.join(crowd, "bucket")
     popular = entries.groupBy("node").agg(F.sum("members").alias("degree"))
-    # Hubs come first; ties go to the smaller key.
+    # Hubs come first; ties go to the smaller number.
     entries = checkpoint(entries.join(popular, "node").select("bucket", "node", "n", (-F.col("degree")).alias("place")))
     centre = entries.groupBy("bucket").agg(F.min(F.struct("place", "node", "n")).alias("c")).select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("n_a"))
     stars = entries.join(centre, "bucket").filter("node <> a").select("a", "n_a", F.col("node").alias("b"), F.col("n").alias("n_b"))
     stars = checkpoint(fitting(stars, percent))
-    members = checkpoint(entries.select("node").distinct())
-    chosen = docs.filter(F.col(key).isNotNull()).join(small_side(members, members.count(), 64), docs[key] == members["node"], "left_semi")
-    grams = checkpoint(sets(chosen, width, text, key).withColumnRenamed(key, "node").dropDuplicates(["node"]))
+    members = checkpoint(entries.select("node").distinct().join(classes.select("node", *same, F.col("first.doc").alias("rep"), F.col("first.text_hash").alias("rep_hash")), "node"))
+    # A row of each class is read again for its set: the rows with the id and text of its first one.
+    reps = members.select("rep", "rep_hash").distinct()
+    texts = named(docs, text, key)
+    chosen = texts.join(small_side(reps, members.count(), 64), texts["doc"].eqNullSafe(reps["rep"]) & (texts["text_hash"] == reps["rep_hash"]), "left_semi")
+    grams = checkpoint(sets(chosen, width).join(members.select("node", *same), same).select("node", "grams").dropDuplicates(["node"]))
+    members = members.select("node")
     links = checkpoint(confirm(stars, grams, percent))
     roots = checkpoint(components(members, links))
     # Members of a bucket that the stars left in different components are compared within the bucket.
     placed = entries.select("bucket", "node", "n").join(roots, "node")
-    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).filter("low <> high").select("bucket", "m")
-    more = checkpoint(within_buckets(placed.join(split, "bucket"), grams, percent))
+    split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
+    more = checkpoint(within_buckets(checkpoint(placed.join(split, "bucket")), grams, percent))
     if more.limit(1).count():
         roots = checkpoint(components(members, links.union(more)))
-    named = classes.select("set_a", "set_b", "n_shingles", "node")
-    named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    out = all_.join(named.select("set_a", "set_b", "n_shingles", "root"), ["set_a", "set_b", "n_shingles"], "left")
-    return out.select(F.col("doc").alias(key), "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("root")), F.col("doc")).alias("component_id"))
+    known = classes.select(*same, F.col("first.doc").alias("own"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = known.groupBy("root").agg(F.min("own").alias("least"))
+    out = all_.join(known.join(least, "root").select(*same, "root", "least"), same, "left")
+    return out.select("doc", "text_hash", "n_shingles", "root", F.when(F.col("root").isNull(), F.col("doc")).otherwise(F.col("least")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: int = BINS, rows: int = ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, n_shingles and component_id (smallest key reachable) of each row."""
+    return groups(docs, width, percent, bins, rows, text, key).select(F.col("doc").alias(key), "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The documents less all but one row of each component; rows with the empty set stay.
+
+    The row with the smallest key stays (among equal keys: the smallest text hash).
+    """
+    rows = groups(docs, width, percent, text=text, key=key).filter("root IS NOT NULL")
+    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "text_hash")
+    rows = checkpoint(rows.groupBy("root", "doc", "text_hash").agg(F.count("*").alias("n"), F.first(place).alias("place")))
+    best = rows.groupBy("root").agg(F.min("place").alias("best"))
+    marked = rows.join(best, "root").select("doc", "text_hash", "n", (F.col("place") == F.col("best")).alias("stays"))
+    marked = checkpoint(marked.filter("NOT stays OR n > 1"))
+    hash_ = F.xxhash64(F.col(f"`{text}`"))
+    match = lambda d, m: d[key].eqNullSafe(m["doc"]) & (hash_ == m["text_hash"])
+    out = docs.join(marked, match(docs, marked), "left_anti")
+    again = marked.filter("stays").select("doc", "text_hash")  # rows that stay and have copies with the same id
+    if again.limit(1).count():
+        twins = docs.join(again, match(docs, again), "left_semi").withColumn(name := unused("hash", docs.columns), hash_)
+        out = out.unionByName(twins.dropDuplicates([key, name]).drop(name))
+    return out
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; sets of 4 words."""
     out = near_duplicates(table(spark, sf_dir, "documents"), width=4)
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

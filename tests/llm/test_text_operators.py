@@ -6,6 +6,7 @@ import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,30 +204,103 @@ def test_chunks(spark):
     assert o8.fingerprints([t.encode() for t in d.values()]) == [o8.fingerprints([t.encode()])[0] for t in d.values()]
 
 
-def linked(d, width):
-    sets = {}
-    for i, t in d.items():
-        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
-        sets[i] = set(zip(*[w[k:] for k in range(width)])) if len(w) >= width else ({tuple(w)} if w else set())
-    root = {i: i for i in sets}
+def linked(rows, width):
+    """Set size and smallest id reachable of each (id, text) row; null ids are the largest."""
+    sets = []
+    for _, t in rows:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append(set(zip(*[w[k:] for k in range(width)])) if len(w) >= width else ({tuple(w)} if w else set()))
+    root = list(range(len(rows)))
 
     def top(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in sets:
-        for j in sets:
-            n = len(sets[i] & sets[j])
-            if j < i and n and 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
-                a, b = sorted((top(i), top(j)))
-                root[b] = a
-    return {i: (len(sets[i]), top(i)) for i in sets}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            n = len(a & b)
+            if n and 100 * n >= 80 * (len(a) + len(b) - n):
+                root[top(i)] = top(j)
+    least = {}
+    for i, (key, _) in enumerate(rows):
+        least[top(i)] = min(least.get(top(i), key), key, key=lambda k: (k is None, k or 0))
+    return [(len(a), least[top(i)]) for i, a in enumerate(sets)]
+
+
+def rows_of(sf):
+    return duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet' order by doc_id").fetchall()
 
 
 def test_near_duplicates(spark):
+    rows = rows_of(SF)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in o9.op9_minhash(spark, SF).collect()}
-    assert got == linked(texts(), 4)
+    assert [got[i] for i, _ in rows] == linked(rows, 4)
+
+
+def test_near_duplicates_of_a_larger_table(spark):
+    rows = rows_of("/root/testdata/sf0.01")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in o9.op9_minhash(spark, "/root/testdata/sf0.01").collect()}
+    assert [got[i] for i, _ in rows] == linked(rows, 4)
+
+
+def planted(pairs, words=60):
+    """Pairs of texts at similarity over 0.8, their rows sharing ids with other texts."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(pairs):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+        rows += [(10 * k + 5, " ".join(w)), (10 * k + 6, " ".join(w[:-3])), (10 * k + 5, " ".join(f"u{rng.randrange(10**6)}" for _ in range(40))), (10 * k + 6, " ".join(f"v{rng.randrange(10**6)}" for _ in range(40)))]
+    return rows
+
+
+def test_rows_that_share_an_id_keep_their_links(spark):
+    rows = planted(8) + [(None, "a b c d e f g"), (None, "A b c d e f g"), (3, "only one word here and more"), (None, "only one word here and more"), (None, None), (4, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(repr, ((r.doc_id, r.n_shingles, r.component_id) for r in o9.near_duplicates(docs, 4).collect())))
+    assert got == sorted(map(repr, ((i, n, c) for (i, _), (n, c) in zip(rows, linked(rows, 4)))))
+
+
+def test_one_row_of_each_component_stays(spark):
+    prose = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, prose), (1, prose), (2, prose + " tail"), (None, prose), (None, "x y z w v u t"), (None, "x y z w v u t"), (None, None), (None, None), (7, ""), (7, ""), (8, "quite another text it is"), (8, "and one more text of the same id")]
+    docs = spark.createDataFrame([(i, t, "s", None) for i, t in rows], "doc_id long, text string, hash string, doc string")
+    out = o9.keep_one(docs, 5)
+    assert out.columns == docs.columns
+    assert sorted((repr(r.doc_id), repr(r.text)) for r in out.collect()) == sorted((repr(i), repr(t)) for i, t in [(1, prose), (None, "x y z w v u t"), (None, None), (None, None), (7, ""), (7, ""), *rows[-2:]])
+
+
+def test_crowded_buckets_are_compared_whole(spark, monkeypatch):
+    """Two bins a document: most share a bucket, and the stars leave components apart."""
+    monkeypatch.setattr(o9, "BLOCK", 3)
+    rng = random.Random(5)
+    pool = [f"p{i}" for i in range(40)]
+    rows, base = [], [rng.choice(pool) for _ in range(30)]
+    for k in range(90):
+        if k % 9 == 0:
+            base = [rng.choice(pool) for _ in range(30)]
+        own = list(base)
+        if k % 2:
+            own[-1] = rng.choice(pool)
+        rows.append((k, " ".join([*own, *["common words of all texts here"] * 2])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in o9.near_duplicates(docs, 3, bins=2, rows=1).collect()}
+    assert [got[i] for i, _ in rows] == linked(rows, 3)
+
+
+def test_pairs_at_the_threshold_share_a_band():
+    rng = random.Random(12)
+    missed = 0
+    for k in range(2000):
+        n = rng.randrange(8, 300)
+        w = [f"w{rng.randrange(10**7)}" for _ in range(n)]
+        cut = max(1, n // 5)
+        sets_ = [(t, o9.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 4)[0]) for t in (" ".join(w), " ".join(w[: n - cut + rng.randrange(0, 2)]))]
+        a, b = (x for _, x in sets_)
+        if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+            keys = [o9.bands(o9.signatures(x, np.array([0, len(x)]))) for x in (a, b)]
+            missed += not (keys[0] == keys[1]).any()
+    assert missed == 0
 
 
 def test_pipeline(spark):
@@ -238,7 +312,8 @@ def test_pipeline(spark):
         if k == 0:
             assert docs.count() >= 0.98 * before.count()
         if k == 1:
-            keep = {i for i, (_, root) in linked({r.doc_id: r.text for r in before.collect()}, 5).items() if i == root}
+            rows = [(r.doc_id, r.text) for r in before.collect()]
+            keep = {i for (i, _), (_, root) in zip(rows, linked(rows, 5)) if i == root}
             assert {r.doc_id for r in docs.collect()} == keep
         if k == 2:
             assert not any(o2.base_spans(r.text) for r in docs.collect())
