@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -228,6 +229,46 @@ def test_license_places(spark):
         assert set(filter(None, r.base_labels.split(","))) == {x for _, x in places} <= set(r.labels.split(","))
 
 
+def plain_labels(rows):
+    """Labels and best coverage of each text, from its words alone: every alignment of every template is tried."""
+    split = lambda t: [w for w in re.split(o4.GAP, (t or "").lower()) if w]
+    bodies = {n: (split(b), split(k)) for n, (b, k) in o4.TEMPLATES.items()} | {n: (p.split(), p.split()) for p, n in o4.PHRASES.items()}
+    files = [split(t) for t in rows]
+    idf = {w: math.log((len(files) + 1) / (sum(w in set(f) for f in files) + 1)) for b, _ in bodies.values() for w in b}
+    out = []
+    for words in files:
+        labels, best = set(), 0.0
+        for name, (body, key) in bodies.items():
+            rare = sorted(set(body), key=lambda w: (-idf[w], w))[: o4.INDEX_WORDS]
+            starts = sorted({i - p for i, w in enumerate(words) for p, x in enumerate(body) if w == x and w in rare})
+            at, mass = next(k for k in range(len(body)) if body[k : k + len(key)] == key), sum(max(idf[w], 1e-9) for w in body)
+            for s in starts:
+                if s + at >= 0 and words[s + at : s + at + len(key)] == key:
+                    near = [d for d in starts if abs(d - s) <= o4.DRIFT]
+                    own = sum(max(idf[w], 1e-9) for j, w in enumerate(body) if any(0 <= d + j < len(words) and words[d + j] == w for d in near)) / mass
+                    if own >= o4.COVERAGE - 1e-9:
+                        labels.add(name)
+                        best = max(best, min(own, 1.0))
+        out.append((sorted(labels), best))
+    return out
+
+
+def test_license_labels_and_scores(spark):
+    whole = [t for t, _ in o4.TEMPLATES.values()]
+    holder = o4.TEMPLATES["bsd-3-clause"][0].replace("the copyright holder nor", "Foo Bar Limited and its friends nor")
+    half = o4.TEMPLATES["mit-text"][0][:400]
+    rows = [*whole, " filler ".join(whole), "\n".join(["prose of no use"] * 50 + whole[::-1]), holder, half, "", None, "MIT License. MIT License", "the CC BY 4.0", "licensed under CC BY-NC 4.0 by me", "software software license of the", *[f"plain text number {i} the software of all" for i in range(40)]]
+    got = o4.scan(spark.createDataFrame([(i, t, "kept") for i, t in enumerate(rows)], "doc_id long, text string, scan string"))
+    assert got.columns == ["doc_id", "text", "scan", "scan_"]
+    got = sorted(got.collect(), key=lambda r: r.doc_id)
+    for r, (labels, score) in zip(got, plain_labels(rows)):
+        assert r["scan_"].labels == labels and r["scan_"].score == pytest.approx(score, abs=1e-9) and r["scan"] == "kept"
+    names = list(o4.TEMPLATES)
+    assert all(n in r["scan_"].labels for n, r in zip(names, got))
+    assert set(names) <= set(got[len(whole)]["scan_"].labels) and set(names) <= set(got[len(whole) + 1]["scan_"].labels)
+    assert "bsd-3-clause" in got[len(whole) + 2]["scan_"].labels and "mit-text" not in got[len(whole) + 3]["scan_"].labels
+
+
 def test_pieces_equal_library(spark):
     import sentencepiece
 
