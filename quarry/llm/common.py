@@ -83,6 +83,21 @@ def small_side(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def smallest_hashes(rows: DataFrame, hash_: str, wanted: int, groups: str | None = None) -> DataFrame:
+    """Rows that hold the ``wanted`` smallest hashes (of each group) and about three times as many more.
+
+    Counts set the share of hashes that is let through, so what is passed on doesn't
+    grow with the table. Hashes that many rows share may leave fewer than ``wanted``.
+    """
+    share = F.least(F.lit(1.0), F.lit(4.0 * wanted + 40.0) / F.col("__n"))
+    part = F.pmod(F.col(hash_), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    if groups is None:
+        n = rows.count()
+        return rows.filter(part < min(1.0, (4.0 * wanted + 40.0) / max(n, 1)))
+    counts = rows.groupBy(F.col(groups).alias("__g")).agg(F.count("*").alias("__n"))
+    return rows.join(counts, F.col(groups) == F.col("__g")).filter(part < share).drop("__g", "__n")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

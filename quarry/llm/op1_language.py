@@ -8,40 +8,50 @@ W = K(L, L). On top, one-versus-rest kernel ridge regression in closed form.
 Scoring multiplies a batch's presence matrix with the landmarks' and the result
 with the fitted coefficients.
 
-The model learns from at most PER_LANGUAGE texts of each language, those with
-the smallest hashes of doc_id, of at most TRAIN_CHARS characters (both are
-parameters); every text is scored whole.
-
-Edge cases: a text that is null or has no letter is `und` with score 0; a
-missing language is not learned from; with no training row at all every text is
-`und`; repeated rows get equal rows; extra columns are ignored by the query.
+The model learns from at most PER_LANGUAGE texts of each language, those with the
+smallest hashes of id and text (a parameter). Whole texts become presence rows, of a
+fixed size, on the executors; only these reach the driver. Every text is scored
+whole, and by itself: its score doesn't depend on what it is scored with.
+
+Edge cases: a text that is null or has no letter (Unicode category L) is `und` with
+score 0; a missing language is not learned from; with no training row at all every
+text is `und`; languages that tie are taken in alphabetical order; repeated rows get
+equal rows; a text of any length is one presence row; an empty table gives no rows;
+extra columns are ignored by the query and kept by ``reject``, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import held_out, prepare, schema_of, slices, table
+from quarry.llm.common import held_out, prepare, schema_of, slices, smallest_hashes, table, unused
 
 GRAMS, BITS = (1, 2, 3), 13
-PER_LANGUAGE, TRAIN_CHARS, LANDMARKS, RIDGE = 300, 20_000, 192, 1e-3
+PER_LANGUAGE, LANDMARKS, RIDGE = 300, 192, 1e-3
 #: The pipeline drops a text whose likeness (that of its words without digits, if higher) is below FOREIGN, or below DOUBTFUL where the best score is
 #: less than MARGIN of the way from 1/k (k languages) to 1. Set on rows of sf0.1 that were not learned from, whole and cut
 #: to 6 to 200 characters.
 FOREIGN, DOUBTFUL, MARGIN = 0.15, 0.3, 0.2
+#: A model of fewer texts knows too little to drop any for being unlike them.
+LEAST = 100
 #: A text of fewer n-grams can't be as near to a landmark: its kernel is over sqrt(n-grams / SHORT).
 SHORT = 200
-_LETTER = re.compile(r"[^\W\d_]")
 _FIGURE = re.compile(r"[\d@=]")
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text holds a character of Unicode category L."""
+    return text is not None and any(map(str.isalpha, text))
+
+
 def presence(texts: list[str], grams: tuple[int, ...] = GRAMS, bits: int = BITS) -> np.ndarray:
     """Rows of 0/1: which hashed n-grams a text holds, a block of 2^bits for each n."""
     width = len(grams) << bits
@@ -80,6 +90,7 @@ class LanguageModel:
     landmarks: np.ndarray
     coefficients: np.ndarray  # landmarks -> languages, W^-1/2 folded in
     offset: np.ndarray
+    learned: int = 0  # texts
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ridge outputs, one column a language; near 1 for the right one, 0 for others. They sum to 1 for any text, so how
@@ -88,7 +99,8 @@ class LanguageModel:
         for k in range(0, len(texts), 256):
             x = presence(texts[k : k + 256])
             near = kernel(x, self.landmarks)
-            out.append(near @ self.coefficients + self.offset)
+            # Each row is summed by itself: a matrix product's last digits depend on the rows beside it.
+            out.append(np.round((near.astype(np.float64)[:, :, None] * self.coefficients).sum(axis=1) + self.offset, 9))
             like.append(_reach(x, near))
         like = np.concatenate(like)
         low = np.flatnonzero(like < DOUBTFUL)
@@ -102,8 +114,7 @@ class LanguageModel:
         lang, score, likeness = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if not self.languages:
             return lang, score, likeness
-        known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
-        # Short texts first: a batch's arrays then hold little that is unused.
+        known = [i for i, t in enumerate(texts) if has_letter(t)]
         raw, like = self.scores([texts[i] for i in known])
         best = raw.argmax(axis=1) if len(known) else []
         for i, b, r, near in zip(known, best, raw, like):
@@ -113,12 +124,11 @@ class LanguageModel:
         return lang, score, likeness
 
 
-def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
-    """Landmarks are dealt evenly among the languages, in the order given."""
+def fit(x: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
+    """From presence rows and their languages. Landmarks are dealt evenly among the languages, in the order given."""
     names = sorted(set(languages))
     if not names:
         return LanguageModel([], np.zeros((0, 0), np.uint8), np.zeros((0, 0)), np.zeros(0))
-    x = presence(texts)
     label = np.array([names.index(v) for v in languages])
     each = max(1, landmarks // len(names))
     chosen = np.concatenate([np.flatnonzero(label == c)[:each] for c in range(len(names))])
@@ -132,23 +142,40 @@ def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS, ridg
     zm, ym = np.average(z, axis=0, weights=weight), np.average(y, axis=0, weights=weight)
     zc = z - zm
     a = np.linalg.solve((zc * weight[:, None]).T @ zc + ridge * len(label) * np.eye(z.shape[1]), (zc * weight[:, None]).T @ (y - ym))
-    return LanguageModel(names, marks, (root @ a).astype(np.float32), (ym - zm @ a).astype(np.float32))
+    return LanguageModel(names, marks, root @ a, ym - zm @ a, len(label))
+
 
+def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
+    """lang, turn, id and the packed presence row of the texts to learn from, and of some more."""
+    able = docs.filter(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    able = able.select(F.col(key).cast("string").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("turn"))
+    prepare(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, _, _ in slices(batch):
+                texts = part.column("text").to_pylist()
+                for k in range(0, len(texts), 256):
+                    piece = part.slice(k, 256)
+                    piece = piece.filter(pa.array([has_letter(t) for t in piece.column("text").to_pylist()], pa.bool_()))
+                    rows = [r.tobytes() for r in np.packbits(presence(piece.column("text").to_pylist()), axis=1)]
+                    yield pa.RecordBatch.from_arrays([piece.column("lang"), piece.column("turn"), piece.column("id"), pa.array(rows, pa.binary())], names=["lang", "turn", "id", "row"])
 
-def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = TRAIN_CHARS, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """The bounded sample of rows to learn from; ids are chosen before texts are read."""
-    able = docs.filter(~held_out(key) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.length(text) <= max_chars))
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    return able.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= per_language).select("id", "lang", "text")
+    few = smallest_hashes(able, "turn", per_language, "lang").dropDuplicates(["id", "lang", "turn"])
+    return few.select("lang", "turn", "id", "text").mapInArrow(run, "lang string, turn long, id string, row binary")
 
 
-def train(docs: DataFrame, **columns: str) -> LanguageModel:
-    rows = sorted(training_rows(docs, **columns).collect(), key=lambda r: (r["lang"], r["id"]))
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, **columns: str) -> LanguageModel:
+    """What is collected is a few kilobytes for each of some four times ``per_language`` texts of a language."""
+    rows = sorted(training_rows(docs, per_language, **columns).collect(), key=lambda r: (r["lang"], r["turn"] % (1 << 40), r["turn"], r["id"]))
+    chosen = [r for _, own in itertools.groupby(rows, key=lambda r: r["lang"]) for r in itertools.islice(own, per_language)]
+    width = len(GRAMS) << BITS
+    x = np.unpackbits(np.frombuffer(b"".join([r["row"] for r in chosen]), np.uint8)).reshape(len(chosen), width) if chosen else np.zeros((0, width), np.uint8)
+    return fit(x, [r["lang"] for r in chosen])
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns, lang_pred, score and __likeness."""
+def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "likeness")) -> DataFrame:
+    """The kept columns, then language, score and likeness under the names of ``out``."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks x n-grams bytes, a fixed size
 
@@ -156,28 +183,29 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
         for batch in batches:
             for part, _, _ in slices(batch, text):
                 lang, *measures = shared.value.predict(part.column(text).to_pylist())
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(lang, pa.string()), *[pa.array(m, pa.float64()) for m in measures]], names=[*keep, "lang_pred", "score", "__likeness"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(lang, pa.string()), *[pa.array(m, pa.float64()) for m in measures]], names=[*keep, *out])
 
     columns = list(dict.fromkeys([*keep, text]))
-    return docs.select(*columns).mapInArrow(run, schema_of(docs, keep, "lang_pred string, score double, __likeness double"))
+    return docs.select(*[f"`{c}`" for c in columns]).mapInArrow(run, schema_of(docs, keep, "`{}` string, `{}` double, `{}` double".format(*out)))
 
 
 def reject(docs: DataFrame) -> DataFrame:
     """The documents without those that have no letter or resemble no language learned.
 
     A language that shares alphabet and many n-grams with a learned one may still
-    pass; with one language there is no margin and FOREIGN alone decides; with none
-    learned every text with a letter stays. Texts of over TRAIN_CHARS characters are not
-    learned from, so a language that has no others is judged like an unlearned one.
+    pass; with one language there is no margin and FOREIGN alone decides; with
+    fewer than LEAST texts learned from every text with a letter stays.
     """
-    model = train(docs)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    if not model.languages:
-        return docs.filter(F.col("text").rlike(r"\p{L}")).select(*keep)
+    model, keep = train(docs), docs.columns
+    if model.learned < LEAST:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    taken = list(keep)
+    names = tuple(taken.append(n := unused(c, taken)) or n for c in ("lang_pred", "score", "likeness"))
+    lang, score, like = map(F.col, names)
     k = len(model.languages)
-    unsure = (F.col("score") * k - 1 < MARGIN * (k - 1)) if k > 1 else F.lit(False)
-    strange = (F.col("__likeness") < FOREIGN) | (unsure & (F.col("__likeness") < DOUBTFUL))
-    return identify(docs, model, keep).filter((F.col("lang_pred") != "und") & ~strange).select(*keep)
+    unsure = (score * k - 1 < MARGIN * (k - 1)) if k > 1 else F.lit(False)
+    strange = (like < FOREIGN) | (unsure & (like < DOUBTFUL))
+    return identify(docs, model, keep, out=names).filter((lang != "und") & ~strange).select(*[f"`{c}`" for c in keep])
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,13 +200,15 @@ class Tagger:
         out[:] = self.p["c"][None, :, None]
         for d, weights in (("f", self.p["V"][:h]), ("b", self.p["V"][h:])):
             table_, recur = (self.p["X" + d] + self.p["b" + d]) * sign, np.ascontiguousarray((self.p["H" + d] * sign).T)
+            steep = float(np.abs(table_).max() + np.abs(recur).sum(axis=1).max()) > 80
             states, cell = np.empty((steps, h, n), np.float32), np.zeros((h, n), np.float32)
             state, z, picked, new = np.zeros((h, n), np.float32), np.empty((4 * h, n), np.float32), np.empty((n, 4 * h), np.float32), np.empty((h, n), np.float32)
             for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
                 np.matmul(recur, state, out=z)
                 np.take(table_, xt[t], axis=0, out=picked, mode="clip")
                 z += picked.T
-                np.minimum(z, 80, out=z)  # exp stays finite
+                if steep:  # exp must stay finite
+                    np.minimum(z, 80, out=z)
                 np.exp(z, out=z)
                 z += 1
                 np.reciprocal(z, out=z)

@@ -90,6 +90,72 @@ def test_reject_without_a_model_keeps_texts(spark):
     assert sorted(r.doc_id for r in o1.reject(docs).collect()) == [1, 4]
 
 
+def test_letters():
+    assert [o1.has_letter(t) for t in ("²½①", "123 _", "é", "漢", "ª", "", None, "1a")] == [False, False, True, True, True, False, False, True]
+
+
+def test_presence_kernel_equals_plain_sets():
+    rng = random.Random(6)
+    some = ["".join(rng.choice("abcdefghij KLM😀é") for _ in range(rng.randrange(1, 120))) for _ in range(40)]
+    grams = [{(n, t.lower()[k : k + n]) for n in o1.GRAMS for k in range(len(t.lower()) - n + 1)} for t in some]
+    x = o1.presence(some)
+    got = o1.kernel(x, x)
+    for i, a in enumerate(grams):
+        assert 0 <= len(a) - int(x[i].sum()) <= 0.05 * len(a) + 1  # n-grams that share a hash count once
+        for j, b in enumerate(grams):
+            assert got[i, j] == pytest.approx(len(a & b) / math.sqrt(len(a) * len(b)), abs=0.03)
+
+
+def test_scores_do_not_depend_on_neighbours(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    language = o1.train(docs)
+    rows = [t for _, t in rows_of(SF)]
+    assert language.predict(rows) == tuple([v for own in part for v in own] for part in zip(*(language.predict([t]) for t in rows)))
+    quality = o10.train(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    raw = [t.encode() for t in rows]
+    ends = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    together = quality.score(np.frombuffer(b"".join(raw), np.uint8), ends, ends[1:] - ends[:-1] + 0.0)
+    assert together.tolist() == [float(quality.score(np.frombuffer(r, np.uint8), np.array([0, len(r)]), np.array([len(r) + 0.0]))[0]) for r in raw]
+    for f in (o1.op1_language, o10.op10_quality):
+        first = sorted(map(tuple, f(spark, "/root/testdata/sf0.01").collect()))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+        try:
+            assert sorted(map(tuple, f(spark, "/root/testdata/sf0.01").collect())) == first
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_reject_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, f"some plain english words of text number {i}", "en" if i % 2 else "xx", 0.5, "mine", 1.0) for i in range(400)], "doc_id long, text string, lang string, score double, lang_pred string, likeness double")
+    out = o1.reject(docs)
+    assert out.columns == docs.columns and {(r.score, r.lang_pred, r.likeness) for r in out.collect()} == {(0.5, "mine", 1.0)}
+
+
+def test_long_texts_are_learned_from(spark):
+    docs = spark.createDataFrame([(i, ("alpha beta gamma " if i % 2 else "uno dos tres cuatro ") * 3000, "a" if i % 2 else "b") for i in range(20)], "doc_id long, text string, lang string")
+    model = o1.train(docs)
+    assert model.languages == ["a", "b"] and model.predict(["gamma alpha", "tres uno dos"])[0] == ["a", "b"]
+
+
+def test_factorisation_machine_equals_explicit_pairs():
+    rng = np.random.default_rng(2)
+    model = o10.QualityModel(0.3, rng.normal(0, 1, (1 << o10.BITS) + o10.STATS).astype(np.float32), rng.normal(0, 1, ((1 << o10.BITS) + o10.STATS, o10.FACTORS)).astype(np.float32))
+    for text, stated in (("a b c d b a", 11.0), ("", np.nan), ("One two, three! 4 5", -1.0), ("x", 1e6)):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        cell, bounds, stats = o10.features(raw, np.array([0, len(raw)]), np.array([stated]))
+        x = [(int(c), 1 / math.sqrt(max(1, len(cell)))) for c in cell] + [((1 << o10.BITS) + k, float(v)) for k, v in enumerate(stats[0])]
+        z = 0.3 + sum(float(model.weights[i]) * v for i, v in x) + sum(float(model.factors[i].astype(float) @ model.factors[j].astype(float)) * v * w for k, (i, v) in enumerate(x) for j, w in x[:k])
+        assert model.raw(cell, bounds, stats)[0][0] == pytest.approx(z, rel=1e-4, abs=1e-4)
+
+
+def test_quality_reads_the_stated_length(spark):
+    docs = spark.createDataFrame([(i, "the same words", 10_000 if i % 2 else 3, "x") for i in range(400)], "doc_id long, text string, n_chars int, score string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    out = o10.score(docs, o10.train(docs, labels), ["doc_id", "score"])
+    assert out.columns == ["doc_id", "score", "score_"]
+    assert all((r["score_"] > 0.5) == bool(r.doc_id % 2) for r in out.collect())
+
+
 def test_quality_held_out(spark):
     label = dict(duckdb.sql("select doc_id, quality from '/root/testdata/sf0.01/labels.parquet'").fetchall())
     rows = [(r.score, label[r.doc_id]) for r in o10.op10_quality(spark, "/root/testdata/sf0.01").collect() if r.held_out and r.doc_id in label]
