@@ -279,7 +279,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, bins: int = BINS,
     same = ["set_a", "set_b", "n_shingles"]
     # Numbers are unique within the checkpoint, and nothing else is asked of them.
     classes = checkpoint(full.groupBy(*same).agg(F.min(first).alias("first"), F.min_by("bands", first).alias("bands")).withColumn("node", F.monotonically_increasing_id()))
-    entries = checkpoint(classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")))
+    entries = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     crowd = entries.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     entries = entries.join(crowd, "bucket")
     popular = entries.groupBy("node").agg(F.sum("members").alias("degree"))

@@ -286,6 +286,73 @@ def test_targets_and_reruns(spark):
     assert all(abs(took[s] - t) < 0.03 * t for s, t in target.items())
 
 
+def test_pivoting_keeps_expectations_and_words():
+    rng = np.random.default_rng(9)
+    for trial in range(6):
+        size = np.sort(np.append((rng.pareto(1.2, 40) * 30).astype(int), [0, 0, 900]))[::-1]
+        part = rng.random(len(size)) if trial % 2 else np.full(len(size), rng.random())
+        hits, runs = np.zeros(len(size)), 3000
+        for _ in range(runs):
+            coin = rng.random(len(size))
+            got, held = o3.pivot(part, size, coin) if trial % 2 else o3.pool(part[0], size, coin)
+            assert np.flatnonzero((got > 0) & (got < 1)).tolist() == ([held] if held >= 0 else [])
+            assert (got * size).sum() == pytest.approx((part * size).sum())
+            hits += np.where(got == np.round(got), got, rng.random(len(got)) < got)
+        want = np.where(size > 0, part, 0)
+        assert (np.abs(hits / runs - want) < 5 * np.sqrt(want * (1 - want) / runs) + 1e-9).all()
+
+
+def test_the_last_group_leaves_none_open_and_holds_words():
+    rng = np.random.default_rng(10)
+    for trial in range(200):
+        size = np.sort((rng.pareto(1.2, 60) * 30).astype(int) + 1)[::-1]
+        part = np.full(60, rng.random())
+        got, held = o3.pool(part[0], size, rng.random(60), True)
+        assert held < 0 and set(got.tolist()) <= {0.0, 1.0}
+        if 2 * size[0] < size.sum() * min(part[0], 1 - part[0]):
+            assert abs((got * size).sum() - (part * size).sum()) <= size[30:].max()
+    size, hits = np.full(50, 7), np.zeros(50)
+    for _ in range(3000):
+        hits += o3.pool(0.4, size, rng.random(50), True)[0]
+    assert (np.abs(hits / 3000 - 0.4) < 5 * np.sqrt(0.24 / 3000))[:-3].all()
+
+
+def took(rows, source):
+    words, target = collections.Counter(), {}
+    for i, _, _, t, n in rows:
+        words[source[i]] += n
+        target[source[i]] = t
+    return words, target
+
+
+def test_many_levels_come_near_targets_too(spark, monkeypatch):
+    """Groups of 100 documents and 2 residuals: four levels for each source of 500 documents, one for the small one."""
+    monkeypatch.setattr(o3, "GROUP_ROWS", 100)
+    monkeypatch.setattr(o3, "FAN_IN", 2)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").withColumn("source", F.when(F.col("doc_id") % 200 == 0, "few").otherwise(F.col("source")))
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    rows = list(map(tuple, o3.mixture(docs).select("doc_id", "size", "source_size", "target", "taken").collect()))
+    words, target = took(rows, source)
+    assert len(rows) == len(source) and all(n <= 3 * size for _, size, _, _, n in rows)
+    assert all(abs(words[s] - t) < 0.03 * t for s, t in target.items())
+
+
+def test_resample_takes_what_the_plan_takes(spark):
+    """Repeated and missing keys, rows that are the same, rows that differ in other columns only."""
+    rng = random.Random(7)
+    rows = [(rng.choice([None, 1, 2, 3, i]), " ".join(["w"] * rng.randrange(0, 9)), rng.choice("abc"), rng.choice("xy")) for i in range(400)] + [(7, "all the same", "a", "z")] * 300
+    docs = spark.createDataFrame([(i, t, s, x, 1) for i, t, s, x in rows], "doc_id long, text string, source string, mix_key string, copies int")
+    plan = o3.mixture(docs)
+    out = o3.resample(docs)
+    assert out.columns == docs.columns and plan.count() == len(rows)
+    want = collections.Counter()
+    for r in plan.collect():
+        want[r.doc_id, r["size"]] += r.copies
+    got = collections.Counter((r.doc_id, len(WORD.findall(r.text))) for r in out.collect())
+    assert got == +want
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, o3.resample(docs.repartition(5)).collect()))
+
+
 def test_license_places(spark):
     d = texts()
     for r in o4.op4_licenses(spark, SF).collect():
