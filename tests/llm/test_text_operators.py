@@ -1,5 +1,6 @@
 """The text operators against brute force, exact round trips and held-out rows."""
 
+import base64
 import collections
 import hashlib
 import math
@@ -463,6 +464,70 @@ def test_chunks(spark):
     assert o8.fingerprints([t.encode() for t in d.values()]) == [o8.fingerprints([t.encode()])[0] for t in d.values()]
 
 
+def plain_chunks(text):
+    """Digest-free chunks by the definition: one byte at a time, lengths and contents."""
+    raw, gear, out, start = text.encode("utf-8", "surrogatepass"), [int(x) for x in o8.gear()], [], 0
+    while start < len(raw):
+        end = min(start + o8.MAX_CHUNK, len(raw))
+        if len(raw) - start <= o8.MIN_CHUNK:
+            end = len(raw)
+        else:
+            for cut in range(start + o8.MIN_CHUNK, end):
+                h = 0
+                for b in raw[max(0, cut - 32) : cut]:
+                    h = ((h << 1) + gear[b]) & 0xFFFFFFFF
+                if h & int(o8.STRICT if cut < start + o8.NORMAL_CHUNK else o8.LOOSE) == 0:
+                    end = cut
+                    break
+        out.append(raw[start:end])
+        start = end
+    return out
+
+
+def test_chunks_equal_a_plain_chunker(spark):
+    rng = random.Random(21)
+    rows = [(i, t) for i, t in rows_of(SF) if len(t) < 3000][:60] + [(9000 + k, "".join(rng.choice("ab cé漢.") for _ in range(k * 7))) for k in range(40)] + [(8000, "x" * 700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in o8.with_next(docs).collect()}
+    order = sorted(rows, reverse=True)
+    sets = {t: set(plain_chunks(t)) for _, t in rows}
+    like = lambda a, b: float(not a and not b) if not a or not b else sum(map(len, a & b)) / min(sum(map(len, a)), sum(map(len, b)))
+    prints = {}
+    for k, (i, t) in enumerate(order):
+        following, n = order[(k + 1) % len(order)][1], len(t) // 3
+        changed = t[: len(t) - n] + following[:n]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), sha(changed))
+        assert r.near_next == pytest.approx(like(sets[t], sets[following])) and r.near_edited == pytest.approx(like(sets[t], set(plain_chunks(changed))))
+        lengths = sorted(np.frombuffer(base64.b64decode(r.fingerprint), np.dtype([("d", "<u8"), ("n", "<u2")]))["n"].tolist())
+        assert lengths == sorted(map(len, sets[t]))
+        assert prints.setdefault(r.fingerprint, sets[t]) == sets[t]
+
+
+def test_neighbours_across_ranges_and_equal_ids(spark, monkeypatch):
+    monkeypatch.setattr(o8, "RANGE_CHARS", 200)
+    monkeypatch.setattr(o8, "LEAST_RANGES", 2)
+    rng = random.Random(3)
+    rows = [(7, f"text of the hot id number {k} and more of it") for k in range(60)] + [(rng.randrange(-50, 50), f"another text {k}") for k in range(60)] + [(None, "no id"), (None, "none at all"), (7, None), (99, "same"), (99, "same"), (99, "same")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = o8.with_next(docs)
+    assert got.rdd.getNumPartitions() > 10
+    signed = {r.text or "": r.h for r in docs.selectExpr("text", "xxhash64(coalesce(text, '')) h").collect()}
+    order = sorted([(o8.LOWEST if i is None else i, signed[t or ""], t or "") for i, t in rows], reverse=True)
+    want = []
+    for k, (i, _, t) in enumerate(order):
+        following, n = order[(k + 1) % len(order)][2], len(t) // 3
+        want.append((None if i == o8.LOWEST else i, len(t), sha(t[: len(t) - n] + following[:n])))
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_chars, r.edited_sha256)) for r in got.collect())
+
+
+def test_ranges_are_cut_where_characters_are():
+    at = o8.limits([(1, 5, 9, 100), (6, 6, 50, 1000), (7, 9, 3, 50), (10, 90, 3, 60)], 5)
+    keys, hashes = np.array([1, 5, 6, 6, 6, 7, 10, 90]), np.array([0, 0, o8.LOWEST, 0, (1 << 63) - 1, 3, 3, 3])
+    got = o8.range_numbers(keys, hashes, at)
+    assert (np.diff(got) >= 0).all() and got[4] - got[2] >= 3 and got[-1] == len(at)
+
+
 def linked(rows, width):
     """Set size and smallest id reachable of each (id, text) row; null ids are the largest."""
     sets = []
