@@ -9,9 +9,14 @@ compacted. A word falls back to its single leftmost merge in a round in which
 a symbol made by the merge could join a neighbour at the same or a better
 rank, so the result equals one-merge-at-a-time order.
 
-Edge cases: null text counts as empty and gives no ids; repeated rows give
-equal rows; a text without spaces is one word and needs memory in proportion to
-its length; extra columns are ignored by the query.
+The model's bytes travel with the job, so executors need no file.
+
+Edge cases: null text counts as empty and gives no ids; pairs of equal rank merge
+leftmost first; repeated rows give equal rows; a text without spaces is one word and
+needs memory in proportion to its length; an empty table gives no rows; a model of
+over a million pieces is refused, as its tables hold 20 bits for a piece; extra
+columns are ignored by the query and kept by ``encode``, whose results take other
+names where a column has theirs.
 """
 
 from __future__ import annotations
@@ -20,12 +25,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm.common import prepare, schema_of, slices, table
+from quarry.llm.common import prepare, schema_of, slices, table, unused
 
 SPACE = "▁"
 #: Words whose ids a task keeps; beyond it the table starts anew.
@@ -44,11 +51,13 @@ def default_model() -> str:
 class PieceModel:
     """Tables of a BPE model: characters, pair ranks and what pieces decode to."""
 
-    def __init__(self, path: str):
+    def __init__(self, raw: bytes):
         import sentencepiece
 
-        lib = sentencepiece.SentencePieceProcessor(model_file=path)
+        lib = sentencepiece.SentencePieceProcessor(model_proto=raw)
         size = lib.get_piece_size()
+        if size >= 1 << 20:
+            raise ValueError("the model has more pieces than 20 bits can name")
         self.pieces = [lib.id_to_piece(i) for i in range(size)]
         self.is_byte = np.array([lib.is_byte(i) for i in range(size)])
         special = np.array([lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i) for i in range(size)])
@@ -287,40 +296,49 @@ class PieceModel:
 
 
 @lru_cache(maxsize=2)
+def built(raw: bytes) -> PieceModel:
+    return PieceModel(raw)
+
+
 def load(path: str) -> PieceModel:
-    return PieceModel(path)
+    return built(Path(path).read_bytes())
 
 
 def encode(docs: DataFrame, model: str | None = None, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """The kept columns with ``ids`` (array of int) and ``decoded`` (string) of each text."""
-    path = model or default_model()
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "decoded")]
-    source = docs.select(*{c: 0 for c in [*keep, text]})
-    schema = schema_of(docs, keep, "ids array<int>, decoded string")
-    prepare(docs.sparkSession)
+    keep = list(docs.columns if keep is None else keep)
+    ids_, decoded_ = unused("ids", keep), unused("decoded", [*keep, unused("ids", keep)])
+    source = docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, text])])
+    schema = schema_of(docs, keep, f"`{ids_}` array<int>, `{decoded_}` string")
+    shared = _share(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path)
+        model = built(shared.value)
         for batch in batches:
             for part, _, _ in slices(batch, text):
                 ids = model.encode([t or "" for t in part.column(text).to_pylist()])
                 cols = [part.column(c) for c in keep] + [pa.array(ids, pa.list_(pa.int32())), pa.array([model.decode(x) for x in ids], pa.string())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*keep, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays(cols, names=[*keep, ids_, decoded_])
 
     return source.mapInArrow(run, schema)
 
 
+def _share(spark: SparkSession, path: str | None) -> Broadcast:
+    """The model file's bytes, read on the driver; a fixed size."""
+    prepare(spark)
+    return spark.sparkContext.broadcast(Path(path or default_model()).read_bytes())
+
+
 def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
     """Count of ids and digests of ids and decoded text, without moving the ids.
 
     The same word-level encoding as :func:`encode`; each distinct word's ids are
     written out once and texts are put together from them.
     """
-    path = model or default_model()
-    prepare(docs.sparkSession)
+    shared = _share(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path)
+        model = built(shared.value)
         digits = [str(i) for i in range(len(model.pieces))]
         known: dict[str, tuple[int, str, str]] = {}
         for batch in batches:
