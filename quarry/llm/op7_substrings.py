@@ -10,12 +10,16 @@ owned passages fuse into maximal exact repeats, which are removed.
 Documents are dealt into groups by a hash of their key, and one exchange of the
 text serves all three passes over it. What travels besides is packed: each group
 sends every distinct anchor once to the bucket that its hash names, as 32 bits,
-so a passage held by any share of all documents costs a group one entry. Anchor
-hits may be false (the passage check is on 128 bits), never missed.
+so a passage held by any share of all documents costs a group one entry. There is a
+bucket for every GROUPS_A_BUCKET groups, which bounds the pieces that a group cuts its
+anchors into. Anchor hits may be false, never missed. Owners are found by 128 bits of
+a passage; back in its group a passage is known by 64 bits made of them, among the
+passages of that group alone.
 
 Edge cases: null text has no words; documents under ``window`` words lose
 nothing; a null key counts as larger than all others; rows with equal keys don't
-remove from each other; extra columns are ignored.
+remove from each other, so of tied rows all keep the passage; a text of any length
+is in memory of one task; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import find_words, hash_words, mix, prepare, rolling, slices, table
 
 #: Characters of text in a group, and the least number of groups.
-GROUP_CHARS, MIN_GROUPS = 8 << 20, 64
+GROUP_CHARS, MIN_GROUPS, GROUPS_A_BUCKET = 8 << 20, 64, 8
 NEVER = np.int64(0x7FFFFFFFFFFFFFFF)
 
 
@@ -108,6 +112,7 @@ def repeats(docs: DataFrame, window: int = 50, text: str = "text", key: str = "d
     width = window // 2
     chars = docs.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0
     groups = max(MIN_GROUPS, -(-chars // GROUP_CHARS))
+    buckets = max(MIN_GROUPS, -(-groups // GROUPS_A_BUCKET))
     dealt = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(key), F.length(text)), F.lit(groups)).cast("int").alias("g")).repartition("g")
 
     def anchors(group: pa.Table) -> pa.Table:
@@ -121,8 +126,8 @@ def repeats(docs: DataFrame, window: int = 50, text: str = "text", key: str = "d
         several = np.diff(np.append(first, len(hashes))) > 1
         probes = hashes[first]
         rows = {"bucket": [], "g": [], "probes": [], "several": [], "blocks": []}
-        order, cut = _cut(probes, groups)
-        order_b, cut_b = _cut(blocks, groups)
+        order, cut = _cut(probes, buckets)
+        order_b, cut_b = _cut(blocks, buckets)
         for b in np.flatnonzero(np.diff(cut)).tolist():
             own = order[cut[b] : cut[b + 1]]
             rows["bucket"].append(b)
@@ -159,7 +164,7 @@ def repeats(docs: DataFrame, window: int = 50, text: str = "text", key: str = "d
             return np.zeros(0, np.int64)
         # bucket and low bits together name an anchor
         known = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(x, np.uint32).astype(np.uint64) for b, x in zip(live.column("bucket").to_pylist(), live.column("live").to_pylist())]))
-        name = (((hashes >> np.uint64(32)) % np.uint64(groups)) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
+        name = (((hashes >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
         hit = at[_in_sorted(name, known)]
         mark = np.zeros(len(words) + 1, np.int64)  # passages from hit - (window - width) to hit
         np.add.at(mark, np.maximum(hit - (window - width), 0), 1)
@@ -182,7 +187,7 @@ def repeats(docs: DataFrame, window: int = 50, text: str = "text", key: str = "d
             first = np.flatnonzero(fresh)
             several = (np.diff(np.append(first, len(a))) > 1).astype(np.uint8)
             a, b, key_ = a[fresh], b[fresh], key_[fresh]
-            order, cut = _cut(a, groups)
+            order, cut = _cut(a, buckets)
             for k in np.flatnonzero(np.diff(cut)).tolist():
                 own = order[cut[k] : cut[k + 1]]
                 for name, x in (("bucket", k), ("g", g), ("a", _pack(a[own])), ("b", _pack(b[own])), ("owner", _pack(key_[own])), ("several", _pack(several[own]))):
