@@ -11,12 +11,17 @@ successive approximation), all with restart markers.
 Reading parses the markers of every file of a batch and decodes alike scans
 together: each restart interval is a lane, and a step takes the next symbol (or,
 in refinement scans, the next coefficient) of all lanes at once. Scans accumulate
-into one coefficient array, which a matrix product transforms back; chroma is
-upsampled and converted to full-resolution RGB.
+into one coefficient array, which a matrix product transforms back by each
+component's own quantisation table; chroma is upsampled and converted to RGB tensors
+of full resolution. ``tensors`` stores them; the query takes its feature from them.
+Files of other writers are read too: any script of scans, tables of any scan and
+component, with or without restart markers.
 
 Edge cases: null text counts as empty and gives one unit of padding; equal texts
-give equal values; a file with a marker missing, a baseline file, or one cut
-short raises ValueError; extra columns are ignored by the query.
+give equal values, as do repeated rows; a text of any length is one image, wider
+above MOST_ROWS rows of macroblocks; an empty table gives no rows; a file with a marker
+missing, a baseline file, one cut short, or one of other than three components in 4:2:0
+raises ValueError; extra columns are ignored by the query.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.common import prepare, schema_of, slices, table
 
-UNIT, RESTART, MOST_ROWS = 576, 8, 4095
+UNIT, RESTART, MOST_ROWS, TENSORS = 576, 8, 4095, 64
 TAG = b"PAYLOAD\x00"
 #: (components, first and last coefficient, high and low bit position)
 SCANS = [((0, 1, 2), 0, 0, 0, 1), *(((c,), 1, 5, 0, 1) for c in range(3)), *(((c,), 6, 63, 0, 0) for c in range(3)), *(((c,), 1, 5, 1, 0) for c in range(3)), ((0, 1, 2), 0, 0, 1, 0)]
@@ -92,10 +97,15 @@ def geometry(units: int) -> tuple[int, int]:
     return wide, -(-need // wide)
 
 
-def component_blocks(wide: int, high: int) -> list[np.ndarray]:
-    """Macroblock-order index (6 to a macroblock) of each component's blocks, row by row."""
+def component_blocks(wide: int, high: int, size: tuple[int, int] | None = None) -> list[np.ndarray]:
+    """Macroblock-order index (6 to a macroblock) of each component's blocks, row by row.
+
+    A scan of one component holds no block that lies wholly beyond the picture's size.
+    """
     rows, cols = np.divmod(np.arange(4 * wide * high), 2 * wide)
     luma = ((rows // 2) * wide + cols // 2) * 6 + (rows % 2) * 2 + cols % 2
+    if size:
+        luma = luma[(8 * rows < size[0]) & (8 * cols < size[1])]
     each = np.arange(wide * high) * 6
     return [luma, each + 4, each + 5]
 
@@ -259,7 +269,8 @@ class File:
     length: int = -1
     wide: int = 0
     high: int = 0
-    quant: bytes = b""
+    size: tuple[int, int] = (0, 0)  # pixels down and across
+    quant: tuple[bytes, ...] = ()  # of each component
     scans: list = field(default_factory=list)
 
 
@@ -267,6 +278,8 @@ def parse(raw: bytes) -> File:
     if raw[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
     out, tables, restart, at = File(), {}, 0, 2
+    quants: dict[int, bytes] = {}
+    frame: list[tuple[int, int]] = []  # id and quantisation table of each component
     while True:
         if at + 2 > len(raw) or raw[at] != 0xFF:
             raise ValueError("a marker is missing")
@@ -278,12 +291,16 @@ def parse(raw: bytes) -> File:
         if marker == 0xEB and body.startswith(TAG):
             (out.length,) = struct.unpack(">Q", body[len(TAG) :])
         elif marker == 0xDB:
-            out.quant = body[1:65]
+            while body:
+                if body[0] >> 4:
+                    raise ValueError("quantisation tables of 16 bits are not read")
+                quants[body[0] & 15], body = body[1:65], body[65:]
         elif marker == 0xC2:
             _, y, x, n = struct.unpack_from(">BHHB", body)
             if n != 3 or [(body[7 + 3 * c] >> 4, body[7 + 3 * c] & 15) for c in range(3)] != list(SAMPLING):
                 raise ValueError("only three components in 4:2:0 are read")
-            out.wide, out.high = -(-x // 16), -(-y // 16)
+            out.wide, out.high, out.size = -(-x // 16), -(-y // 16), (y, x)
+            frame = [(body[6 + 3 * c], body[8 + 3 * c]) for c in range(3)]
         elif 0xC0 <= marker <= 0xCF and marker != 0xC4:
             raise ValueError("not a progressive file")
         elif marker == 0xC4:
@@ -295,16 +312,20 @@ def parse(raw: bytes) -> File:
             (restart,) = struct.unpack(">H", body)
         elif marker == 0xDA:
             n = body[0]
-            comps = tuple(body[1 + 2 * k] - 1 for k in range(n))
+            order = [i for i, _ in frame]
+            if any(body[1 + 2 * k] not in order for k in range(n)):
+                raise ValueError("a scan of a component that no frame has")
+            comps = tuple(order.index(body[1 + 2 * k]) for k in range(n))
             first, last, bits = body[1 + 2 * n : 4 + 2 * n]
             end = _MARKER.search(raw, at)
             if not end:
                 raise ValueError("a scan doesn't end")
-            used = tables.get(body[2] >> 4) if first == 0 else tables.get(0x10 | body[2] & 15)
+            used = tuple(tables.get(body[2 + 2 * k] >> 4) if first == 0 else tables.get(0x10 | body[2 + 2 * k] & 15) for k in range(n))
             out.scans.append((comps, first, last, bits >> 4, bits & 15, used, restart, raw[at : end.start()]))
             at = end.start()
-    if not out.quant or not out.wide or not out.scans:
+    if not out.wide or not out.scans or any(q not in quants for _, q in frame):
         raise ValueError("a header is missing")
+    out.quant = tuple(quants[q] for _, q in frame)
     return out
 
 
@@ -342,6 +363,8 @@ def _codes(table_: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _decode_scans(coef: np.ndarray, jobs: list[tuple[np.ndarray, bytes]], scan: tuple) -> None:
     """Decode one scan of several files into coef. jobs: rows of coef in scan order, and data."""
     comps, first, last, high, low, used, restart = scan
+    if len(comps) not in (1, 3) or (len(comps) == 3 and first):
+        raise ValueError("a scan is of one component, or of all three for DC")
     per = 6 if len(comps) > 1 else 1
     lanes, counts = [], []
     for rows, data in jobs:
@@ -364,14 +387,17 @@ def _decode_scans(coef: np.ndarray, jobs: list[tuple[np.ndarray, bytes]], scan:
             raise ValueError("a scan is cut short")
         coef[rows, 0] |= ((bits.peek(position) >> np.uint64(63)).astype(np.int16) << low).astype(np.int16)
         return
-    table_ = lookup(*used)
+    if any(u is None for u in used):
+        raise ValueError("a scan without a table")
+    tables = [lookup(*u) for u in used]
+    table_ = tables[0]
     if first == 0:
         comp = np.array([0, 0, 0, 0, 1, 2]) if per > 1 else np.array([comps[0]])
         before = np.zeros((len(count), 3), np.int64)
         for k in range(int(count.max())):
             live = np.flatnonzero(count > k)
             window = bits.peek(at[live])
-            length, size = _codes(table_, window)
+            length, size = _codes(tables[comp[k % per] if per > 1 else 0], window)
             diff = _signed(_top(window << length.astype(np.uint64), size), size)
             c = comp[k % per]
             before[live, c] += diff
@@ -453,14 +479,14 @@ def read(files: list[bytes]) -> tuple[list[File], np.ndarray, np.ndarray]:
     heads = [parse(f) for f in files]
     base = np.concatenate(([0], np.cumsum([h.wide * h.high * 6 for h in heads]))).astype(np.int64)
     coef = np.zeros((int(base[-1]), 64), np.int16)
-    blocks: dict[tuple[int, int], list[np.ndarray]] = {}
+    blocks: dict[tuple, list[np.ndarray]] = {}
     for turn in range(max((len(h.scans) for h in heads), default=0)):
         alike = defaultdict(list)
         for h, b in zip(heads, base.tolist()):
             if turn < len(h.scans):
                 *scan, data = h.scans[turn]
                 if len(scan[0]) == 1:
-                    shape = (h.wide, h.high)
+                    shape = (h.wide, h.high, h.size)
                     if shape not in blocks:
                         blocks[shape] = component_blocks(*shape)
                     rows = blocks[shape][scan[0][0]] + b
@@ -480,10 +506,11 @@ def inverse() -> np.ndarray:
     return np.kron(c, c)[zigzag()].astype(np.float32)
 
 
-def macroblocks(coef: np.ndarray, quant: bytes) -> np.ndarray:
+def macroblocks(coef: np.ndarray, quant: tuple[bytes, ...]) -> np.ndarray:
     """RGB of each macroblock, 16 x 16 x 3, from dequantised coefficients."""
-    scaled = coef.astype(np.float32) * np.frombuffer(quant, np.uint8).astype(np.float32)
-    samples = (scaled @ inverse()).reshape(-1, 6, 8, 8) + 128.0
+    table_ = np.frombuffer(b"".join([quant[0]] * 4 + [quant[1], quant[2]]), np.uint8).astype(np.float32).reshape(6, 64)
+    scaled = coef.reshape(-1, 6, 64) * table_
+    samples = (scaled.reshape(-1, 64) @ inverse()).reshape(-1, 6, 8, 8) + 128.0
     luma = np.concatenate((np.concatenate((samples[:, 0], samples[:, 1]), 2), np.concatenate((samples[:, 2], samples[:, 3]), 2)), 1)
     up = lambda s: s.repeat(2, axis=1).repeat(2, axis=2) - 128.0
     y, cb, cr = np.clip(np.rint(luma), 0, 255), up(np.clip(np.rint(samples[:, 4]), 0, 255)), up(np.clip(np.rint(samples[:, 5]), 0, 255))
@@ -491,10 +518,23 @@ def macroblocks(coef: np.ndarray, quant: bytes) -> np.ndarray:
     return np.clip(np.rint(rgb), 0, 255).astype(np.uint8)
 
 
+def images(heads: list[File], coef: np.ndarray, base: np.ndarray) -> Iterator[np.ndarray]:
+    """The tensor of each file, height x width x 3; files with the same tables are transformed together."""
+    k = 0
+    while k < len(heads):
+        stop = k + 1
+        while stop < len(heads) and heads[stop].quant == heads[k].quant and base[stop + 1] - base[k] <= 6 * 2048:
+            stop += 1
+        blocks = macroblocks(coef[base[k] : base[stop]], heads[k].quant) if base[stop] - base[k] <= 6 * 2048 else np.concatenate([macroblocks(coef[a : min(a + 6 * 2048, base[stop])], heads[k].quant) for a in range(base[k], base[stop], 6 * 2048)])
+        for h, a, b in zip(heads[k:stop], (base[k:stop] - base[k]) // 6, (base[k + 1 : stop + 1] - base[k]) // 6):
+            tiles = blocks[a:b].reshape(h.high, h.wide, 16, 16, 3).transpose(0, 2, 1, 3, 4)
+            yield tiles.reshape(16 * h.high, 16 * h.wide, 3)[: h.size[0], : h.size[1]]
+        k = stop
+
+
 def tensor(head: File, coef: np.ndarray) -> np.ndarray:
     """Full-resolution RGB image, height x width x 3."""
-    m = macroblocks(coef, head.quant).reshape(head.high, head.wide, 16, 16, 3)
-    return m.transpose(0, 2, 1, 3, 4).reshape(16 * head.high, 16 * head.wide, 3)
+    return next(images([head], coef, np.array([0, len(coef)])))
 
 
 def payload(head: File, coef: np.ndarray) -> bytes:
@@ -522,17 +562,17 @@ def store(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 
 def tensors(media: DataFrame, keep: list[str], column: str = "media") -> DataFrame:
-    """The kept columns with height, width, rgb (bytes, row by row) and payload of each file."""
+    """The kept columns with height, width, rgb (bytes, row by row) and payload (null in a file without one) of each file."""
     prepare(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, TENSORS):
+                part = batch.slice(k, TENSORS)
                 heads, coef, base = read(part.column(column).to_pylist())
-                own = [coef[a:b] for a, b in zip(base[:-1], base[1:])]
-                images = [tensor(h, c) for h, c in zip(heads, own)]
-                cols = [pa.array([i.shape[0] for i in images], pa.int32()), pa.array([i.shape[1] for i in images], pa.int32()), pa.array([i.tobytes() for i in images], pa.binary()), pa.array([payload(h, c) for h, c in zip(heads, own)], pa.binary())]
+                made = list(images(heads, coef, base))
+                back = [payload(h, coef[a:b]) if h.length >= 0 else None for h, a, b in zip(heads, base[:-1], base[1:])]
+                cols = [pa.array([i.shape[0] for i in made], pa.int32()), pa.array([i.shape[1] for i in made], pa.int32()), pa.array([i.tobytes() for i in made], pa.binary()), pa.array(back, pa.binary())]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *cols], names=[*keep, "height", "width", "rgb", "payload"])
 
     return media.select(*dict.fromkeys([*keep, column])).mapInArrow(run, schema_of(media, keep, "height int, width int, rgb binary, payload binary"))
@@ -554,9 +594,7 @@ def digests(media: DataFrame, keep: list[str]) -> DataFrame:
                 files = part.column("media").to_pylist()
                 heads, coef, base = read(files)
                 back = [payload(h, coef[i:j]) for h, i, j in zip(heads, base[:-1].tolist(), base[1:].tolist())]
-                rgb = np.concatenate([macroblocks(coef[6 * m : 6 * (m + 2048)], heads[0].quant).reshape(-1, 256, 3).sum(axis=1, dtype=np.int64) for m in range(0, len(coef) // 6, 2048)])
-                total = np.add.reduceat(rgb, base[:-1] // 6, axis=0)
-                feature = ["%dx%d:%s" % (16 * h.high, 16 * h.wide, ",".join("%.3f" % (v / (256 * h.high * h.wide)) for v in t)) for h, t in zip(heads, total.tolist())]
+                feature = ["%dx%d:%s" % (*i.shape[:2], ",".join("%.3f" % v for v in i.reshape(-1, 3).mean(axis=0, dtype=np.float64))) for i in images(heads, coef, base)]
                 cols = [part.column("n_bytes"), pa.array(list(map(len, back)), pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in back]), pa.array([zlib.crc32(p[-32:]) for p in back], pa.int64()), pa.array(list(map(len, files)), pa.int64()), pa.array([hashlib.sha256(f).hexdigest() for f in files]), pa.array(feature)]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *cols], names=[*keep, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 

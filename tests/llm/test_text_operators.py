@@ -418,6 +418,12 @@ def test_pieces_equal_library(spark):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(x), sha(",".join(map(str, x))), sha(lib.decode(x)))
 
 
+def test_encode_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", "mine", "too")], "doc_id long, text string, ids string, decoded string")
+    r = o5.encode(docs).first()
+    assert (r["ids"], r["decoded"], r["decoded_"]) == ("mine", "too", "a b") and r["ids_"] == o5.load(o5.default_model()).encode(["a b"])[0]
+
+
 def test_media_round_trip(spark):
     rng = random.Random(4)
     payloads = [o6.pad(bytes(rng.choices(pool, k=n))) for n in (0, 1, 576, 577, 5000) for pool in (range(256), (128,), (127, 128, 129), [128] * 30 + [1, 250])]
@@ -433,6 +439,85 @@ def test_media_round_trip(spark):
         assert (r.n_bytes, r.payload_sha256) == (len(raw), hashlib.sha256(o6.pad(raw)).hexdigest())
 
 
+def picture(spark, seed, wide, high):
+    """A smooth picture as a Java image, and its pixels."""
+    rng = np.random.default_rng(seed)
+    coarse = rng.integers(0, 256, (high // 16 + 2, wide // 16 + 2, 3)).astype(float)
+    rows, cols = np.arange(high) / 16, np.arange(wide) / 16
+    r, c = rows.astype(int), cols.astype(int)
+    fr, fc = (rows - r)[:, None, None], (cols - c)[None, :, None]
+    at = lambda i, j: coarse[r + i][:, c + j]
+    rgb = np.rint((at(0, 0) * (1 - fr) + at(1, 0) * fr) * (1 - fc) + (at(0, 1) * (1 - fr) + at(1, 1) * fr) * fc).astype(np.int64)
+    image = spark._jvm.java.awt.image.BufferedImage(wide, high, 1)
+    flat = spark.sparkContext._gateway.new_array(spark._jvm.int, wide * high)
+    for k, (x, y, z) in enumerate(rgb.reshape(-1, 3).tolist()):
+        flat[k] = x << 16 | y << 8 | z
+    image.setRGB(0, 0, wide, high, flat, 0, wide)
+    return image, rgb
+
+
+def java_pixels(spark, raw):
+    """What Java's own reader makes of a file."""
+    image = spark._jvm.javax.imageio.ImageIO.read(spark._jvm.java.io.ByteArrayInputStream(bytearray(raw)))
+    wide, high = image.getWidth(), image.getHeight()
+    flat = np.array([v & 0xFFFFFF for v in image.getRGB(0, 0, wide, high, None, 0, wide)]).reshape(high, wide)
+    return np.stack((flat >> 16, flat >> 8 & 255, flat & 255), axis=2)
+
+
+def java_file(spark, image, quality, progressive=1):
+    jvm = spark._jvm
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    param = writer.getDefaultWriteParam()
+    param.setProgressiveMode(progressive)
+    param.setCompressionMode(2)
+    param.setCompressionQuality(quality)
+    out = jvm.java.io.ByteArrayOutputStream()
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+    writer.setOutput(stream)
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), param)
+    stream.flush()
+    return bytes(out.toByteArray())
+
+
+@pytest.mark.parametrize("wide,high,quality", [(48, 32, 0.9), (33, 70, 0.4)])
+def test_progressive_files_of_another_writer(spark, wide, high, quality):
+    """Java's writer: other scans, optimised tables, two quantisation tables, no restart markers."""
+    image, rgb = picture(spark, wide, wide, high)
+    raw = java_file(spark, image, quality)
+    heads, coef, base = o6.read([raw])
+    made = o6.tensor(heads[0], coef)
+    assert made.shape == (high, wide, 3) and len(heads[0].scans) > 5 and heads[0].quant[0] != heads[0].quant[1]
+    assert np.abs(made.astype(int) - rgb).mean() < 12 and np.abs(made.astype(int) - java_pixels(spark, raw)).mean() < 3  # chroma may be smoothed there
+    with pytest.raises(ValueError):
+        o6.read([java_file(spark, image, quality, 0)])  # baseline
+
+
+def test_own_files_read_by_another_reader(spark):
+    rng = np.random.default_rng(6)
+    raw = o6.pad((128 + rng.integers(-6, 7, 4000)).astype(np.uint8).tobytes())
+    file = o6.encode([raw])[0]
+    heads, coef, _ = o6.read([file])
+    assert np.abs(o6.tensor(heads[0], coef).astype(int) - java_pixels(spark, file)).mean() < 3
+
+
+def test_tensors_on_spark(spark):
+    image, _ = picture(spark, 1, 40, 24)
+    foreign = [java_file(spark, image, q) for q in (0.95, 0.3)]
+    docs = spark.createDataFrame([(1, "some words"), (2, None), (3, "x" * 5000)], "doc_id long, text string")
+    media = o6.store(docs, ["doc_id"])
+    rows = {r.doc_id: r for r in o6.tensors(media.select("doc_id", "media").union(spark.createDataFrame([(10, foreign[0]), (11, foreign[1])], "doc_id long, media binary")).coalesce(1), ["doc_id"]).collect()}
+    files = {r.doc_id: bytes(r.media) for r in media.collect()} | {10: foreign[0], 11: foreign[1]}
+    for i, r in rows.items():
+        heads, coef, _ = o6.read([files[i]])
+        want = o6.tensor(heads[0], coef)  # alone: its own tables
+        assert (r.height, r.width) == want.shape[:2] and bytes(r.rgb) == want.tobytes()
+    assert bytes(rows[3].payload) == o6.pad(b"x" * 5000) and rows[10].payload is None and len(rows) == 5
+    feature = {r.doc_id: r.feature for r in o6.digests(media, ["doc_id"]).collect()}
+    for i in (1, 2, 3):
+        rgb = np.frombuffer(bytes(rows[i].rgb), np.uint8).reshape(-1, 3)
+        assert feature[i] == f"{rows[i].height}x{rows[i].width}:" + ",".join(f"{v:.3f}" for v in rgb.mean(axis=0))
+
+
 def test_inverse_transform_is_orthonormal():
     m = o6.inverse()
     assert abs(m @ m.T - __import__("numpy").eye(64)).max() < 1e-5
@@ -464,6 +549,15 @@ def test_chunks(spark):
     assert o8.fingerprints([t.encode() for t in d.values()]) == [o8.fingerprints([t.encode()])[0] for t in d.values()]
 
 
+def test_substrings_by_more_groups_than_buckets(spark, monkeypatch):
+    monkeypatch.setattr(o7, "MIN_GROUPS", 3)
+    monkeypatch.setattr(o7, "GROUP_CHARS", 20_000)
+    want = {r.doc_id: r.kept for r in o7.repeats(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    monkeypatch.setattr(o7, "GROUPS_A_BUCKET", 1)
+    monkeypatch.setattr(o7, "GROUP_CHARS", 1 << 30)
+    assert {r.doc_id: r.kept for r in o7.repeats(spark.read.parquet(f"{SF}/documents.parquet")).collect()} == want
+
+
 def plain_chunks(text):
     """Digest-free chunks by the definition: one byte at a time, lengths and contents."""
     raw, gear, out, start = text.encode("utf-8", "surrogatepass"), [int(x) for x in o8.gear()], [], 0
