@@ -5,18 +5,25 @@ duplicates (five-word shingles, similarity 0.8) keep one document of each group;
 personal data is replaced by the names of its kinds; sources are mixed to their
 target weights, so documents may go or repeat; the last stage returns the token
 ids of what is left.
+
+Edge cases. Null, empty and blank texts hold no letter and go in the first stage.
+Documents without a language or source are kept (a missing source is a source of its
+own). Ids may repeat or be missing: near duplicates are told by their texts, and of a
+group the row with the smallest id stays (a null id is the largest; of rows with the
+same id and text one stays). Equal weights and ties are broken by hashes, so reruns
+agree. Extra columns, whatever their names, come through all stages but the last. A
+table without rows gives none. Texts of any length are whole in every stage.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import op1_language, op2_pii, op3_mixing, op5_sentencepiece, op9_minhash
-from quarry.llm.common import prepare, table
+from quarry.llm.common import prepare, shared_folder, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +61,24 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's rows are written as Parquet in the shared folder and read again."""
+    """Each stage's rows are written as Parquet in the shared folder and read again.
+
+    A stage's folder is deleted when the next one is written; the last one stays, as
+    the result is read from it.
+    """
     prepare(spark)
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline")
-    docs = table(spark, sf_dir, "documents")
+    root, own = shared_folder(spark), uuid.uuid4().hex
+    docs, spent = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{root}/pipeline-{uuid.uuid4().hex}-{k}"
+        path = f"{root}/pipeline-{own}-{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if spent:
+            delete(spark, spent)
+        spent = path
     return docs
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -724,9 +725,11 @@ def test_pairs_at_the_threshold_share_a_band():
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+    lib = o5.load(o5.default_model())
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         before, docs = docs, stage(spark, docs, SF)
-        assert docs.columns == before.columns
+        if k < 4:
+            assert docs.columns == before.columns
         if k == 0:
             assert docs.count() >= 0.98 * before.count()
         if k == 1:
@@ -735,3 +738,35 @@ def test_pipeline(spark):
             assert {r.doc_id for r in docs.collect()} == keep
         if k == 2:
             assert not any(o2.base_spans(r.text) for r in docs.collect())
+            assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in before.collect()}
+        if k == 3:
+            want = {r.doc_id: r.copies for r in o3.mixture(before).collect() if r.copies and r["size"]}
+            assert collections.Counter(r.doc_id for r in docs.collect()) == want
+            texts_ = {r.doc_id: r.text for r in before.collect()}
+            assert all(r.text == texts_[r.doc_id] for r in docs.collect())
+        if k == 4:
+            want = sorted((r.doc_id, r.source, lib.encode([r.text])[0]) for r in before.collect())
+            assert sorted((r.doc_id, r.source, r.ids) for r in docs.collect()) == want and all(r.n_tokens == len(r.ids) for r in docs.collect())
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    more = ["spans", "base", "likeness", "lang_pred", "hash", "text_hash", "doc", "ids", "decoded", "root", "n", "mix_key", "copies", "turn"]
+    docs = spark.read.parquet(f"{odd}/documents.parquet").select("*", *[F.lit(c).alias(c) for c in more if c != "spans"])
+    for table_ in (docs, docs.limit(0)):
+        out = table_
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before, out = out, stage(spark, out, odd)
+            assert k == 4 or out.schema == before.schema or out.columns == before.columns
+            if k < 4:
+                assert all(r["mix_key"] == "mix_key" and r["hash"] == "hash" for r in out.collect())
+        rows = out.collect()
+        assert {r.doc_id for r in rows} <= {4, 6, 7, 9, None} and (bool(rows) or table_ is not docs)
+
+
+def test_pipeline_leaves_one_folder(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(root.glob("pipeline-*"))
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert len(set(root.glob("pipeline-*")) - before) == 1
