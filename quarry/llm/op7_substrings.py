@@ -256,3 +256,23 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document; windows of 50 words."""
     out = repeats(table(spark, sf_dir, "documents"), 50)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+#: The same rows in SQL: every window, its smallest holder, the words that others' windows cover.
+SQL = """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), p AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS h FROM w, unnest(range(1, len(ws) - 48)) r(i) WHERE len(ws) >= 50
+), f AS (
+  SELECT h, min(doc_id) AS owner FROM p GROUP BY h
+), g AS (
+  SELECT DISTINCT p.doc_id, unnest(range(p.i, p.i + 50)) AS i FROM p JOIN f USING (h) WHERE f.owner < p.doc_id
+), t AS (
+  SELECT w.doc_id, r.i, w.ws[r.i] AS word, g.i IS NOT NULL AS gone FROM w, unnest(range(1, len(ws) + 1)) r(i) LEFT JOIN g ON g.doc_id = w.doc_id AND g.i = r.i
+), k AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM t GROUP BY doc_id
+)
+SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quarry.llm import op7_substrings as substrings
+from quarry.llm import op9_minhash as minhash
 from quarry.llm.common import prepare
 from quarry.llm.op1_language import op1_language
 from quarry.llm.op2_pii import op2_pii
@@ -15,9 +17,9 @@ from quarry.llm.op9_minhash import op9_minhash
 from quarry.llm.op10_quality import op10_quality
 
 QUERIES = {f.__name__: f for f in (op1_language, op2_pii, op3_mixing, op4_licenses, op5_sentencepiece, op6_media, op7_substrings, op8_chunks, op9_minhash, op10_quality)}
-#: All ten return model scores, digests of digests or exact set joins over whole
-#: tables, which SQL can't express or is too slow for; tests/llm holds them
-#: against brute force instead.
-ORACLES: dict[str, str] = {}
+#: The exact contracts of two operators can be said in SQL. The others return model scores,
+#: roundings by hashed coins, or digests of what a method makes of a text; tests/llm holds
+#: them against brute force, round trips or held-out rows.
+ORACLES: dict[str, str] = {"op7_substrings": substrings.SQL, "op9_minhash": minhash.SQL}
 
 __all__ = ["ORACLES", "QUERIES", "prepare"]

@@ -559,6 +559,18 @@ def test_substrings_by_more_groups_than_buckets(spark, monkeypatch):
     assert {r.doc_id: r.kept for r in o7.repeats(spark.read.parquet(f"{SF}/documents.parquet")).collect()} == want
 
 
+@pytest.mark.parametrize("name", ["op7_substrings", "op9_minhash"])
+@pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.01"])
+def test_sql_twin(spark, name, sf):
+    from quarry.llm import registry
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = con.sql(registry.ORACLES[name])
+    got = registry.QUERIES[name](spark, sf).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def plain_chunks(text):
     """Digest-free chunks by the definition: one byte at a time, lengths and contents."""
     raw, gear, out, start = text.encode("utf-8", "surrogatepass"), [int(x) for x in o8.gear()], [], 0
