@@ -1,7 +1,8 @@
 """Exact statistics of one column as aggregate expressions.
 
 All skip nulls. Each is null on an empty column unless stated. Expressions of
-many columns go into one ``agg``, so a profile is one pass over the data.
+many columns go into one ``agg``. ``mode`` and ``percentile`` hold a column's distinct
+values in one task and are for small groups; tables go by :mod:`quarry.functions.values`.
 """
 
 from __future__ import annotations
@@ -57,21 +58,17 @@ def pearson(x: Column, y: Column) -> Column:
     return F.coalesce(F.try_divide(F.covar_pop(a, b), spread), F.lit(0.0))
 
 
-#: Name -> expression of the fifteen statistics of a numeric column.
-PROFILE = {
-    "count": lambda c: F.count(c),
+#: Names of the fifteen statistics of a numeric column, in order.
+PROFILE = ("count", "missing", "mean", "median", "mode", "std", "variance", "min", "max", "range", "q1", "q3", "iqr", "skewness", "kurtosis")
+#: Name -> expression of those that need no order or counts of values.
+MOMENTS = {
+    "count": F.count,
     "missing": lambda c: F.count_if(c.isNull()),
     "mean": mean,
-    "median": lambda c: F.percentile(c, F.lit(0.5)),
-    "mode": mode,
     "std": lambda c: std(c, 1),
     "variance": lambda c: variance(c, 1),
     "min": F.min,
     "max": F.max,
-    "range": lambda c: F.max(c) - F.min(c),
-    "q1": lambda c: F.percentile(c, F.lit(0.25)),
-    "q3": lambda c: F.percentile(c, F.lit(0.75)),
-    "iqr": lambda c: F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25)),
     "skewness": skewness,
     "kurtosis": kurtosis,
 }

@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from quarry.functions import missing as M
 from quarry.functions import stats as S
-from quarry.operators.profile import ColumnType, aggregate, detect_types
+from quarry.functions.values import aggregate, modes, quantiles, value_tables
+from quarry.operators.profile import ColumnType, detect_types
 
 
 def _col(name: str) -> Column:
@@ -57,18 +58,20 @@ class SimpleImputer(Step):
 
     def _fit(self, df: DataFrame, type_map: dict[str, str]) -> None:
         self.kinds, self.type_map = _kinds(df), dict(type_map)
-        named = {}
-        for i, (name, kind) in enumerate(self.kinds.items()):
+        values = {}
+        for name, kind in self.kinds.items():
             present = F.when(~M.is_missing(_col(name), kind), _col(name))
-            numeric = type_map.get(name) == "numerical"
-            value = M.to_number(_col(name), kind) if numeric else present
-            named[f"gone{i}"] = F.count_if(value.isNull())
-            if self.strategy == "constant":
-                continue
-            average = {"mean": S.mean, "median": lambda c: F.percentile(c, F.lit(0.5))}.get(self.strategy)
-            named[f"fill{i}"] = average(value) if numeric and average else S.mode(value)
-        got = aggregate(df, named)
-        self.fills = {name: self.fill_value if self.strategy == "constant" else got[f"fill{i}"] for i, name in enumerate(self.kinds)}
+            values[name] = M.to_number(_col(name), kind) if type_map.get(name) == "numerical" else present
+        numeric = [n for n in values if type_map.get(n) == "numerical"]
+        averaged = numeric if self.strategy == "mean" else []
+        got = aggregate(df, {f"gone{i}": F.count_if(v.isNull()) for i, v in enumerate(values.values())} | {f"mean{n}": S.mean(values[n]) for n in averaged})
+        fills = {n: got[f"mean{n}"] for n in averaged}
+        if self.strategy == "median":
+            x = df.select(*[values[n].alias(n) for n in numeric])
+            fills |= {n: q and q[0] for n, q in quantiles(x, numeric, [0.5]).items()}
+        if self.strategy != "constant":
+            fills |= modes(df, {n: v for n, v in values.items() if n not in fills})
+        self.fills = {name: self.fill_value if self.strategy == "constant" else fills[name] for name in self.kinds}
         self.missing = {name: got[f"gone{i}"] for i, name in enumerate(self.kinds)}
 
     def _transform(self, df: DataFrame) -> DataFrame:

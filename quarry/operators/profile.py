@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import time
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -13,9 +13,7 @@ from pyspark.sql import types as T
 
 from quarry.functions import missing as M
 from quarry.functions import stats as S
-
-#: Aggregates in one ``agg``: more would pass the limits of generated code.
-CHUNK = 120
+from quarry.functions.values import CHUNK, aggregate, modes, quantiles, value_tables
 
 
 @dataclass
@@ -28,52 +26,66 @@ class ColumnType:
     sample_values: list = field(default_factory=list)
 
 
-def aggregate(df: DataFrame, named: dict[str, Column]) -> dict:
-    """All expressions in as few passes as CHUNK allows; one row is collected each."""
-    out: dict = {}
-    names = list(named)
-    for k in range(0, len(names), CHUNK):
-        out |= df.agg(*[named[n].alias(n) for n in names[k : k + CHUNK]]).first().asDict()
-    return out
+def _logical(value, literals: set[str]) -> bool:
+    """Whether a distinct value reads as yes or no; whole doubles are texts like ``1.0``."""
+    return str(value).strip(" ").lower() in literals
 
 
-def detect_types(df: DataFrame, ratio: float = 0.05, max_unique: int = 20, bool_values: tuple[str, ...] = (), samples: int = 0) -> list[ColumnType]:
-    """Semantic type of each column: numerical, categorical or boolean.
+def _cells(df: DataFrame) -> dict[str, dict]:
+    """Counts of each column's cells and distinct values, read off the table (column, value, count).
 
-    One pass counts rows, missing cells, cells that are no number and distinct
-    raw values; at most two distinct values are looked at by name.
+    A text is parsed once for each distinct one. ``numeric``: all that is there are numbers.
     """
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    literals = [*M.TRUE_TOKENS, *M.FALSE_TOKENS, "0.0", "1.0", *bool_values]
-    named: dict[str, Column] = {"rows": F.count(F.lit(1))}
-    for i, (name, kind) in enumerate(kinds.items()):
-        c = F.col(f"`{name}`")
+    none = {"rows": 0, "odd": 0, "gone": 0, "nan": 0, "unique": 0, "low": None, "high": None}
+    found: dict[str, dict] = {name: dict(none) for name in kinds}
+    for names, kind, table in value_tables(df, {n: F.col(f"`{n}`") for n in kinds}):
+        v, n = F.col("v"), F.col("n")
         text = isinstance(kind, T.StringType)
-        number = M.to_number(c, kind) if text or M.is_numeric_type(kind) else None
-        odd = F.count_if(c.isNotNull() & ~M.parses(c)) if text else F.lit(0 if number is not None else 1)
-        named |= {f"odd{i}": F.max(F.lit(0)) + odd if not text else odd, f"gone{i}": F.count_if(M.is_missing(c, kind)), f"nan{i}": F.count_if(number.isNull()) if number is not None else F.count_if(c.isNull())}
-        present, valued = F.when(~M.is_missing(c, kind), c), F.when(number.isNotNull(), c) if number is not None else c
-        named |= {f"unique{i}": F.count_distinct(present), f"values{i}": F.count_distinct(valued)}
-        as_literal = F.lower(F.trim(M.as_text(c, kind)))
-        named[f"logical{i}"] = F.bool_and(F.when(~M.is_missing(c, kind), as_literal.isin(*literals)))
-    got = aggregate(df, named)
+        number = M.to_number(v, kind) if text or M.is_numeric_type(kind) else F.lit(None).cast("double")
+        here = ~M.is_missing(v, kind)
+        total = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+        counts = {"rows": F.sum("n"), "odd": total(v.isNotNull() & ~M.parses(v)) if text else F.max(F.lit(0)), "gone": total(~here), "nan": total(number.isNull()), "unique": F.count_if(here), "low": F.min(F.when(here, v)), "high": F.max(F.when(here, v))}
+        found |= {names[r["i"]]: r.asDict() for r in table.groupBy("i").agg(*[c.alias(s) for s, c in counts.items()]).collect()}
+    for name, got in found.items():
+        got["numeric"] = got["odd"] == 0 and (isinstance(kinds[name], T.StringType) or M.is_numeric_type(kinds[name]))
+    return found
+
+
+def detect_types(df: DataFrame, ratio: float = 0.05, max_unique: int = 20, bool_values: tuple[str, ...] = (), samples: int = 0, order: str | None = None) -> list[ColumnType]:
+    """Semantic type of each column: numerical, categorical or boolean.
+
+    ``samples``: the first so many present values of each column, in the order of a
+    key column, or as the table is read.
+    """
+    literals = {*M.TRUE_TOKENS, *M.FALSE_TOKENS, "0.0", "1.0", *bool_values}
     out = []
-    for i, (name, kind) in enumerate(kinds.items()):
-        numeric = got[f"odd{i}"] == 0
-        unique = got[f"values{i}"] if numeric else got[f"unique{i}"]
-        gone = got[f"nan{i}"] if numeric else got[f"gone{i}"]
-        valid = got["rows"] - gone
-        if unique in (1, 2) and got[f"logical{i}"]:
-            found = "boolean"
-        elif numeric:
-            found = "categorical" if valid and unique / valid <= ratio and unique <= max_unique else "numerical"
+    for (name, got), field_ in zip(_cells(df).items(), df.schema.fields):
+        # Where all that is there are numbers, the present values are the numbers.
+        gone = got["nan"] if got["numeric"] else got["gone"]
+        unique, valid = got["unique"], got["rows"] - gone
+        if unique in (1, 2) and all(_logical(x, literals) for x in (got["low"], got["high"])):
+            inferred = "boolean"
+        elif got["numeric"]:
+            inferred = "categorical" if valid and unique / valid <= ratio and unique <= max_unique else "numerical"
         else:
-            found = "categorical"
-        out.append(ColumnType(name, found, kind.simpleString(), unique, gone))
-    if samples:
+            inferred = "categorical"
+        out.append(ColumnType(name, inferred, field_.dataType.simpleString(), unique, gone))
+    if samples and out:
+        firsts = first_values(df, df.columns, samples, order)
         for t in out:
-            c = F.col(f"`{t.name}`")
-            t.sample_values = [r[0] for r in df.filter(~M.is_missing(c, kinds[t.name])).select(c).limit(samples).collect()]
+            t.sample_values = firsts[t.name]
+    return out
+
+
+def first_values(df: DataFrame, columns: list[str], n: int = 5, order: str | None = None) -> dict[str, list]:
+    """The first n present values of each column; a job for each, which stops reading when it has them or keeps n rows a task."""
+    kinds, out = {f.name: f.dataType for f in df.schema.fields}, {}
+    for name in columns:
+        c = F.col(f"`{name}`")
+        rows = df.filter(~M.is_missing(c, kinds[name]))
+        rows = rows.select(c.alias("v"), F.col(f"`{order}`").alias("k")).orderBy("k") if order else rows.select(c.alias("v"))
+        out[name] = [r["v"] for r in rows.limit(n).collect()]
     return out
 
 
@@ -87,22 +99,35 @@ def numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[M.to_number(F.col(f"`{c}`"), kinds[c]).alias(c) for c in columns])
 
 
-def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a column with its fifteen statistics; lazy, one pass."""
-    x = numbers(df, columns)
-    structs = []
-    for name in columns:
-        c = F.col(f"`{name}`")
-        structs.append(F.struct(F.lit(name).alias("name"), *[f(c).cast("long" if s in ("count", "missing") else "double").alias(s) for s, f in S.PROFILE.items()]))
-    parts = [x.agg(F.array(*structs[k : k + 8]).alias("rows")).select(F.inline("rows")) for k in range(0, len(structs), 8)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+def numeric_by_content(df: DataFrame) -> list[str]:
+    """Columns whose cells are all numbers or missing, found without types given."""
+    return [name for name, got in _cells(df).items() if got["numeric"]]
+
 
+def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row a column with its fifteen statistics.
 
-def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
-    """x, y, i, j, r of every pair (i < j), over rows where both are present."""
+    Moments take one pass, quantiles two (a sketch and what it brackets), modes the
+    table of values. Without columns, those that hold numbers.
+    """
+    columns = numeric_by_content(df) if columns is None else columns
+    x = numbers(df, columns)
+    c = {name: F.col(f"`{name}`") for name in columns}
+    moments = aggregate(x, {f"{s}{i}": f(c[name]) for i, name in enumerate(columns) for s, f in S.MOMENTS.items()}) if columns else {}
+    cuts, mode = quantiles(x, columns, [0.25, 0.5, 0.75]), modes(x, c)
+    rows = []
+    for i, name in enumerate(columns):
+        got = {s: moments[f"{s}{i}"] for s in S.MOMENTS}
+        q1, median, q3 = cuts[name] or (None,) * 3
+        got |= {"median": median, "mode": mode[name], "q1": q1, "q3": q3, "iqr": q3 - q1 if cuts[name] else None, "range": got["max"] - got["min"] if cuts[name] else None}
+        rows.append((name, *[got[s] for s in S.PROFILE]))
+    kinds = ", ".join(f"{s} {'long' if s in ('count', 'missing') else 'double'}" for s in S.PROFILE)
+    return df.sparkSession.createDataFrame(rows, f"name string, {kinds}")
+
+
+def correlation(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """x, y, i, j, r of every pair (i < j), over rows where both are present. Without columns, those that hold numbers."""
+    columns = numeric_by_content(df) if columns is None else columns
     x = numbers(df, columns)
     pairs = list(combinations(range(len(columns)), 2))
     schema = "x string, y string, i int, j int, r double"
@@ -134,12 +159,13 @@ def fences(df: DataFrame, columns: list[str], k: float = 1.5) -> dict[str, tuple
     if k <= 0:
         raise ValueError("k is positive")
     x = numbers(df, columns)
-    got = aggregate(x, {c: F.percentile(F.col(f"`{c}`"), F.array(F.lit(0.25), F.lit(0.75))) for c in columns})
+    got = quantiles(x, columns, [0.25, 0.75])
     return {c: (q[0], q[1], q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])) if (q := got[c]) else None for c in columns}
 
 
-def outlier_report(df: DataFrame, columns: list[str], k: float = 1.5) -> DataFrame:
-    """column, q1, q3, iqr, lower, upper, n_low, n_high, n_total, pct of present values."""
+def outlier_report(df: DataFrame, columns: list[str] | None = None, k: float = 1.5) -> DataFrame:
+    """column, q1, q3, iqr, lower, upper, n_low, n_high, n_total, pct of present values. Without columns, those that hold numbers."""
+    columns = numeric_by_content(df) if columns is None else columns
     bounds = fences(df, columns, k)
     x = numbers(df, columns)
     rows = []
@@ -199,9 +225,10 @@ class InspectionReport:
     outliers: list[dict]
     warnings: list[str]
     elapsed_seconds: float
+    capped: DataFrame | None = field(default=None, repr=False)  # the table with outliers at their fences, if the config asks for it
 
     def to_dict(self) -> dict:
-        return asdict(self)
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "capped"}
 
     def to_json(self, indent: int = 2) -> str:
         return json.dumps(self.to_dict(), indent=indent, default=str)
@@ -227,4 +254,4 @@ def inspect(df: DataFrame, config: InspectorConfig | None = None) -> InspectionR
     summary: dict[str, int] = {}
     for t in types:
         summary[t.inferred_type] = summary.get(t.inferred_type, 0) + 1
-    return InspectionReport(n_rows, len(df.columns), [asdict(t) for t in types], summary, statistics, pairs, high, outliers, warnings, time.time() - began)
+    return InspectionReport(n_rows, len(df.columns), [asdict(t) for t in types], summary, statistics, pairs, high, outliers, warnings, time.time() - began, cap(df, numeric, config.outlier_k) if config.cap_outliers else None)

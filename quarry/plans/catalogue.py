@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import missing as M
-from quarry.functions import stats as S
+from quarry.functions.values import modes
 from quarry.operators import evaluate as E
 from quarry.operators import models as mod
 from quarry.operators import prepare as P
@@ -80,14 +80,12 @@ def profile_with_missing(spark, sf):
 
 
 def _stats(name: str, table: str, columns: list[str], chosen: dict[str, str]) -> None:
-    """One row a column with a few statistics, from the same builders as the profile."""
+    """One row a column with a few statistics of the profile."""
     sql = " UNION ALL ".join(f"SELECT '{c}' AS name, " + ", ".join(f"round(({e.format(c=c)})::DOUBLE, 3) AS {s}" for s, e in chosen.items()) + f" FROM {table}" for c in columns)
 
     @query(name, sql)
     def run(spark, sf):
-        x = pr.numbers(t(spark, sf, table), columns)
-        rows = [F.struct(F.lit(c).alias("name"), *[F.round(S.PROFILE[s](F.col(c)).cast("double"), 3).alias(s) for s in chosen]) for c in columns]
-        return x.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+        return pr.profile(t(spark, sf, table), columns).select("name", *[F.round(s, 3).alias(s) for s in chosen])
 
 
 _stats("stats_mean_var_std", "lineitem", LINE[:1] + LINE[2:], {"mean": "avg({c})", "variance": "var_samp({c})", "std": "stddev_samp({c})"})
@@ -97,8 +95,8 @@ _stats("stats_skew_kurt", "lineitem", LINE, {"skewness": _SKEW, "kurtosis": _KUR
 
 @query("stats_mode", "SELECT * FROM (SELECT 'l_quantity' AS name, l_quantity::BIGINT::VARCHAR AS mode FROM lineitem GROUP BY l_quantity ORDER BY count(*) DESC, l_quantity LIMIT 1) UNION ALL SELECT * FROM (SELECT 'o_orderpriority' AS name, o_orderpriority AS mode FROM orders GROUP BY o_orderpriority ORDER BY count(*) DESC, o_orderpriority LIMIT 1)")
 def stats_mode(spark, sf):
-    a = t(spark, sf, "lineitem").agg(S.mode(F.col("l_quantity")).cast("long").cast("string").alias("mode")).select(F.lit("l_quantity").alias("name"), "mode")
-    return a.union(t(spark, sf, "orders").agg(S.mode(F.col("o_orderpriority")).alias("mode")).select(F.lit("o_orderpriority").alias("name"), "mode"))
+    found = modes(t(spark, sf, "lineitem"), {"l_quantity": F.col("l_quantity").cast("long")}) | modes(t(spark, sf, "orders"), {"o_orderpriority": F.col("o_orderpriority")})
+    return spark.createDataFrame([(name, str(v)) for name, v in found.items()], "name string, mode string")
 
 
 @query("missing_counts", f"SELECT sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END)::BIGINT AS value, sum(CASE WHEN uid IS NULL THEN 1 ELSE 0 END)::BIGINT AS uid, sum(CASE WHEN lower(trim(kind)) IN ('', 'nan', 'none', 'null', 'na', 'n/a') THEN 1 ELSE 0 END)::BIGINT AS kind, count(*)::BIGINT AS n_rows FROM {EVENTS}")
