@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Text cells that count as missing, whatever their case.
 MISSING_TOKENS = ("", "nan", "none", "null", "na", "n/a")
-# Text cells that read as yes and no.
+# Text cells that read as yes and no when a column is typed.
 TRUE_TOKENS = ("true", "yes", "1", "t", "y", "on")
 FALSE_TOKENS = ("false", "no", "0", "f", "n", "off")
+# Text cells that become 1 and 0 in a matrix of features; others are refused there.
+ONE_TOKENS = ("yes", "true", "1", "y")
+ZERO_TOKENS = ("no", "false", "0", "n")
 
 _NUMBER = r"(?i)^\s*[+-]?((\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|inf(inity)?|nan)\s*$"
 _NAN = r"(?i)^\s*[+-]?nan\s*$"
@@ -44,17 +47,13 @@ def to_number(column: Column, kind: T.DataType) -> Column:
     return column.cast("double")
 
 
-def normalise(df: DataFrame, numeric: list[str]) -> DataFrame:
-    """Numeric columns as doubles without NaN; missing text as null. One projection."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    out = []
-    for name in df.columns:
-        c = F.col(f"`{name}`")
-        if name in numeric:
-            out.append(to_number(c, kinds[name]).alias(name))
-        else:
-            out.append(F.when(~is_missing(c, kinds[name]), c).alias(name))
-    return df.select(*out)
+def as_feature(column: Column, kind: T.DataType) -> Column:
+    """Double value of a cell, with yes / no words as 1 and 0; null where it is neither."""
+    value = to_number(column, kind)
+    if not isinstance(kind, T.StringType):
+        return value
+    word = F.lower(F.trim(column))
+    return F.coalesce(value, F.when(word.isin(*ONE_TOKENS), 1.0).when(word.isin(*ZERO_TOKENS), 0.0))
 
 
 def as_text(column: Column, kind: T.DataType) -> Column:

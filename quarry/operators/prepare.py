@@ -29,6 +29,10 @@ def _kinds(df: DataFrame) -> dict[str, T.DataType]:
     return {f.name: f.dataType for f in df.schema.fields}
 
 
+#: A side of a join is broadcast only if its counted rows stay below this.
+BROADCAST_BYTES = 16 << 20
+
+
 class Step:
     """fit / transform / fit_transform; transform before fit is an error."""
 
@@ -137,23 +141,24 @@ class StandardScaler(_Scaler):
 
 
 class _Encoder(Step):
-    """Categories are the sorted distinct texts of a column, a bounded catalogue."""
-
-    #: More categories than this are no catalogue but an identifier.
-    MAX_CATEGORIES = 10_000
+    """Categories are the sorted distinct texts of a column: one table of all columns' distinct texts is read."""
 
     def __init__(self, target_types: tuple[str, ...] = ("categorical",)):
         self.target_types = set(target_types)
 
+    def _texts(self, df: DataFrame, type_map: dict[str, str]) -> tuple[list[str], DataFrame | None]:
+        """The columns to encode, and a table (i, v) of their distinct texts."""
+        names = [c for c in df.columns if type_map.get(c) in self.target_types]
+        tables = value_tables(df, {c: self._present(df, c) for c in names}) if names else []
+        return names, tables[0][2].filter("v IS NOT NULL").select("i", "v") if tables else None
+
     def _fit(self, df: DataFrame, type_map: dict[str, str]) -> None:
-        kinds = _kinds(df)
-        self.categories: dict[str, list[str]] = {}
-        for c in (c for c in df.columns if type_map.get(c) in self.target_types):
-            text = M.as_text(_col(c), kinds[c])
-            got = df.filter(~M.is_missing(_col(c), kinds[c])).select(text.alias("v")).distinct().limit(self.MAX_CATEGORIES + 1).collect()
-            if len(got) > self.MAX_CATEGORIES:
-                raise ValueError(f"{c!r} has more than {self.MAX_CATEGORIES} categories")
-            self.categories[c] = sorted(r["v"] for r in got)
+        names, table = self._texts(df, type_map)
+        self.categories: dict[str, list[str]] = {c: [] for c in names}
+        for r in table.collect() if names else []:
+            self.categories[names[r["i"]]].append(r["v"])
+        for own in self.categories.values():
+            own.sort()
 
     def _present(self, df: DataFrame, c: str) -> Column:
         kind = _kinds(df)[c]
@@ -161,7 +166,10 @@ class _Encoder(Step):
 
 
 class OneHotEncoder(_Encoder):
-    """Indicators ``<column>_<category>`` in the column's place; unknown and missing are all 0."""
+    """Indicators ``<column>_<category>`` in the column's place; unknown and missing are all 0.
+
+    A column for each category is part of the schema, so categories live on the driver.
+    """
 
     def __init__(self, drop_first: bool = False, target_types: tuple[str, ...] = ("categorical",)):
         super().__init__(target_types)
@@ -182,22 +190,56 @@ class OneHotEncoder(_Encoder):
 
 
 class LabelEncoder(_Encoder):
-    """Sorted codes from 0; unknown is -1, missing stays missing."""
+    """Sorted codes from 0; unknown is -1, missing stays missing.
+
+    Up to LITERALS categories of a column are part of the plan. More stay in a table
+    (text, code), numbered by ranges, that ``transform`` joins.
+    """
+
+    LITERALS = 1000
+
+    def _fit(self, df: DataFrame, type_map: dict[str, str]) -> None:
+        from quarry.operators.evaluate import number_rows
+        from quarry.streaming.storage import checkpoint
+
+        names, table = self._texts(df, type_map)
+        self.categories, self.tables = {}, {}
+        if not names:
+            return
+        table = checkpoint(table)
+        sizes = {names[r["i"]]: r["n"] for r in table.groupBy("i").agg(F.count("*").alias("n")).collect()}
+        small = [i for i, c in enumerate(names) if sizes.get(c, 0) <= self.LITERALS]
+        self.categories = {names[i]: [] for i in small}
+        for r in table.filter(F.col("i").isin(small)).collect() if small else []:
+            self.categories[names[r["i"]]].append(r["v"])
+        for own in self.categories.values():
+            own.sort()
+        for i, c in enumerate(names):
+            if i not in small:
+                codes = number_rows(table.filter(F.col("i") == i).select("v"), "v").select(F.col("v").alias("__text"), F.col("row_number").cast("int").alias("__code"))
+                self.tables[c] = (sizes[c], checkpoint(codes))
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        out = []
-        for c in df.columns:
-            if c not in self.categories:
-                out.append(_col(c))
-                continue
-            text = self._present(df, c)
-            known = F.create_map(*[F.lit(x) for i, v in enumerate(self.categories[c]) for x in (v, i)]) if self.categories[c] else None
-            code = F.coalesce(F.element_at(known, text), F.lit(-1)) if known is not None else F.lit(-1)
-            out.append(F.when(text.isNotNull(), code).cast("int").alias(c))
-        return df.select(*out)
+        out, columns = df, df.columns
+        for k, c in enumerate(columns):
+            if c in self.categories:
+                text = self._present(df, c)
+                known = F.create_map(*[F.lit(x) for i, v in enumerate(self.categories[c]) for x in (v, i)]) if self.categories[c] else None
+                code = F.coalesce(F.element_at(known, text), F.lit(-1)) if known is not None else F.lit(-1)
+                out = out.withColumn(c, F.when(text.isNotNull(), code).cast("int"))
+            elif c in self.tables:
+                n, codes = self.tables[c]
+                side = codes.select(F.col("__text").alias(f"__text{k}"), F.col("__code").alias(f"__code{k}"))
+                side = F.broadcast(side) if n * 64 <= BROADCAST_BYTES else side
+                out = out.withColumn(f"__own{k}", self._present(df, c)).join(side, F.col(f"__own{k}") == F.col(f"__text{k}"), "left")
+                code = F.when(F.col(f"__own{k}").isNotNull(), F.coalesce(f"__code{k}", F.lit(-1)))
+                out = out.withColumn(c, code.cast("int")).drop(f"__own{k}", f"__text{k}", f"__code{k}")
+        return out.select(*[_col(c) for c in columns])
 
     def get_mapping(self) -> dict[str, dict[str, int]]:
-        return {c: {v: i for i, v in enumerate(vs)} for c, vs in self.categories.items()}
+        """Text to code of each column; large tables are collected here."""
+        out = {c: {v: i for i, v in enumerate(vs)} for c, vs in self.categories.items()}
+        return out | {c: {r["__text"]: r["__code"] for r in codes.collect()} for c, (_, codes) in self.tables.items()}
 
 
 @dataclass
@@ -260,7 +302,7 @@ class Cleaner(Step):
         warnings += [f"'{s['column']}' is entirely missing and was left as it is" for s in self.imputer.summary() if s["fill_value"] is None and s["n_filled"] and c.impute_strategy != "constant"]
         params = self.scaler.params if self.scaler else {}
         warnings += [f"'{n}' is constant; scaling sets it to one value" for n, p in params.items() if p["low"] is not None and p["low"] == p["high"]]
-        self.report = CleaningReport(df.count(), df.columns, out.columns, [asdict(t) for t in self.types], self.imputer.summary(), params, self.encoder.categories if self.encoder else {}, warnings, time.time() - began)
+        self.report = CleaningReport(df.count(), df.columns, out.columns, [asdict(t) for t in self.types], self.imputer.summary(), params, self.encoder.categories | {c: f"{n} categories" for c, (n, _) in getattr(self.encoder, "tables", {}).items()} if self.encoder else {}, warnings, time.time() - began)
 
     def fit(self, df: DataFrame, type_map: dict[str, str] | None = None) -> Cleaner:
         return super().fit(df, type_map)
@@ -292,24 +334,28 @@ def detect_task(df: DataFrame, target: str, threshold: int = 20) -> str:
 
 
 def encode_target(df: DataFrame, target: str, task: str) -> tuple[DataFrame, list[str] | None]:
-    """``label`` as double: the number itself, or the sorted class code (-1 for missing)."""
+    """``label`` as double: the number itself, or the sorted class code (-1 for missing), and the classes.
+
+    Of more than LabelEncoder.LITERALS classes the names stay in the encoder's table (None here).
+    """
     kind = _kinds(df)[target]
     if task == "regression":
         return df.withColumn("label", M.to_number(_col(target), kind)), None
     encoder = LabelEncoder(("target",)).fit(df.select(_col(target)), {target: "target"})
-    names = encoder.categories[target]
-    known = F.create_map(*[F.lit(x) for i, v in enumerate(names) for x in (v, i)])
-    return df.withColumn("label", F.coalesce(F.element_at(known, encoder._present(df, target)), F.lit(-1)).cast("double")), names
+    label = "__label_of_target"
+    both = df.withColumn(label, _col(target))
+    encoder.categories = {label: v for v in encoder.categories.values()}
+    encoder.tables = {label: v for v in encoder.tables.values()}
+    out = encoder.transform(both).withColumn("label", F.coalesce(_col(label), F.lit(-1)).cast("double")).drop(label)
+    return out, encoder.categories.get(label)
 
 
 def finalise(df: DataFrame) -> DataFrame:
     """All columns as doubles: numbers, or yes / no words; anything else is an error."""
     kinds, out, odd = _kinds(df), [], {}
-    words = F.create_map(*[F.lit(x) for w in M.TRUE_TOKENS for x in (w, 1.0)], *[F.lit(x) for w in M.FALSE_TOKENS for x in (w, 0.0)])
     for c in df.columns:
-        value = M.to_number(_col(c), kinds[c])
+        value = M.as_feature(_col(c), kinds[c])
         if isinstance(kinds[c], T.StringType):
-            value = F.coalesce(value, F.element_at(words, F.lower(F.trim(_col(c)))))
             odd[c] = F.count_if(value.isNull() & ~M.is_missing(_col(c), kinds[c]))
         out.append(value.alias(c))
     bad = [c for c, n in aggregate(df, odd).items() if n] if odd else []
@@ -323,18 +369,26 @@ def id_columns(df: DataFrame, target: str | None = None, ratio: float = 0.9, str
 
     ``strict`` also takes numbers that are nearly always unique.
     """
-    kinds, named = _kinds(df), {"rows": F.count(F.lit(1))}
+    kinds, got = _kinds(df), {}
     columns = [c for c in df.columns if c != target]
-    for i, c in enumerate(columns):
-        value = M.to_number(_col(c), kinds[c]) if isinstance(kinds[c], T.StringType) or M.is_numeric_type(kinds[c]) else F.lit(None).cast("double")
-        present = ~M.is_missing(_col(c), kinds[c])
-        named |= {f"u{i}": F.count_distinct(_col(c)), f"odd{i}": F.count_if(present & value.isNull()), f"whole{i}": F.bool_and(value == F.floor(value)), f"low{i}": F.min(value), f"high{i}": F.max(value), f"n{i}": F.count(value), f"v{i}": F.count_distinct(value)}
-    got = aggregate(df, named)
+    for names, kind, table in value_tables(df, {c: _col(c) for c in columns}):
+        v, n = F.col("v"), F.col("n")
+        value = M.to_number(v, kind) if isinstance(kind, T.StringType) or M.is_numeric_type(kind) else F.lit(None).cast("double")
+        here = ~M.is_missing(v, kind)
+        # Texts that are the same number are one number.
+        cells = table.select("i", "n", value.alias("x"), v.isNotNull().cast("int").alias("raw"), F.when(here & value.isNull(), n).alias("odd"))
+        cells = cells.groupBy("i", "x").agg(F.sum("n").alias("n"), F.sum("raw").alias("raw"), F.sum("odd").alias("odd"))
+        x = F.col("x")
+        found = cells.groupBy("i").agg(F.sum("n").alias("rows"), F.sum("raw").alias("u"), F.coalesce(F.sum("odd"), F.lit(0)).alias("odd"), F.coalesce(F.bool_and(x == F.floor(x)), F.lit(False)).alias("whole"), F.min(x).alias("low"), F.max(x).alias("high"), F.coalesce(F.sum(F.when(x.isNotNull(), F.col("n"))), F.lit(0)).alias("n"), F.count(x).alias("v"))
+        got |= {names[r["i"]]: r for r in found.collect()}
     out = []
-    for i, c in enumerate(columns):
-        share = got[f"u{i}"] / max(got["rows"], 1)
-        if got[f"odd{i}"] == 0 and got[f"n{i}"]:
-            dense = got[f"whole{i}"] and got[f"v{i}"] == got[f"n{i}"] and got[f"high{i}"] - got[f"low{i}"] + 1 == got[f"v{i}"]
+    for c in columns:
+        r = got.get(c)
+        if r is None:  # an empty table
+            continue
+        share = r["u"] / max(r["rows"], 1)
+        if r["odd"] == 0 and r["n"]:
+            dense = r["whole"] and r["v"] == r["n"] and r["high"] - r["low"] + 1 == r["v"]
             if (dense and share > ratio) or (strict and share > ratio):
                 out.append(c)
         elif share > ratio:

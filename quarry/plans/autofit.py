@@ -9,10 +9,12 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import missing as M
 from quarry.functions import stats as S
 from quarry.operators import local_models as L
 from quarry.operators.prepare import Cleaner, CleanerConfig, detect_task, encode_target, finalise, id_columns, sample_exact, split_target
-from quarry.operators.profile import aggregate, inspect
+from quarry.functions.values import aggregate
+from quarry.operators.profile import inspect
 from quarry.operators.search import Search
 from quarry.sources import csv_source, reports
 
@@ -124,17 +126,8 @@ def autofit(df: DataFrame, target: str, key: str, config: AutoFitConfig | None =
 
 def finalise_columns(df: DataFrame, features: list[str]) -> list:
     """Double columns of the features, yes / no words as 1 and 0."""
-    from quarry.functions import missing as M
-
-    words = F.create_map(*[F.lit(x) for w in M.TRUE_TOKENS for x in (w, 1.0)], *[F.lit(x) for w in M.FALSE_TOKENS for x in (w, 0.0)])
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    out = []
-    for c in features:
-        value = M.to_number(F.col(f"`{c}`"), kinds[c])
-        if kinds[c].simpleString() == "string":
-            value = F.coalesce(value, F.element_at(words, F.lower(F.trim(F.col(f"`{c}`")))))
-        out.append(value.alias(c))
-    return out
+    return [M.as_feature(F.col(f"`{c}`"), kinds[c]).alias(c) for c in features]
 
 
 def run_csv(spark: SparkSession, text: str, target: str, config: AutoFitConfig | None = None) -> AutoFitReport:
