@@ -94,8 +94,8 @@ def smallest_hashes(rows: DataFrame, hash_: str, wanted: int, groups: str | None
     if groups is None:
         n = rows.count()
         return rows.filter(part < min(1.0, (4.0 * wanted + 40.0) / max(n, 1)))
-    counts = rows.groupBy(F.col(groups).alias("__g")).agg(F.count("*").alias("__n"))
-    return rows.join(counts, F.col(groups) == F.col("__g")).filter(part < share).drop("__g", "__n")
+    counts = checkpoint(rows.groupBy(F.col(groups).alias("__g")).agg(F.count("*").alias("__n")))
+    return rows.join(small_side(counts, counts.count(), 64), F.col(groups) == F.col("__g")).filter(part < share).drop("__g", "__n")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
