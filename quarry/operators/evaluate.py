@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -89,15 +89,27 @@ def r2(y: Column, p: Column) -> Column:
 SCORERS = {"accuracy": accuracy, "precision": precision, "recall": recall, "f1": f1, "r2": r2, "neg_mse": lambda y, p: -mse(y, p), "neg_mae": lambda y, p: -mae(y, p)}
 
 
-def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
-    """true, pred, n for every pair of labels seen on either side."""
-    labels = df.select(F.col(y).alias("l")).union(df.select(F.col(p).alias("l"))).distinct()
-    grid = labels.select(F.col("l").alias("true")).crossJoin(labels.select(F.col("l").alias("pred")))
-    counts = df.groupBy(F.col(y).alias("true"), F.col(p).alias("pred")).agg(F.count("*").alias("n"))
-    return grid.join(counts, ["true", "pred"], "left").select("true", "pred", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+def evaluated(df: DataFrame, y: str, p: str, metric: str) -> float:
+    """A metric's value, from one aggregate. No rows, or a row without a label or prediction, are an error."""
+    if metric not in SCORERS:
+        raise ValueError(f"unknown metric {metric!r}; one of {sorted(SCORERS)}")
+    a, b = F.col(f"`{y}`"), F.col(f"`{p}`")
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(a.isNull() | b.isNull()).alias("odd"), SCORERS[metric](a, b).alias("value")).first()
+    if not r["n"]:
+        raise ValueError("no rows to evaluate")
+    if r["odd"]:
+        raise ValueError(f"{r['odd']} rows have no label or no prediction")
+    return float(r["value"])
 
 
-def majority(df: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Most frequent label of each group, the smallest of those that tie."""
-    w = Window.partitionBy(*keys).orderBy(F.col("n").desc(), F.col(label))
-    return df.groupBy(*keys, label).agg(F.count("*").alias("n")).withColumn("turn", F.row_number().over(w)).filter("turn = 1").drop("turn", "n")
+def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
+    """true, pred, n for every pair of labels seen on either side, which are a catalogue of the driver's."""
+    counts = df.groupBy(F.col(y).alias("true"), F.col(p).alias("pred")).agg(F.count("*").alias("n")).persist()
+    try:
+        rows = counts.collect()
+    finally:
+        counts.unpersist()
+    labels = sorted({v for r in rows for v in (r["true"], r["pred"])}, key=lambda v: (v is None, v if v is not None else 0))
+    n = {(r["true"], r["pred"]): r["n"] for r in rows}
+    kind = df.schema[y].dataType.simpleString()
+    return df.sparkSession.createDataFrame([(a, b, n.get((a, b), 0)) for a in labels for b in labels], f"true {kind}, pred {kind}, n long")

@@ -1,21 +1,24 @@
 """Estimators fitted by Spark aggregates: ``fit(df, features, label)``, ``transform(df)``.
 
-Nothing but sums, counts and split candidates' best rows reaches the driver, and KNN's
-bounded training set where each of its rows is predicted from the others.
+Nothing but sums, counts and the best split of each node reaches the driver, and KNN's
+training set where it is small enough to be sent to every task.
 """
 
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.evaluate import accuracy, mse
-from quarry.operators.profile import aggregate
+from quarry.functions.values import aggregate
+from quarry.operators.evaluate import evaluated
+from quarry.streaming.storage import checkpoint
 
 
 def _dot(features: list[str], weights, bias: float) -> Column:
@@ -43,9 +46,32 @@ class Estimator:
         """Accuracy, or R2 (0 for a constant target)."""
         p = self.transform(df)
         if self.task == "classification":
-            return p.agg(accuracy(F.col(self.label), F.col("prediction"))).first()[0]
-        row = p.agg(mse(F.col(self.label), F.col("prediction")).alias("e"), F.var_pop(self.label).alias("v")).first()
-        return 1.0 - row["e"] / row["v"] if row["v"] else 0.0
+            return evaluated(p, self.label, "prediction", "accuracy")
+        error = evaluated(p, self.label, "prediction", "neg_mse")
+        v = p.agg(F.var_pop(self.label)).first()[0]
+        return 1.0 + error / v if v else 0.0
+
+
+def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of each row of a to each of b (euclidean ones squared)."""
+    d = np.zeros((len(a), len(b)))
+    for f in range(a.shape[1]):
+        gap = a[:, f, None] - b[None, :, f]
+        d += gap * gap if metric == "euclidean" else np.abs(gap)
+    return d
+
+
+def nearest(d: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k smallest values of each row, the first of those that tie."""
+    if k >= d.shape[1]:
+        return np.argsort(d, axis=1, kind="stable")
+    near = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    tied = near.sum(axis=1) != k  # more than k, or fewer where a distance is NaN
+    out = np.empty((len(d), k), np.int64)
+    own = np.nonzero(near[~tied])[1].reshape(-1, k)
+    out[~tied] = np.take_along_axis(own, np.argsort(np.take_along_axis(d[~tied], own, axis=1), axis=1, kind="stable"), axis=1)
+    out[tied] = np.argsort(d[tied], axis=1, kind="stable")[:, :k]
+    return out
 
 
 class LinearRegression(Estimator):
@@ -102,6 +128,8 @@ class LogisticRegression(Estimator):
         data = df.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in features], F.col(f"`{label}`").cast("double").alias("__y")).persist()
         self.weights, self.bias = np.zeros(len(features)), 0.0
         try:
+            if data.select("__y").distinct().limit(3).count() > 2:
+                raise ValueError("two classes only")
             for t in range(self.steps):
                 p, y = self._probability(), F.col("__y")
                 q = F.least(F.greatest(p, F.lit(1e-15)), F.lit(1 - 1e-15))
@@ -158,11 +186,13 @@ class GaussianNaiveBayes(Estimator):
 class KNN(Estimator):
     """k nearest by euclidean or manhattan distance; ties go to the smaller training key.
 
-    The training set is replicated to every task, so it is bounded; fitting more
-    rows is an error. Its join with the queries is by rows of a stated set.
+    Training rows that fit into BROADCAST_BYTES are sent to every task and each batch
+    of queries is compared with them as blocks of a matrix. More are dealt into blocks,
+    as queries are; each pair of blocks yields the k nearest of each query, which are
+    merged by query. That is exact for any number of rows, and quadratic.
     """
 
-    MAX_ROWS = 100_000
+    BROADCAST_BYTES, BLOCK_ROWS = 64 << 20, 50_000
 
     def __init__(self, k: int = 5, task: str = "classification", metric: str = "euclidean"):
         if metric not in ("euclidean", "manhattan"):
@@ -171,130 +201,207 @@ class KNN(Estimator):
 
     def fit(self, df: DataFrame, features: list[str], label: str, key: str) -> KNN:
         self.features, self.label, self.key = features, label, key
-        if df.count() > self.MAX_ROWS:
-            raise ValueError(f"more than {self.MAX_ROWS} training rows")
         self.train = df.select(F.col(f"`{key}`").alias("__tid"), F.col(f"`{label}`").alias("__label"), F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("__t"))
+        self.n = df.count()
+        self.small = self.n * 8 * (len(features) + 4) <= self.BROADCAST_BYTES
         return self
 
+    def _point(self) -> Column:
+        return F.array(*[F.col(f"`{f}`").cast("double") for f in self.features])
+
     def transform(self, df: DataFrame) -> DataFrame:
-        query = df.select(F.col(f"`{self.key}`").alias("__qid"), F.array(*[F.col(f"`{f}`").cast("double") for f in self.features]).alias("__q"))
-        gap = (lambda a, b: (a - b) * (a - b)) if self.metric == "euclidean" else (lambda a, b: F.abs(a - b))
-        distance = F.aggregate(F.zip_with("__q", "__t", gap), F.lit(0.0), lambda a, x: a + x)
-        w = Window.partitionBy("__qid").orderBy("__d", "__tid")
-        near = query.crossJoin(F.broadcast(self.train)).select("__qid", "__tid", "__label", distance.alias("__d")).withColumn("__turn", F.row_number().over(w)).filter(F.col("__turn") <= self.k)
-        vote = F.mode("__label", True) if self.task == "classification" else F.avg("__label")
-        return df.join(near.groupBy("__qid").agg(vote.alias("prediction")), df[self.key] == F.col("__qid")).drop("__qid")
+        if not self.small:
+            found = self._nearest(df.select(F.col(f"`{self.key}`").alias("__qid"), self._point().alias("__q")), False)
+            return df.join(found, df[self.key] == F.col("__qid")).drop("__qid")
+        rows = self.train.orderBy("__tid").toPandas()  # at most BROADCAST_BYTES; in key order ties go to the smaller key
+        labels, codes = np.unique(rows["__label"].to_numpy(), return_inverse=True)  # in order, so that tied votes go to the smallest
+        number = self.task != "classification"
+        x = np.array(rows["__t"].tolist(), float).reshape(len(rows), len(self.features))
+        shared = self.train.sparkSession.sparkContext.broadcast((x, rows["__label"].to_numpy(float) if number else codes.astype(float), labels))
+        k, task, metric, width = self.k, self.task, self.metric, len(self.features)
+
+        def predict(points: pd.Series) -> pd.Series:
+            from quarry.operators.local_models import Neighbours
+
+            x, y, labels = shared.value
+            model = Neighbours(k, task, metric)
+            model.fit(x, y)
+            out = model.predict(np.array(points.tolist(), float).reshape(len(points), width))
+            return pd.Series(out if number else labels[out.astype(int)])
+
+        kind = T.DoubleType() if number else self.train.schema["__label"].dataType
+        return df.withColumn("prediction", F.pandas_udf(predict, kind)(self._point()))
 
     def leave_one_out(self) -> DataFrame:
         """The key of every training row and its prediction from the k nearest of all others.
 
-        Compared in blocks of rows against the whole set; without another row the
-        prediction is missing. Keys must differ and features must be numbers.
+        Without another row the prediction is missing. Keys must differ and features
+        must be numbers.
         """
-        from quarry.operators.local_models import Neighbours
-
-        kind, spark = self.train.schema["__tid"].dataType, self.train.sparkSession
-        rows = self.train.orderBy("__tid").toPandas()  # at most MAX_ROWS; in key order ties go to the smaller key
-        x, y = np.array(rows["__t"].tolist(), float).reshape(len(rows), len(self.features)), rows["__label"].to_numpy(float)
-        at = {key: i for i, key in enumerate(rows["__tid"])}
-        if len(at) != len(rows) or not np.isfinite(x).all():
+        bad = F.count_if(F.exists("__t", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
+        odd = self.train.agg(bad.alias("bad"), F.count_distinct("__tid").alias("keys")).first()
+        if odd["bad"] or odd["keys"] != self.n:
             raise ValueError("a key occurs twice or a feature is no number")
-        shared = spark.sparkContext.broadcast((x, y, at))
-        k, task, metric = self.k, self.task, self.metric
-
-        def run(batches):
-            x, y, at = shared.value
-            model = Neighbours(k, task, metric)
-            model.fit(x, y)
-            for batch in batches:
-                own = np.array([at[key] for key in batch["__tid"]], np.int64)
-                yield pd.DataFrame({"__tid": batch["__tid"], "prediction": model.predict(x[own], own)})
-
-        tasks = max(spark.sparkContext.defaultParallelism, len(rows) ** 2 // 20_000_000)
-        out = self.train.select("__tid").repartition(tasks).mapInPandas(run, T.StructType([T.StructField("__tid", kind), T.StructField("prediction", T.DoubleType())]))
-        return out.select(F.col("__tid").alias(self.key), F.when(~F.isnan("prediction"), F.col("prediction")).alias("prediction"))
+        found = self._nearest(self.train.select(F.col("__tid").alias("__qid"), F.col("__t").alias("__q")), True)
+        every = self.train.select(F.col("__tid").alias(self.key))
+        return every.join(found, every[self.key] == found["__qid"], "left").select(self.key, F.col("prediction").cast("double").alias("prediction"))
+
+    def _nearest(self, query: DataFrame, others: bool) -> DataFrame:
+        """__qid and prediction; ``others``: a query is no neighbour of itself."""
+        kinds = {f.name: f.dataType for f in self.train.schema.fields}
+        blocks = max(1, -(-self.n // self.BLOCK_ROWS))
+        cuts = max(query.sparkSession.sparkContext.defaultParallelism, -(-query.count() // self.BLOCK_ROWS))
+        dealt = query.select(F.pmod(F.xxhash64("__qid"), F.lit(cuts)).alias("qb"), "__qid", "__q").withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        train = self.train.select(F.pmod(F.xxhash64("__tid"), F.lit(blocks)).cast("int").alias("tb"), "__tid", "__label", "__t").withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cuts - 1).cast("long"))))
+        k, metric, width = self.k, self.metric, len(self.features)
+
+        def meet(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+            t = t.sort_values("__tid", kind="stable")
+            x, points = (np.array(v.tolist(), float).reshape(len(v), width) for v in (t["__t"], q["__q"]))
+            tid, own = t["__tid"].to_numpy(), q["__qid"].to_numpy()
+            parts = []
+            for at in np.array_split(np.arange(len(q)), max(1, len(q) * max(1, len(t)) // 2_000_000 + 1)):
+                if len(at) and len(t):
+                    d = distances(points[at], x, metric)
+                    if others:
+                        d[own[at][:, None] == tid[None, :]] = np.inf
+                    near = nearest(d, min(k, len(t)))
+                    gap = np.take_along_axis(d, near, axis=1)
+                    fine = np.isfinite(gap) if others else np.ones(gap.shape, bool)
+                    parts.append(pd.DataFrame({"__qid": np.repeat(own[at], near.shape[1])[fine.ravel()], "__d": gap[fine], "__tid": tid[near][fine], "__label": t["__label"].to_numpy()[near][fine]}))
+            return pd.concat(parts) if parts else pd.DataFrame({"__qid": own[:0], "__d": np.zeros(0), "__tid": tid[:0], "__label": t["__label"].to_numpy()[:0]})
+
+        schema = T.StructType([T.StructField("__qid", query.schema["__qid"].dataType), T.StructField("__d", T.DoubleType()), T.StructField("__tid", kinds["__tid"]), T.StructField("__label", kinds["__label"])])
+        near = dealt.groupBy("qb", "tb").cogroup(train.groupBy("qb", "tb")).applyInPandas(meet, schema)
+        merged = near.groupBy("__qid").agg(F.slice(F.array_sort(F.collect_list(F.struct("__d", "__tid", "__label"))), 1, k).alias("near"))  # k of each block
+        vote = F.mode("n.__label", True) if self.task == "classification" else F.avg("n.__label")
+        return merged.select("__qid", F.explode("near").alias("n")).groupBy("__qid").agg(vote.alias("prediction"))
 
 
 class DecisionTree(Estimator):
     """CART by levels: thresholds are all observed values, a row goes left if value <= threshold.
 
-    A level is one job: rows become (node, feature, value) counts, running sums
-    over values give the gain of every split, and the best split of each node is
-    the only row of it that is collected. Ties go to the first feature, then the
-    smallest threshold. ``max_depth=None`` is unbounded.
+    A level is one job. Rows carry their node's number. They become (node, feature,
+    value) sums; each feature's values are cut into BUCKETS ranges, so running sums run
+    within a range and start from the totals of the ranges before, and no node or
+    feature is a task of its own. The best split of each node is the only row of it
+    that is collected. Classes may be of any number: n x gini changes with each class's
+    count by itself. Ties go to the first feature, then the smallest threshold.
+    ``max_depth=None`` is unbounded.
     """
 
+    BUCKETS = 64
+    #: Nodes up to which a prediction is one expression; a larger tree is walked in batches.
+    EXPRESSION_NODES = 255
+
     def __init__(self, task: str = "classification", max_depth: int | None = 5, min_samples_split: int = 2):
         self.task, self.max_depth, self.min_samples_split = task, max_depth, min_samples_split
 
-    def fit(self, df: DataFrame, features: list[str], label: str, weight: Column | None = None) -> DecisionTree:
+    def fit(self, df: DataFrame, features: list[str], label: str, weight: Column | None = None, edges: list[list[float]] | None = None) -> DecisionTree:
         self.features, self.label = features, label
-        data = df.select(*[F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(features)], F.col(f"`{label}`").cast("double").alias("y"), (weight if weight is not None else F.lit(1.0)).cast("double").alias("w")).filter("w > 0").persist()
+        columns = [f"f{i}" for i in range(len(features))]
+        data = df.select(*[F.col(f"`{f}`").cast("double").alias(c) for f, c in zip(features, columns)], F.col(f"`{label}`").cast("double").alias("y"), (weight if weight is not None else F.lit(1.0)).cast("double").alias("w")).filter("w > 0")
+        data = data.select("y", "w", F.array(*columns).alias("x"), F.lit(1).cast("long").alias("node")).persist()
         self.nodes: dict[int, dict] = {}
         try:
-            classes = [r["y"] for r in data.select("y").distinct().limit(1001).collect()] if self.task == "classification" else []
-            if len(classes) > 1000:
-                raise ValueError("more than 1000 classes")
-            self.classes = sorted(classes)
-            level, open_ = 0, [1]
-            while open_:
-                open_ = self._grow(data, open_, level)
+            self.edges = edges or range_edges(df, features, self.BUCKETS)
+            level = 0
+            while True:
+                splits = self._grow(data, level)
+                if not splits:
+                    break
                 level += 1
+                moved = self._move(data, splits)
+                if level % 8 == 0:
+                    moved = checkpoint(moved)  # plans of deep trees stay short
+                moved = moved.persist()
+                moved.count()
+                data.unpersist()
+                data = moved
         finally:
             data.unpersist()
         return self
 
-    def _node(self) -> Column:
-        """Number of the node a row is in: 1, then 2n and 2n + 1."""
-        node = F.lit(1).cast("long")
-        for n in sorted(self.nodes):
-            s = self.nodes[n]
-            if "feature" in s:
-                node = F.when(node == n, F.when(F.col(f"f{s['feature']}") <= F.lit(s["threshold"]), F.lit(2 * n)).otherwise(F.lit(2 * n + 1)).cast("long")).otherwise(node)
-        return node
-
-    def _grow(self, data: DataFrame, open_: list[int], level: int) -> list[int]:
-        placed = data.withColumn("node", self._node()).filter(F.col("node").isin(open_))
-        sums = [F.sum(F.when(F.col("y") == c, F.col("w")).otherwise(0.0)) for c in self.classes] or [F.sum(F.col("w") * F.col("y")), F.sum(F.col("w") * F.col("y") * F.col("y"))]
-        parts = [f"c{i}" for i in range(len(sums))]
-        totals = {r["node"]: r for r in placed.groupBy("node").agg(F.sum("w").alias("n"), *[s.alias(p) for s, p in zip(sums, parts)]).collect()}
-        split = []
-        for n in open_:
-            t = totals[n]
-            c = [t[p] for p in parts]
-            value = self.classes[int(np.argmax(c))] if self.classes else c[0] / t["n"]
-            pure = max(c) == t["n"] if self.classes else c[1] - c[0] * c[0] / t["n"] <= 1e-12 * max(1.0, c[1])
-            self.nodes[n] = {"n": t["n"], "value": value}
-            if not pure and t["n"] >= self.min_samples_split and (self.max_depth is None or level < self.max_depth):
-                split.append(n)
-        if not split:
+    def _move(self, data: DataFrame, splits: list[tuple[int, int, float]]) -> DataFrame:
+        """Rows of split nodes, with the numbers of their new nodes: 2n and 2n + 1."""
+        side = data.sparkSession.createDataFrame(splits, "node long, feature int, threshold double")
+        side = F.broadcast(side) if len(splits) * 32 <= 16 << 20 else side
+        left = F.get("x", F.col("feature")) <= F.col("threshold")
+        return data.join(side, "node").select("y", "w", "x", F.when(left, 2 * F.col("node")).otherwise(2 * F.col("node") + 1).alias("node"))
+
+    def _totals(self, data: DataFrame) -> list:
+        """node, n, value and impurity x n of every node: one row a node is collected."""
+        if self.task == "classification":
+            by_class = data.groupBy("node", "y").agg(F.sum("w").alias("w"))
+            found = by_class.groupBy("node").agg(F.sum("w").alias("n"), F.min(F.struct((-F.col("w")).alias("w"), "y")).alias("most"), F.sum(F.col("w") * F.col("w")).alias("q"))
+            return found.select("node", "n", F.col("most.y").alias("value"), (F.col("n") - F.col("q") / F.col("n")).alias("mass"), F.lit(1.0).alias("scale")).collect()
+        w, y = F.col("w"), F.col("y")
+        found = data.groupBy("node").agg(F.sum("w").alias("n"), F.sum(w * y).alias("s"), F.sum(w * y * y).alias("q"))
+        return found.select("node", "n", (F.col("s") / F.col("n")).alias("value"), (F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("mass"), F.greatest(F.lit(1.0), F.col("q")).alias("scale")).collect()
+
+    def _grow(self, data: DataFrame, level: int) -> list[tuple[int, int, float]]:
+        open_ = []
+        for r in self._totals(data):
+            self.nodes[r["node"]] = {"n": r["n"], "value": r["value"]}
+            if r["mass"] > 1e-12 * r["scale"] and r["n"] >= self.min_samples_split and (self.max_depth is None or level < self.max_depth):
+                open_.append((r["node"], r["n"]))
+        if not open_:
             return []
-        long = placed.filter(F.col("node").isin(split)).select("node", "y", "w", F.posexplode(F.array(*[F.col(f"f{i}") for i in range(len(self.features))])).alias("feature", "v")).filter("v IS NOT NULL")
-        cells = long.groupBy("node", "feature", "v").agg(F.sum("w").alias("n"), *[s.alias(p) for s, p in zip(sums, parts)])
-        run = Window.partitionBy("node", "feature").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy("node", "feature")
-        cells = cells.select("node", "feature", "v", *[F.sum(c).over(run).alias(f"l_{c}") for c in ("n", *parts)], *[F.sum(c).over(whole).alias(f"t_{c}") for c in ("n", *parts)])
-
-        def impurity(side) -> Column:
-            n = side("n")
-            if self.classes:
-                square = F.lit(0.0)
-                for p in parts:
-                    square = square + side(p) * side(p)
-                return n - F.try_divide(square, n)  # n x gini
-            return side(parts[1]) - F.try_divide(side(parts[0]) * side(parts[0]), n)  # n x variance
-
-        left = impurity(lambda p: F.col(f"l_{p}"))
-        right = impurity(lambda p: F.col(f"t_{p}") - F.col(f"l_{p}"))
-        gain = F.round(F.try_divide(impurity(lambda p: F.col(f"t_{p}")) - left - right, F.col("t_n")), 12)
-        best = cells.filter("l_n < t_n").withColumn("gain", gain).groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("g"), "feature", "v")).alias("b")).collect()
+        some = data.sparkSession.createDataFrame(open_, "node long, t_n double")
+        rows = data.join(F.broadcast(some) if len(open_) * 16 <= 16 << 20 else some, "node")
+        long = rows.select("node", "t_n", "y", "w", F.posexplode("x").alias("feature", "v")).filter("v IS NOT NULL")
+        gains = self._gini(long) if self.task == "classification" else self._variance(long)
+        best = gains.filter("l_n < t_n").groupBy("node").agg(F.min(F.struct((-F.round("gain", 12)).alias("g"), "feature", "v")).alias("b")).collect()
         out = []
         for r in best:
             self.nodes[r["node"]] |= {"feature": r["b"]["feature"], "threshold": r["b"]["v"], "gain": -r["b"]["g"]}
-            out += [2 * r["node"], 2 * r["node"] + 1]
-        return sorted(out)
+            out.append((r["node"], r["b"]["feature"], r["b"]["v"]))
+        return out
+
+    def _bucket(self, cells: DataFrame) -> DataFrame:
+        """The range of each value: how many of its feature's edges are below it."""
+        edges = F.array(*[F.array(*map(F.lit, e)).cast("array<double>") for e in self.edges])
+        return cells.withColumn("bucket", F.size(F.filter(F.get(edges, F.col("feature")), lambda e: e < F.col("v"))))
+
+    @staticmethod
+    def _running(cells: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+        """l_<sum>: running sums over v within keys, this value included; t_<sum>: those of all values."""
+        ranges = cells.groupBy(*keys, "bucket").agg(*[F.sum(c).alias(c) for c in sums])
+        before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS + 1 rows
+        whole = Window.partitionBy(*keys)
+        ranges = ranges.select(*keys, "bucket", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"b_{c}") for c in sums], *[F.sum(c).over(whole).alias(f"t_{c}") for c in sums])
+        inside = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        out = cells.join(ranges, [*keys, "bucket"])
+        return out.select(*cells.columns, *[(F.col(f"b_{c}") + F.sum(c).over(inside)).alias(f"l_{c}") for c in sums], *[f"t_{c}" for c in sums])
+
+    def _variance(self, long: DataFrame) -> DataFrame:
+        w, y = F.col("w"), F.col("y")
+        cells = self._bucket(long.groupBy("node", "feature", "v").agg(F.sum("w").alias("n"), F.sum(w * y).alias("s"), F.sum(w * y * y).alias("q")))
+        run = self._running(cells, ["node", "feature"], ["n", "s", "q"])
+        mass = lambda n, s, q: q - F.try_divide(s * s, n)
+        l, t = ([F.col(f"{side}_{c}") for c in ("n", "s", "q")] for side in "lt")
+        gain = mass(*t) - mass(*l) - mass(*[a - b for a, b in zip(t, l)])
+        return run.select("node", "feature", "v", "l_n", "t_n", F.try_divide(gain, F.col("t_n")).alias("gain"))
+
+    def _gini(self, long: DataFrame) -> DataFrame:
+        """n x gini is n - (sum of squared class counts) / n; a cell changes the sum by its own class alone."""
+        cells = self._bucket(long.groupBy("node", "feature", "v", "y").agg(F.sum("w").alias("n")))
+        by_class = self._running(cells, ["node", "feature", "y"], ["n"])
+        n, left, total = F.col("n"), F.col("l_n"), F.col("t_n")
+        # Squares grow on the left by l^2 - (l - n)^2, and shrink on the right by (t - l + n)^2 - (t - l)^2.
+        steps = by_class.select("node", "feature", "v", "bucket", "n", (n * (2 * left - n)).alias("up"), (n * (2 * (total - left) + n)).alias("down"))
+        steps = steps.groupBy("node", "feature", "v", "bucket").agg(*[F.sum(c).alias(c) for c in ("n", "up", "down")])
+        run = self._running(steps, ["node", "feature"], ["n", "up", "down"])
+        rest = F.col("t_n") - F.col("l_n")
+        squares = F.col("t_down")  # all steps down take the whole away
+        gain = F.try_divide(F.col("l_up"), F.col("l_n")) + F.try_divide(squares - F.col("l_down"), rest) - F.try_divide(squares, F.col("t_n"))
+        return run.select("node", "feature", "v", "l_n", "t_n", F.try_divide(gain, F.col("t_n")).alias("gain"))
 
     def prediction(self) -> Column:
+        """An expression over the feature columns; of a large tree, a walk over batches."""
+        if len(self.nodes) > self.EXPRESSION_NODES:
+            return self._walk()
+
         def at(n: int) -> Column:
             s = self.nodes[n]
             if "feature" not in s:
@@ -303,34 +410,83 @@ class DecisionTree(Estimator):
 
         return at(1)
 
+    def _walk(self) -> Column:
+        place = {n: i for i, n in enumerate(sorted(self.nodes))}
+        order = sorted(self.nodes)
+        feature = np.array([self.nodes[n].get("feature", -1) for n in order])
+        threshold = np.array([self.nodes[n].get("threshold", 0.0) for n in order])
+        left = np.array([place.get(2 * n, 0) for n in order])
+        right = np.array([place.get(2 * n + 1, 0) for n in order])
+        value = np.array([float(self.nodes[n]["value"]) for n in order])
+
+        def walk(points: pd.Series) -> pd.Series:
+            x = np.array(points.tolist(), float).reshape(len(points), -1)
+            at = np.zeros(len(x), np.int64)
+            while True:
+                go = np.flatnonzero(feature[at] >= 0)
+                if not len(go):
+                    return pd.Series(value[at])
+                below = x[go, feature[at[go]]] <= threshold[at[go]]
+                at[go] = np.where(below, left[at[go]], right[at[go]])
+
+        return F.pandas_udf(walk, "double")(F.array(*[F.col(f"`{f}`").cast("double") for f in self.features]))
+
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumn("prediction", self.prediction())
 
 
+def range_edges(df: DataFrame, features: list[str], buckets: int) -> list[list[float]]:
+    """Edges that cut each feature's values into ranges of about equal numbers of rows; they only share out work."""
+    at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    got = aggregate(df, {f"e{i}": F.percentile_approx(F.col(f"`{f}`").cast("double"), at, 1000) for i, f in enumerate(features)})
+    return [sorted(set(got[f"e{i}"] or [])) for i in range(len(features))]
+
+
 class RandomForest(Estimator):
-    """Trees on bootstrap weights (Poisson by a hash of the key) and one feature subset a tree."""
+    """Trees on bootstrap weights and one feature subset a tree.
+
+    A row's weight in a tree is Poisson(1) by a hash of its key: what drawing n rows
+    of n comes to for large n, without moving rows. Trees are grown side by side.
+    """
+
+    #: Trees whose jobs run at the same time.
+    PARALLEL = 4
 
     def __init__(self, n_trees: int = 100, task: str = "classification", max_depth: int | None = 5, min_samples_split: int = 2, seed: int = 42):
         self.n_trees, self.task, self.max_depth, self.min_samples_split, self.seed = n_trees, task, max_depth, min_samples_split, seed
 
+    def weight(self, key: str, tree: int) -> Column:
+        """Poisson(1) by inversion of the first 28 bits of a digest."""
+        steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+        digest = F.md5(F.concat(F.col(f"`{key}`").cast("string"), F.lit(f":{self.seed}:{tree}")))
+        u = F.conv(F.substring(digest, 1, 7), 16, 10).cast("double") / F.lit(float(1 << 28))
+        out = F.lit(0.0)
+        for s in steps:
+            out = out + (u >= F.lit(float(s))).cast("double")
+        return out
+
+    def subsets(self, features: list[str]) -> list[list[str]]:
+        """The features of each tree."""
+        rng = np.random.default_rng(self.seed)
+        size = max(1, int(math.sqrt(len(features))))
+        return [[features[i] for i in sorted(rng.choice(len(features), size, replace=False).tolist())] for _ in range(self.n_trees)]
+
     def fit(self, df: DataFrame, features: list[str], label: str, key: str) -> RandomForest:
         self.features, self.label = features, label
-        rng = np.random.default_rng(self.seed)
-        self.trees = []
-        steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
-        for t in range(self.n_trees):
-            u = F.pmod(F.xxhash64(F.col(key), F.lit(self.seed), F.lit(t)), F.lit(1_000_003)) / 1_000_003.0
-            weight = F.lit(0.0)
-            for s in steps:
-                weight = weight + (u >= F.lit(float(s))).cast("double")
-            chosen = sorted(rng.choice(len(features), max(1, int(math.sqrt(len(features)))), replace=False).tolist())
-            self.trees.append(DecisionTree(self.task, self.max_depth, self.min_samples_split).fit(df, [features[i] for i in chosen], label, weight))
+        edges = dict(zip(features, range_edges(df, features, DecisionTree.BUCKETS)))
+
+        def grow(job: tuple[int, list[str]]) -> DecisionTree:
+            t, own = job
+            return DecisionTree(self.task, self.max_depth, self.min_samples_split).fit(df, own, label, self.weight(key, t), [edges[f] for f in own])
+
+        with ThreadPoolExecutor(self.PARALLEL) as pool:
+            self.trees = list(pool.map(inheritable_thread_target(df.sparkSession)(grow), enumerate(self.subsets(features))))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
         votes = F.array(*[t.prediction() for t in self.trees])
         if self.task == "regression":
-            return df.withColumn("prediction", F.aggregate(votes, F.lit(0.0), lambda a, x: a + x) / len(self.trees))
+            return df.withColumn("__votes", votes).withColumn("prediction", F.aggregate("__votes", F.lit(0.0), lambda a, x: a + x) / len(self.trees)).drop("__votes")
         labels = F.array_sort(F.array_distinct("__votes"))
         count = F.transform(labels, lambda c: F.size(F.filter("__votes", lambda v: v == c)))
         return df.withColumn("__votes", votes).withColumn("prediction", F.get(labels, (F.array_position(count, F.array_max(count)) - 1).cast("int"))).drop("__votes")
