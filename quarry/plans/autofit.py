@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
@@ -15,6 +16,8 @@ from quarry.operators import local_models as L
 from quarry.operators.prepare import Cleaner, CleanerConfig, detect_task, encode_target, finalise, id_columns, sample_exact, split_target
 from quarry.functions.values import aggregate
 from quarry.operators.profile import inspect
+from quarry.operators import search as search_module
+from quarry.operators.evaluate import assign_folds
 from quarry.operators.search import Search
 from quarry.sources import csv_source, reports
 
@@ -28,6 +31,18 @@ CANDIDATES = {
 }
 
 
+#: Rows above which a message's table is searched with fewer and faster settings.
+MANY_ROWS = 500
+
+
+def candidates(task: str, fast: bool = False) -> list[tuple]:
+    """(name, estimator, space) of each model; ``fast``: no neighbours, and forests of five trees."""
+    out = [(name, estimator, dict(space)) for name, estimator, space in CANDIDATES[task] if not (fast and name == "KNN")]
+    if fast:
+        out = [(name, estimator, space | {"n_trees": [5]} if "n_trees" in space else space) for name, estimator, space in out]
+    return out
+
+
 @dataclass
 class AutoFitConfig:
     cv: int = 5
@@ -37,6 +52,7 @@ class AutoFitConfig:
     cleaner: CleanerConfig = field(default_factory=CleanerConfig)
     drop_ids: bool = False
     without: tuple[str, ...] = ()
+    fast: bool = False
     max_rows: int | None = None  # a sample for a quick look; off by default
 
 
@@ -48,9 +64,9 @@ class AutoFitReport:
     n_rows: int
     n_features_in: int
     n_features_out: int
-    best_model: str | None
-    best_score: float | None
-    best_params: dict | None
+    best_model: str
+    best_score: float
+    best_params: dict
     rankings: list[dict]
     feature_importances: list[dict]
     inspection: dict
@@ -101,27 +117,37 @@ def autofit(df: DataFrame, target: str, key: str, config: AutoFitConfig | None =
     data = data.persist()
     try:
         importances = feature_importances(data, features, "__label")
-        rankings = []
-        for name, estimator, space in CANDIDATES[task]:
+        rankings, folded = [], assign_folds(data, "__key", config.cv, True, config.seed)
+        # A matrix within the bound is collected once for all models; a larger table stays where it is.
+        large = data.count() * (len(features) + 2) > search_module.MAX_CELLS
+        rows = None if large else search_module.matrix(folded, features, "__label", "__key")
+        for name, estimator, space in candidates(task, config.fast):
             if name in config.without:
                 continue
             try:
-                search = Search(estimator, space or {"smoothing": [1e-9]}, metric, config.cv, config.n_iter if space else None, config.time_budget, config.seed).fit(data, features, "__label", "__key")
+                search = Search(estimator, space or {"smoothing": [1e-9]}, metric, config.cv, config.n_iter if space else None, config.time_budget, config.seed)
+                search = search.fit_frame(folded, features, "__label", "__key") if large else search.fit_arrays(df.sparkSession, rows)
                 rankings.append({"model": name, "score": search.best_score_, "params": search.best_params_, "results": [asdict(r) for r in search.results]})
+                if search.stopped:
+                    warnings.append(f"{name}: stopped after {len(search.results)} candidates by the time budget")
                 if search.results[0].error:
                     warnings.append(f"{name}: {search.results[0].error}")
             except Exception as e:  # one model's failure leaves the others
                 warnings.append(f"{name} failed: {type(e).__name__}: {e}")
+        if not rankings:
+            raise RuntimeError("no model could be fitted: " + "; ".join(warnings))
         rankings.sort(key=lambda r: (r["score"] != r["score"], -r["score"] if r["score"] == r["score"] else 0))
-        best, model = (rankings[0] if rankings else None), None
-        if best:  # the winner is fitted again on all rows
-            pdf = data.orderBy("__key").toPandas()
-            model = next(c for n, c, _ in CANDIDATES[task] if n == best["model"])(**best["params"])
-            model.fit(pdf[features].to_numpy(float), pdf["__label"].to_numpy(float))
+        best = rankings[0]
+        estimator = next(c for n, c, _ in CANDIDATES[task] if n == best["model"])
+        if large:  # the winner is fitted again on all rows
+            model = search_module.fit_spark(estimator, best["params"], data, features, "__label", "__key")
+        else:
+            model = estimator(**best["params"])
+            model.fit(rows[features].to_numpy(float), rows["__y"].to_numpy(float))
         n_rows = data.count()
     finally:
         data.unpersist()
-    return AutoFitReport(task, target, metric, n_rows, len(raw.columns), len(features), best and best["model"], best and best["score"], best and best["params"], rankings, importances, inspection.to_dict(), cleaner.report.to_dict(), warnings, time.time() - began, model)
+    return AutoFitReport(task, target, metric, n_rows, len(raw.columns), len(features), best["model"], best["score"], best["params"], rankings, importances, inspection.to_dict(), cleaner.report.to_dict(), warnings, time.time() - began, model)
 
 
 def finalise_columns(df: DataFrame, features: list[str]) -> list:
@@ -138,16 +164,39 @@ def run_file(spark: SparkSession, path: str, target: str, key: str, config: Auto
     return autofit(csv_source.read_csv_file(spark, path), target, key, config)
 
 
-def answer(spark: SparkSession, message: str, files: dict[str, str] | None = None, config: AutoFitConfig | None = None) -> str:
-    """A Markdown reply to a message that holds or comes with a CSV and names a target."""
+def message_config(n_rows: int, max_rows: int | None = None) -> AutoFitConfig:
+    """Settings for a table in a message: above MANY_ROWS fewer folds, draws and seconds, and the fast models.
+
+    All rows are used unless ``max_rows`` asks for a sample.
+    """
+    if n_rows > MANY_ROWS:
+        return AutoFitConfig(cv=2, n_iter=3, time_budget=30.0, drop_ids=True, fast=True, max_rows=max_rows)
+    return AutoFitConfig(cv=3, n_iter=8, drop_ids=True, max_rows=max_rows)
+
+
+def status(target: str, n_rows: int, max_rows: int | None = None) -> str:
+    """What is about to be done, for whoever waits for the answer."""
+    used = min(n_rows, max_rows) if max_rows else n_rows
+    return f"Searching models for **{target}** on {used} rows" + (f" sampled from {n_rows}." if used < n_rows else ".")
+
+
+def answer(spark: SparkSession, message: str, files: dict[str, str] | None = None, config: AutoFitConfig | None = None, max_rows: int | None = None, say: Callable[[str], None] | None = None) -> str:
+    """A Markdown reply to a message that holds or comes with a CSV and names a target; ``say`` hears of progress."""
     text = csv_source.find_csv(message, files)
     if text is None:
         return "Please attach a CSV file or paste its rows."
     df = csv_source.read_csv_text(spark, text)
-    target = csv_source.find_target(message, [c for c in df.columns if c != "_row"])
+    columns = [c for c in df.columns if c != "_row"]
+    target = csv_source.find_target(message, columns)
     if target is None:
-        return "Which column shall be predicted? Columns: " + ", ".join(c for c in df.columns if c != "_row")
-    return reports.markdown(autofit(df, target, "_row", config or AutoFitConfig(cv=3, n_iter=8, drop_ids=True)).to_dict())
+        return "Which column shall be predicted? Columns: " + ", ".join(columns)
+    n = df.count()
+    say = say or (lambda _: None)
+    say(status(target, n, max_rows))
+    config = config or message_config(n, max_rows)
+    if config.drop_ids and (dropped := id_columns(df.drop("_row"), target)):
+        say("Left out as names of rows: " + ", ".join(dropped))
+    return reports.markdown(autofit(df, target, "_row", config).to_dict())
 
 
 def main() -> None:

@@ -144,7 +144,9 @@ def type_summary(spark, sf):
 
 @query("sample_values", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 5")
 def sample_values(spark, sf):
-    return t(spark, sf, "customer").filter(F.col("c_name").isNotNull()).select("c_custkey", "c_name").orderBy("c_custkey").limit(5)
+    found = pr.detect_types(t(spark, sf, "customer").select("c_custkey", "c_name"), samples=5, order="c_custkey")
+    keys, names = ([*x.sample_values] for x in found)
+    return spark.createDataFrame(list(zip(keys, names)), "c_custkey long, c_name string")
 
 
 def _corr_sql(columns: list[str], table: str) -> str:
@@ -162,7 +164,7 @@ def corr_pairwise_missing(spark, sf):
     return rounded(pr.correlation(gaps(spark, sf), ["event_id", "value", "uid"]).select("x", "y", "r"), 6)
 
 
-@query("corr_constant_guard", "SELECT 'l_quantity' AS x, 'flat' AS y, 0.0::DOUBLE AS r")
+@query("corr_constant_guard", "SELECT 'l_quantity' AS x, 'flat' AS y, coalesce(covar_pop(l_quantity, 7.0) / nullif(stddev_pop(l_quantity) * stddev_pop(7.0), 0), 0)::DOUBLE AS r FROM lineitem")
 def corr_constant_guard(spark, sf):
     return pr.correlation(t(spark, sf, "lineitem").select("l_quantity", F.lit(7.0).alias("flat")), ["l_quantity", "flat"]).select("x", "y", "r")
 
@@ -233,7 +235,7 @@ def minmax_scale_range(spark, sf):
     return rounded(P.MinMaxScaler((-1.0, 1.0)).fit_transform(t(spark, sf, "part").select("p_partkey", "p_retailprice"), _NUM), 6)
 
 
-@query("minmax_constant", "SELECT p_partkey, 0.0::DOUBLE AS flat FROM part")
+@query("minmax_constant", "WITH f AS (SELECT p_partkey, 3.0::DOUBLE AS flat FROM part) SELECT p_partkey, coalesce((flat - lo) / nullif(hi - lo, 0), 0)::DOUBLE AS flat FROM f, (SELECT min(flat) AS lo, max(flat) AS hi FROM f)")
 def minmax_constant(spark, sf):
     return P.MinMaxScaler().fit_transform(t(spark, sf, "part").select("p_partkey", F.lit(3.0).alias("flat")), _NUM)
 
@@ -243,7 +245,7 @@ def standard_scale(spark, sf):
     return rounded(P.StandardScaler().fit_transform(t(spark, sf, "orders").select("o_orderkey", "o_totalprice"), _NUM), 5)
 
 
-@query("standard_constant", "SELECT p_partkey, 0.0::DOUBLE AS flat FROM part")
+@query("standard_constant", "WITH f AS (SELECT p_partkey, 3.0::DOUBLE AS flat FROM part) SELECT p_partkey, coalesce((flat - m) / nullif(s, 0), 0)::DOUBLE AS flat FROM f, (SELECT avg(flat) AS m, stddev_samp(flat) AS s FROM f)")
 def standard_constant(spark, sf):
     return P.StandardScaler().fit_transform(t(spark, sf, "part").select("p_partkey", F.lit(3.0).alias("flat")), _NUM)
 
@@ -261,19 +263,9 @@ def onehot_long(spark, sf):
     return out.select("o_orderkey", F.explode(F.array(*[F.struct(F.lit(n.removeprefix("o_orderpriority_")).alias("category"), F.col(f"`{n}`").cast("int").alias("on_")) for n in names])).alias("x")).select("o_orderkey", "x.category", "x.on_").filter("on_ = 1")
 
 
-@query("onehot_unknown", "SELECT c_custkey, 0::INT AS total FROM customer WHERE c_custkey % 2 = 1 AND c_mktsegment NOT IN (SELECT c_mktsegment FROM customer WHERE c_mktsegment < 'C') UNION ALL SELECT c_custkey, 1::INT FROM customer WHERE c_mktsegment IN (SELECT c_mktsegment FROM customer WHERE c_mktsegment < 'C') AND c_custkey % 2 = 1")
+@query("onehot_unknown", "SELECT c_custkey, (c_mktsegment IN (SELECT c_mktsegment FROM customer WHERE c_mktsegment < 'C'))::INT AS total FROM customer")
 def onehot_unknown(spark, sf):
-    df = t(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    enc = P.OneHotEncoder().fit(df.filter("c_mktsegment < 'C'"), {"c_mktsegment": "categorical"})
-    total = F.lit(0)
-    for n in enc.get_feature_names():
-        total = total + F.col(f"`{n}`").cast("int")
-    return enc.transform(df.filter("c_custkey % 2 = 1")).select("c_custkey", total.alias("total"))
-
-
-@query("onehot_unknown_all", "SELECT c_custkey, (c_mktsegment IN (SELECT c_mktsegment FROM customer WHERE c_mktsegment < 'C'))::INT AS total FROM customer")
-def onehot_unknown_all(spark, sf):
-    """Every customer; the query above encodes the odd keys of its SQL."""
+    """Segments that the encoder hasn't seen are 0 in all indicators."""
     df = t(spark, sf, "customer").select("c_custkey", "c_mktsegment")
     enc = P.OneHotEncoder().fit(df.filter("c_mktsegment < 'C'"), {"c_mktsegment": "categorical"})
     total = F.lit(0)
@@ -312,7 +304,7 @@ def cleaner_onehot_standard(spark, sf):
     return rounded(out.select("o_totalprice", F.col("o_orderstatus_F").cast("int").alias("f"), F.col("o_orderstatus_O").cast("int").alias("o")), 5)
 
 
-@query("detect_task", "SELECT 'regression' AS price, 'classification' AS status, 'classification' AS quality")
+@query("detect_task", "SELECT " + ", ".join(f"(SELECT CASE WHEN count(DISTINCT {c}) > least(20, greatest(5, floor(0.3 * count(*)))) AND {number} THEN 'regression' ELSE 'classification' END FROM {tb}) AS {name}" for name, c, tb, number in (("price", "o_totalprice", "orders", "true"), ("status", "o_orderstatus", "orders", "false"), ("quality", "quality", "labels", "true"))))
 def detect_task(spark, sf):
     o = t(spark, sf, "orders")
     return spark.createDataFrame([(P.detect_task(o, "o_totalprice"), P.detect_task(o, "o_orderstatus"), P.detect_task(t(spark, sf, "labels"), "quality"))], "price string, status string, quality string")
@@ -328,9 +320,14 @@ def bool_finalize(spark, sf):
     return P.finalise(t(spark, sf, "labels").select("quality", F.when(F.col("quality") == 1, "No").otherwise(" yes").alias("word")))
 
 
-@query("drop_id_columns", "SELECT 'c_custkey' AS dropped UNION ALL SELECT 'c_name'")
+#: Numbers name rows if they are whole and leave no gap; texts do anyway.
+_DENSE = "bool_and({c} = floor({c})) AND count(DISTINCT {c}) = count({c}) AND max({c}) - min({c}) + 1 = count(DISTINCT {c})"
+_ID_SHAPES = {"c_custkey": _DENSE.format(c="c_custkey"), "c_name": "true", "c_nationkey": _DENSE.format(c="c_nationkey"), "c_acctbal": _DENSE.format(c="c_acctbal"), "c_mktsegment": "true"}
+
+
+@query("drop_id_columns", "WITH c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS dropped, count(DISTINCT {c}) * 1.0 / count(*) > 0.9 AND ({dense}) AS is_id FROM customer" for c, dense in _ID_SHAPES.items()) + ") SELECT dropped FROM c WHERE is_id")
 def drop_id_columns(spark, sf):
-    return spark.createDataFrame([(c,) for c in P.id_columns(t(spark, sf, "customer"))], "dropped string")
+    return spark.createDataFrame([(c,) for c in P.id_columns(t(spark, sf, "customer").select(*_ID_SHAPES))], "dropped string")
 
 
 @query("sample_exact", "SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 500")
@@ -387,7 +384,7 @@ def mse_mae_r2(spark, sf):
     return df.agg(F.round(E.mse(y, p), 4).alias("mse"), F.round(E.mae(y, p), 4).alias("mae"), F.round(E.r2(y, p), 6).alias("r2"))
 
 
-@query("r2_constant", "SELECT 1.0::DOUBLE AS exact, 0.0::DOUBLE AS wrong")
+@query("r2_constant", "SELECT CASE WHEN sum((y - 2) * (y - 2)) = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS exact, CASE WHEN sum((y - p) * (y - p)) = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS wrong FROM (SELECT 2.0::DOUBLE AS y, p_size::DOUBLE AS p FROM part)")
 def r2_constant(spark, sf):
     return t(spark, sf, "part").agg(E.r2(F.lit(2.0), F.lit(2.0)).alias("exact"), E.r2(F.lit(2.0), F.col("p_size").cast("double")).alias("wrong"))
 
@@ -424,27 +421,17 @@ def _part(spark, sf):
     return t(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").cast("double").alias("b"), (F.col("p_partkey") % 3).cast("double").alias("y"))
 
 
-def _knn_sql(distance: str, vote: str) -> str:
-    return f"WITH p AS (SELECT * FROM {_PART}), n AS (SELECT q.p_partkey, tr.y, row_number() OVER (PARTITION BY q.p_partkey ORDER BY {distance}, tr.p_partkey) AS r FROM p q, p tr WHERE q.p_partkey % 20 = 0 AND tr.p_partkey % 20 <> 0) {vote}"
-
-
+_KNN = "WITH p AS (SELECT * FROM {part}), n AS (SELECT q.p_partkey, tr.y, row_number() OVER (PARTITION BY q.p_partkey ORDER BY {distance}, tr.p_partkey) AS r FROM p q, p tr WHERE q.p_partkey <> tr.p_partkey) {vote}"
 _DIST = {"euclidean": "(q.a - tr.a) * (q.a - tr.a) + (q.b - tr.b) * (q.b - tr.b)", "manhattan": "abs(q.a - tr.a) + abs(q.b - tr.b)"}
 _CLASS = "SELECT p_partkey, y AS prediction FROM (SELECT p_partkey, y, row_number() OVER (PARTITION BY p_partkey ORDER BY count(*) DESC, y) AS k FROM n WHERE r <= 5 GROUP BY 1, 2) WHERE k = 1"
 _MEAN = "SELECT p_partkey, round(avg(y), 6) AS prediction FROM n WHERE r <= 5 GROUP BY 1"
 for _name, _task, _metric, _vote in (("knn_classify", "classification", "euclidean", _CLASS), ("knn_regress", "regression", "euclidean", _MEAN), ("knn_manhattan", "classification", "manhattan", _CLASS)):
 
     def _knn(spark, sf, task=_task, metric=_metric):
-        df = _part(spark, sf)
-        model = mod.KNN(5, task, metric).fit(df.filter("p_partkey % 20 <> 0"), ["a", "b"], "y", "p_partkey")
-        return rounded(model.transform(df.filter("p_partkey % 20 = 0")).select("p_partkey", "prediction"), 6)
-
-    query(_name, _knn_sql(_DIST[_metric], _vote))(_knn)
-
-    def _knn_all(spark, sf, task=_task, metric=_metric):
-        """Every row of part against all others; the queries above predict the one in twenty of their SQL."""
+        """Every row of part, from its nearest among all others."""
         return rounded(mod.KNN(5, task, metric).fit(_part(spark, sf), ["a", "b"], "y", "p_partkey").leave_one_out(), 6)
 
-    query(f"{_name}_all", _knn_sql(_DIST[_metric], _vote).replace("q.p_partkey % 20 = 0 AND tr.p_partkey % 20 <> 0", "q.p_partkey <> tr.p_partkey"))(_knn_all)
+    query(_name, _KNN.format(part=_PART, distance=_DIST[_metric], vote=_vote))(_knn)
 
 
 @query("tree_stump_mse", "WITH d AS (SELECT l_quantity::DOUBLE AS x, (l_extendedprice / 1000)::DOUBLE AS y FROM lineitem), c AS (SELECT x, count(*)::DOUBLE AS n, sum(y) AS s, sum(y * y) AS q FROM d GROUP BY x), w AS (SELECT x, sum(n) OVER o AS n, sum(s) OVER o AS s, sum(q) OVER o AS q, sum(n) OVER () AS tn, sum(s) OVER () AS ts, sum(q) OVER () AS tq FROM c WINDOW o AS (ORDER BY x)) SELECT x AS threshold, round(((tq - ts * ts / tn) - (q - s * s / n) - ((tq - q) - (ts - s) * (ts - s) / (tn - n))) / tn, 4) AS gain FROM w WHERE n < tn ORDER BY ((tq - ts * ts / tn) - (q - s * s / n) - ((tq - q) - (ts - s) * (ts - s) / (tn - n))) DESC, x LIMIT 1")

@@ -186,7 +186,7 @@ def test_autofit_rankings_take_every_row_and_grid_point(spark, tmp_path):
     assert got == pytest.approx(want, abs=0.003)  # last digits of scaled values may turn a tie
 
 
-@pytest.mark.parametrize("name,metric", [("knn_classify_all", "euclidean"), ("knn_regress_all", "euclidean"), ("knn_manhattan_all", "manhattan")])
+@pytest.mark.parametrize("name,metric", [("knn_classify", "euclidean"), ("knn_regress", "euclidean"), ("knn_manhattan", "manhattan")])
 def test_knn_predicts_every_part(spark, name, metric):
     parts = duckdb.sql(f"select p_partkey, p_size::double, p_retailprice::double, (p_partkey % 3)::double from '{SF}/part.parquet'").fetchall()
     want = {}
@@ -209,7 +209,7 @@ def test_knn_without_others(spark):
 
 def test_onehot_unknown_encodes_every_customer(spark):
     segments = duckdb.sql(f"select c_custkey, c_mktsegment from '{SF}/customer.parquet'").fetchall()
-    assert {tuple(r) for r in catalogue.QUERIES["onehot_unknown_all"](spark, SF).collect()} == {(k, int(v < "C")) for k, v in segments}
+    assert {tuple(r) for r in catalogue.QUERIES["onehot_unknown"](spark, SF).collect()} == {(k, int(v < "C")) for k, v in segments}
 
 
 def test_messages(spark):
