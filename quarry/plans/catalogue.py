@@ -6,6 +6,9 @@ written alike on both sides. Reals are rounded on both sides.
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,7 +127,7 @@ def _types(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "name string, inferred_type string, n_unique long, n_missing long")
 
 
-_LINE_TYPES = {"l_orderkey": True, "l_linenumber": True, "l_quantity": True, "l_extendedprice": True, "l_discount": True, "l_tax": True, "l_returnflag": False, "l_linestatus": False}
+_LINE_TYPES = {"l_orderkey": True, "l_partkey": True, "l_suppkey": True, "l_linenumber": True, "l_quantity": True, "l_extendedprice": True, "l_discount": True, "l_tax": True, "l_returnflag": False, "l_linestatus": False, "l_shipdate": False}
 
 
 @query("column_types", _types_sql("lineitem", _LINE_TYPES))
@@ -193,7 +196,15 @@ def outlier_cap(spark, sf):
     return rounded(pr.cap(t(spark, sf, "events"), ["value"], 0.5).select("event_id", "value"))
 
 
-@query("inspector_warnings")
+_NUMERIC = ["event_id", "user_id", "value", "uid"]
+_WARNINGS = " UNION ALL ".join(
+    [f"SELECT '''{a}'' and ''{b}'' are nearly collinear (r = ' || format('{{:.4f}}', r) || ')' AS warning FROM (SELECT round(coalesce(corr({a}, {b}), 0), 6) AS r FROM e) WHERE abs(r) >= 0.9 AND (SELECT bool_and(numeric) FROM k WHERE c IN ('{a}', '{b}'))" for i, a in enumerate(_NUMERIC) for b in _NUMERIC[i + 1 :]]
+    + [f"SELECT '''{c}'' has ' || format('{{:.1f}}', pct) || '% outliers' FROM (SELECT round(100.0 * count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) / count({c}), 6)::DOUBLE AS pct FROM e, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM e)) WHERE pct > 5 AND (SELECT numeric FROM k WHERE c = '{c}')" for c in _NUMERIC]
+    + [f"SELECT '''{c}'' has ' || n || ' missing values (' || format('{{:.1f}}', 100.0 * n / total) || '%)' FROM (SELECT count(*) FILTER ({c} IS NULL OR trim(lower({c}::VARCHAR)) IN ('', 'nan', 'none', 'null', 'na', 'n/a')) AS n, count(*) AS total FROM e) WHERE n > 0" for c in ("event_id", "event_type", "user_id", "value", "uid", "kind")]
+)
+
+
+@query("inspector_warnings", f"WITH e AS (SELECT * FROM {EVENTS}), k AS (" + " UNION ALL ".join(f"SELECT '{c}' AS c, count(DISTINCT {c}) > 0.05 * count({c}) OR count(DISTINCT {c}) > 20 AS numeric FROM e" for c in _NUMERIC) + f") {_WARNINGS}")
 def inspector_warnings(spark, sf):
     return spark.createDataFrame([(w,) for w in pr.inspect(gaps(spark, sf)).warnings], "warning string")
 
@@ -330,6 +341,15 @@ def drop_id_columns(spark, sf):
     return spark.createDataFrame([(c,) for c in P.id_columns(t(spark, sf, "customer").select(*_ID_SHAPES))], "dropped string")
 
 
+_STRICT = {c: d if c in ("c_name", "c_mktsegment") else "true" for c, d in _ID_SHAPES.items()}
+
+
+@query("drop_id_columns_strict", "WITH c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS dropped, count(DISTINCT {c}) * 1.0 / count(*) > 0.9 AND ({dense}) AS is_id FROM customer" for c, dense in _STRICT.items()) + ") SELECT dropped FROM c WHERE is_id")
+def drop_id_columns_strict(spark, sf):
+    """Numbers that are nearly always unique go too."""
+    return spark.createDataFrame([(c,) for c in P.id_columns(t(spark, sf, "customer").select(*_ID_SHAPES), strict=True)], "dropped string")
+
+
 @query("sample_exact", "SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 500")
 def sample_exact(spark, sf):
     return P.sample_exact(t(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 500)
@@ -441,16 +461,53 @@ def tree_stump_mse(spark, sf):
     return spark.createDataFrame([(root["threshold"], round(root["gain"], 4))], "threshold double, gain double")
 
 
-@query("tree_depth2")
+def _tree_sql(features: list[str], depth: int, regression: bool, weight: str = "1.0") -> str:
+    """p_partkey and prediction of a tree on part: CTEs r0, r1, ... hold each row's node."""
+    parts = ["sum(w * y) AS s", "sum(w * y * y) AS q"] if regression else [f"sum(CASE WHEN y = {c} THEN w ELSE 0 END) AS c{c}" for c in range(3)]
+    names = ["n", *[p.split()[-1] for p in parts]]
+    mass = (lambda x: f"({x('q')} - {x('s')} * {x('s')} / {x('n')})") if regression else (lambda x: f"({x('n')} - ({' + '.join(f'{x(c)} * {x(c)}' for c in names[1:])}) / {x('n')})")
+    out = [f"r0 AS (SELECT p_partkey, a, b, y, {weight}::DOUBLE AS w, 1 AS node FROM {_PART} WHERE {weight} > 0)", f"every0 AS (SELECT p_partkey, a, b, 1 AS node FROM {_PART})"]
+    for k in range(depth):
+        long = " UNION ALL ".join(f"SELECT node, {i} AS f, {c} AS v, y, w FROM r{k}" for i, c in enumerate(features))
+        run = ", ".join(f"sum({c}) OVER (PARTITION BY node, f ORDER BY v) AS l_{c}, sum({c}) OVER (PARTITION BY node, f) AS t_{c}" for c in names)
+        left, total, right = mass(lambda c: f"l_{c}"), mass(lambda c: f"t_{c}"), mass(lambda c: f"(t_{c} - l_{c})")
+        feature = "CASE f " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(features)) + " END"
+        out += [
+            f"cells{k} AS (SELECT node, f, v, sum(w) AS n, {', '.join(parts)} FROM ({long}) GROUP BY 1, 2, 3)",
+            f"gains{k} AS (SELECT node, f, v, round(({total} - {left} - {right}) / t_n, 12) AS gain, {total} AS mass, t_n FROM (SELECT node, f, v, {run} FROM cells{k}) WHERE l_n < t_n)",
+            f"best{k} AS (SELECT node, f, v FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, v) AS k FROM gains{k} WHERE mass > 1e-9 AND t_n >= 2) WHERE k = 1)",
+            *[f"{name}{k + 1} AS (SELECT r.* REPLACE (CASE WHEN f IS NULL THEN r.node WHEN {feature} <= v THEN 2 * r.node ELSE 2 * r.node + 1 END AS node) FROM {name}{k} r LEFT JOIN best{k} USING (node))" for name in ("r", "every")],
+        ]
+    value = "sum(w * y) / sum(w)" if regression else "arg_min(y, (-n, y))"
+    leaf = f"SELECT node, {value} AS prediction FROM r{depth} GROUP BY node" if regression else f"SELECT node, y AS prediction FROM (SELECT node, y, row_number() OVER (PARTITION BY node ORDER BY sum(w) DESC, y) AS k FROM r{depth} GROUP BY node, y) WHERE k = 1"
+    return f"WITH {', '.join(out)}, leaf AS ({leaf}) SELECT p_partkey, prediction FROM every{depth} JOIN leaf USING (node)"
+
+
+@query("tree_depth2", _tree_sql(["a", "b"], 2, False))
 def tree_depth2(spark, sf):
     df = _part(spark, sf)
     return mod.DecisionTree("classification", 2).fit(df, ["a", "b"], "y").transform(df).select("p_partkey", "prediction")
 
 
-@query("forest_predict")
+_FOREST = mod.RandomForest(3, "regression", 2)
+_STEPS = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
+_DRAWN = "(" + " + ".join(f"(('0x' || substr(md5(p_partkey || ':42:{{t}}'), 1, 7))::BIGINT / 268435456.0::DOUBLE >= {x!r}::DOUBLE)::INT" for x in _STEPS) + ")"
+
+
+@query("forest_predict", "SELECT p_partkey, round(avg(prediction), 6) AS prediction FROM (" + " UNION ALL ".join(f"SELECT * FROM ({_tree_sql(own, 2, True, _DRAWN.format(t=i))})" for i, own in enumerate(_FOREST.subsets(["a", "b"]))) + ") GROUP BY p_partkey")
 def forest_predict(spark, sf):
     df = _part(spark, sf)
-    return mod.RandomForest(3, "regression", 2).fit(df, ["a", "b"], "y", "p_partkey").transform(df).select("p_partkey", "prediction")
+    return rounded(mod.RandomForest(3, "regression", 2).fit(df, ["a", "b"], "y", "p_partkey").transform(df).select("p_partkey", "prediction"), 6)
+
+
+_LIKELY = "SELECT p_partkey, c.y AS class, ln(n / total) - " + " - ".join(f"(0.5 * ln(2 * pi() * (v{x} + 1e-9)) + (p.{x} - m{x}) * (p.{x} - m{x}) / (2 * (v{x} + 1e-9)))" for x in "ab") + f" AS ll FROM {_PART} p, (SELECT y, count(*)::DOUBLE AS n, sum(count(*)) OVER () AS total, " + ", ".join(f"avg({x}) AS m{x}, var_pop({x}) AS v{x}" for x in "ab") + f" FROM {_PART} GROUP BY y) c"
+
+
+@query("gnb_predict", f"WITH l AS ({_LIKELY}) SELECT p_partkey, arg_max(class, ll) AS prediction, round(1 / sum(exp(ll - top)), 6) AS certainty FROM (SELECT *, max(ll) OVER (PARTITION BY p_partkey) AS top FROM l) GROUP BY p_partkey")
+def gnb_predict(spark, sf):
+    df = _part(spark, sf)
+    out = mod.GaussianNaiveBayes().fit(df, ["a", "b"], "y").transform(df)
+    return out.select("p_partkey", "prediction", F.round(F.array_max("probabilities"), 6).alias("certainty"))
 
 
 @query("feature_importances", "SELECT 'l_extendedprice' AS feature, round(abs(corr(l_extendedprice, l_quantity)), 4) AS importance FROM lineitem UNION ALL SELECT 'l_tax', round(abs(corr(l_tax, l_quantity)), 4) FROM lineitem")
@@ -461,20 +518,39 @@ def feature_importances(spark, sf):
     return spark.createDataFrame([(x["feature"], x["importance"]) for x in got], "feature string, importance double")
 
 
-@query("grid_search_knn")
+_FOLDED = f"(SELECT *, (CASE WHEN i < (n % 3) * (n // 3 + 1) THEN i // (n // 3 + 1) ELSE (n % 3) + (i - (n % 3) * (n // 3 + 1)) // (n // 3) END)::INT AS fold FROM (SELECT *, row_number() OVER (ORDER BY md5(p_partkey || ':42'), p_partkey) - 1 AS i, count(*) OVER () AS n FROM {_PART}))"
+_SCORED = "SELECT {k} AS k, fold, avg((y = prediction)::INT) AS score FROM (SELECT fold, y, prediction FROM (SELECT p_partkey, fold, y, label AS prediction, row_number() OVER (PARTITION BY p_partkey ORDER BY count(*) DESC, label) AS turn FROM near WHERE r <= {k} GROUP BY 1, 2, 3, 4) WHERE turn = 1) GROUP BY fold"
+
+
+@query("grid_search_knn", f"WITH p AS {_FOLDED}, near AS (SELECT q.p_partkey, q.fold, q.y, tr.y AS label, row_number() OVER (PARTITION BY q.p_partkey ORDER BY {_DIST['euclidean']}, tr.p_partkey) AS r FROM p q, p tr WHERE q.fold <> tr.fold), scored AS ({_SCORED.format(k=3)} UNION ALL {_SCORED.format(k=5)}) SELECT k::INT AS k, round(avg(score), 6) AS mean_score, round(stddev_pop(score), 6) AS std_score FROM scored GROUP BY k")
 def grid_search_knn(spark, sf):
     from quarry.operators.local_models import Neighbours
     from quarry.operators.search import Search
 
     s = Search(Neighbours, {"k": [3, 5], "task": ["classification"]}, "accuracy", 3).fit(_part(spark, sf), ["a", "b"], "y", "p_partkey")
-    return spark.createDataFrame([(r.params["k"], r.mean_score, r.std_score) for r in s.results], "k int, mean_score double, std_score double")
+    return rounded(spark.createDataFrame([(r.params["k"], r.mean_score, r.std_score) for r in s.results], "k int, mean_score double, std_score double"), 6)
 
 
-@query("csv_ingest")
+@query("csv_ingest", "SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS _row, n_nationkey::VARCHAR AS id, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_regionkey || '.5' END AS score FROM nation")
 def csv_ingest(spark, sf):
+    """The text of a small table: cells are trimmed, blanks are null."""
     from quarry.sources.csv_source import read_csv_text
 
-    return read_csv_text(spark, "id, name ,score\n1, a ,2.5\n2,,\n3,c,nan\n")
+    rows = t(spark, sf, "nation").orderBy("n_nationkey").collect()  # a catalogue of 25 rows
+    lines = ["id, name ,score", *[f"{r.n_nationkey}, {r.n_name} ,{'' if r.n_nationkey % 3 == 0 else f'{r.n_regionkey}.5'}" for r in rows]]
+    return read_csv_text(spark, "\n".join(lines))
+
+
+@query("csv_file", "SELECT c_custkey::VARCHAR AS c_custkey, c_name, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'in ' || c_mktsegment || ', or \"so\"' END AS segment FROM customer")
+def csv_file(spark, sf):
+    """A table of any size written as CSV files in the shared folder and read back as text."""
+    from quarry.sources.csv_source import read_csv_file
+    from quarry.streaming.storage import shared_folder
+
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    segment = F.when(F.col("c_custkey") % 7 != 0, F.concat(F.lit("in "), "c_mktsegment", F.lit(', or "so"')))
+    t(spark, sf, "customer").select("c_custkey", "c_name", segment.alias("segment")).write.csv(path, header=True, escape='"')
+    return read_csv_file(spark, path)
 
 
 @query("autofit_rankings")

@@ -223,7 +223,7 @@ def test_messages(spark):
 @pytest.mark.parametrize("name", sorted(set(catalogue.ORACLES) - SLOW))
 def test_sql_twin(spark, name):
     con = duckdb.connect()
-    for table in "customer orders lineitem part events labels".split():
+    for table in "customer orders lineitem part events labels nation".split():
         con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     df, want = catalogue.QUERIES[name](spark, SF), con.sql(catalogue.ORACLES[name])
     columns = sorted(df.columns)
