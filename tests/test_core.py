@@ -9,14 +9,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import stats as S
+from quarry.functions import values as V
 from quarry.operators import evaluate as E
 from quarry.operators import models as mod
 from quarry.operators import prepare as P
 from quarry.operators import profile as pr
-from quarry.operators.local_models import Forest, NaiveBayes, Tree
-from quarry.operators.search import Search, draw, grid
+from quarry.operators import search as search_module
+from quarry.operators.local_models import Forest, Linear, NaiveBayes, Neighbours, Tree
+from quarry.operators.search import Orchestrator, OrchestratorConfig, Search, checked, draw, grid
 from quarry.plans import catalogue
-from quarry.plans.autofit import CANDIDATES, AutoFitConfig, answer, run_csv
+from quarry.plans.autofit import CANDIDATES, AutoFitConfig, answer, candidates, message_config, run_csv
 from quarry.sources import csv_source, reports
 
 SF = "/root/testdata/sf0.001"
@@ -220,6 +222,266 @@ def test_messages(spark):
         csv_source.read_csv_text(spark, "a,b\n1")
 
 
+def test_quantiles_and_modes(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(float(a), float(b), None if i % 3 else float(c)) for i, (a, b, c) in enumerate(zip(rng.normal(0, 100, 5000).round(2), rng.integers(0, 4, 5000), rng.exponential(1, 5000)))]
+    df = spark.createDataFrame(rows, "a double, b double, c double").withColumn("none", F.lit(None).cast("double"))
+    at = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+
+    def check():
+        got = V.quantiles(df, ["a", "b", "c", "none"], at)
+        assert got.pop("none") is None
+        for k, name in enumerate("abc"):
+            assert got[name] == pytest.approx(np.quantile([r[k] for r in rows if r[k] is not None], at).tolist())
+
+    check()
+    monkeypatch.setattr(V, "ACCURACY", 20)  # wide brackets, narrowed round by round
+    monkeypatch.setattr(V, "FEW", 30)
+    check()
+    got = V.modes(df, {c: F.col(c) for c in df.columns})
+    assert got["none"] is None and got["b"] == min(range(4), key=lambda v: (-sum(r[1] == v for r in rows), v))
+
+
+def test_profile_without_types_given(spark):
+    df = spark.createDataFrame([("1", "x", 0, True), ("2.5", "y", 1, False), ("nan", "x", 1, None), (None, "z", 0, None)], "n string, t string, i int, f boolean")
+    assert pr.numeric_by_content(df) == ["n", "i", "f"]
+    assert [r.name for r in pr.profile(df).collect()] == ["n", "i", "f"]
+    assert pr.correlation(df).count() == 3 and pr.outlier_report(df).count() == 3
+    empty = {r.name: r for r in pr.profile(df.limit(0), ["i"]).collect()}["i"]
+    assert empty["count"] == 0 and empty["median"] is None and empty["mode"] is None
+
+
+def test_first_values_follow_a_key(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else f"v{i}") for i in range(40, 0, -1)], "k int, v string").repartition(5)
+    assert pr.detect_types(df, samples=5, order="k")[1].sample_values == ["v1", "v2", "v3", "v5", "v6"]
+
+
+def test_inspector_caps_if_asked(spark):
+    df = column(spark, [2.0, 4.0, 100.0, 8.0, 5.0, 6.0, 3.0, 7.0])
+    assert pr.inspect(df).capped is None
+    report = pr.inspect(df, pr.InspectorConfig(cap_outliers=True))
+    assert max(r.a for r in report.capped.collect()) < 100 and "capped" not in report.to_dict()
+
+
+def test_finaliser_takes_few_words(spark):
+    assert sorted(r.a for r in P.finalise(column(spark, ["Yes", " n", "TRUE", "0", "2.5"], kind="string")).collect()) == [0, 0, 1, 1, 2.5]
+    for word in ("t", "on", "off", "f", "maybe"):
+        with pytest.raises(ValueError):
+            P.finalise(column(spark, ["yes", word], kind="string"))
+
+
+def test_label_codes_of_many_categories(spark, monkeypatch):
+    values = [f"c{i * 7919 % 3001}" for i in range(6000)] + [None, "N/A"]
+    df, kinds = column(spark, values, kind="string"), {"a": "categorical"}
+    plain = P.LabelEncoder()
+    monkeypatch.setattr(P.LabelEncoder, "LITERALS", 50)
+    joined = P.LabelEncoder().fit(df, kinds)
+    order = {v: i for i, v in enumerate(sorted({v for v in values if v and v != "N/A"}))}
+    assert joined.get_mapping()["a"] == order and "a" in joined.tables
+    other = column(spark, [*values[:500], "new", None], kind="string")
+    assert sorted((r.a for r in joined.transform(other).collect()), key=repr) == sorted([*[order[v] for v in values[:500]], -1, None], key=repr)
+    monkeypatch.setattr(P.LabelEncoder, "LITERALS", 10_000)
+    assert plain.fit(df, kinds).get_mapping()["a"] == order
+    monkeypatch.setattr(P.LabelEncoder, "LITERALS", 50)
+    coded, names = P.encode_target(df, "a", "classification")
+    assert names is None and {(r.a, r.label) for r in coded.collect()} == {(v, float(order.get(v, -1))) for v in values}
+
+
+def test_onehot_of_many_categories(spark):
+    df = column(spark, [f"c{i:03d}" for i in range(400)], kind="string")
+    out = P.OneHotEncoder().fit_transform(df, {"a": "categorical"})
+    assert len(out.columns) == 400 and sum(out.filter("a_c007 = 1").first()) == 1
+
+
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_trees_equal_local_ones(spark, task, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = np.column_stack([rng.integers(0, 60, 500), rng.normal(0, 1, 500).round(3), rng.integers(0, 3, 500)]).astype(float)
+    y = rng.integers(0, 4, 500).astype(float) if task == "classification" else (x[:, 0] + rng.normal(0, 5, 500)).round(3)
+    df = spark.createDataFrame([(i, *map(float, a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "k int, a double, b double, c double, y double").repartition(4)
+    monkeypatch.setattr(mod.DecisionTree, "BUCKETS", 7)
+    for depth in (1, 4, None):
+        local = Tree(task, max_depth=depth, min_samples_split=5)
+        local.fit(x, y)
+        tree = mod.DecisionTree(task, depth, 5).fit(df, ["a", "b", "c"], "y")
+        got = np.array([r.prediction for r in tree.transform(df).orderBy("k").collect()])
+        assert np.isclose(got, local.predict(x)).mean() > 0.99  # gains that tie to the last digit may turn
+        monkeypatch.setattr(mod.DecisionTree, "EXPRESSION_NODES", 0)
+        assert [r.prediction for r in tree.transform(df).orderBy("k").collect()] == got.tolist()
+        monkeypatch.setattr(mod.DecisionTree, "EXPRESSION_NODES", 255)
+
+
+def test_tree_of_many_classes(spark):
+    df = spark.createDataFrame([(float(i), float(i // 2)) for i in range(2400)], "a double, y double")
+    tree = mod.DecisionTree(max_depth=2).fit(df, ["a"], "y")
+    # All cuts between classes gain alike, so the first ones are taken.
+    assert sorted(tree.nodes) == [1, 2, 3, 6, 7] and tree.transform(df).select("prediction").distinct().count() == 3
+
+
+def test_forest(spark):
+    df = spark.createDataFrame([(i, float(i % 10), float(i % 7), float(i % 10 > 4)) for i in range(300)], "k int, a double, b double, y double")
+    a, b = (mod.RandomForest(5, max_depth=3).fit(df, ["a", "b"], "y", "k") for _ in range(2))
+    assert [t.nodes for t in a.trees] == [t.nodes for t in b.trees] and a.score(df) > 0.6
+    weights = [r[0] for r in df.select(a.weight("k", 0)).collect()]
+    assert 0.8 < np.mean(weights) < 1.2 and max(weights) >= 3
+
+
+def test_neighbours_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), float(b), "uvw"[int(c)], float(c)) for i, (a, b, c) in enumerate(zip(rng.integers(0, 9, 200), rng.normal(0, 3, 200), rng.integers(0, 3, 200)))]
+    df = spark.createDataFrame(rows, "k long, a double, b double, name string, y double")
+    for task, label, metric in (("classification", "name", "euclidean"), ("regression", "y", "manhattan")):
+        small = mod.KNN(4, task, metric).fit(df.filter("k % 3 > 0"), ["a", "b"], label, "k")
+        want = {r.k: r.prediction for r in small.transform(df).collect()}
+        monkeypatch.setattr(mod.KNN, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(mod.KNN, "BLOCK_ROWS", 30)
+        large = mod.KNN(4, task, metric).fit(df.filter("k % 3 > 0"), ["a", "b"], label, "k")
+        assert not large.small and {r.k: r.prediction for r in large.transform(df).collect()} == pytest.approx(want) if task == "regression" else {r.k: r.prediction for r in large.transform(df).collect()} == want
+        monkeypatch.undo()
+
+
+def test_metrics_refuse_what_they_cannot_judge(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (0.0, 1.0)], "y double, p double")
+    assert E.evaluated(df, "y", "p", "accuracy") == 0.5
+    for bad in (df.limit(0), df.union(spark.createDataFrame([(None, 1.0)], "y double, p double")), df.union(spark.createDataFrame([(1.0, None)], "y double, p double"))):
+        with pytest.raises(ValueError):
+            E.evaluated(bad, "y", "p", "accuracy")
+    with pytest.raises(ValueError):
+        E.evaluated(df, "y", "p", "nonsense")
+    for y, p in (([1], [1, 2]), ([], []), ([[1]], [[1]])):
+        with pytest.raises(ValueError):
+            checked(y, p)
+    with pytest.raises(ValueError):
+        Search(Tree, {"max_depth": [1]}, "nonsense")
+
+
+@pytest.mark.parametrize("setting", [{"search_type": "bayes"}, {"cv": 1}, {"n_iter": 0}, {"time_budget": 0}])
+def test_orchestrator_config(setting):
+    with pytest.raises(ValueError):
+        OrchestratorConfig(**setting)
+
+
+def test_orchestrator(spark):
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 7 > 3)) for i in range(60)], "k int, a double, y double")
+    r = Orchestrator(OrchestratorConfig(cv=3)).run(df, ["a"], "y", "k", Tree, {"max_depth": [1, 3]})
+    assert r.best_score == 1.0 and r.n_candidates_evaluated == 2 and not r.warnings and "best_params" in r.to_json()
+    r = Orchestrator(OrchestratorConfig(cv=3)).run(df, ["a"], "y", "k", Tree, {"max_depth": [1], "broken": [1]})
+    assert "1 of 1" in r.warnings[0] and math.isnan(r.best_score)
+    r = Orchestrator(OrchestratorConfig("random", 2, 50, 0.001)).run(df, ["a"], "y", "k", Tree, {"max_depth": [1, 3]})
+    assert r.time_budget_hit and r.n_candidates_evaluated == 1 and "time budget" in r.warnings[0]
+
+
+def test_search_beyond_the_collected_matrix(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, float(a), float(b), float(a + 0.3 * b > 0)) for i, (a, b) in enumerate(rng.normal(0, 1, (90, 2)))]
+    df = spark.createDataFrame(rows, "k int, a double, b double, y double")
+    spaces = [(Tree, {"max_depth": [1, 2]}, "accuracy"), (NaiveBayes, {"smoothing": [1e-9]}, "accuracy"), (Neighbours, {"k": [3]}, "f1"), (Linear, {"lr": [0.1], "n_iter": [50]}, "r2")]
+    want = [Search(c, s, m, cv=2).fit(df, ["a", "b"], "y", "k").results for c, s, m in spaces]
+    monkeypatch.setattr(search_module, "MAX_CELLS", 10)
+    for (c, s, m), results in zip(spaces, want):
+        got = Search(c, s, m, cv=2).fit(df, ["a", "b"], "y", "k").results
+        assert [(r.params, pytest.approx(r.fold_scores)) for r in got] == [(r.params, r.fold_scores) for r in results]
+
+    class Own:
+        pass
+
+    with pytest.raises(ValueError):
+        Search(Own, {"x": [1]}).fit(df, ["a"], "y", "k")
+
+
+def test_autofit_beyond_the_collected_matrix(spark, monkeypatch):
+    monkeypatch.setattr(search_module, "MAX_CELLS", 10)
+    r = run_csv(spark, CSV, "Churn", AutoFitConfig(cv=2, n_iter=1, drop_ids=True, without=("RandomForest", "LogisticRegression"), time_budget=None))
+    assert {m["model"] for m in r.rankings} == {"DecisionTree", "GaussianNaiveBayes", "KNN"} and r.best_score == r.best_score
+    assert isinstance(r.model, mod.Estimator) and r.best_model == r.rankings[0]["model"]
+
+
+def test_autofit_without_any_model_is_an_error(spark):
+    with pytest.raises(RuntimeError):
+        run_csv(spark, CSV, "Churn", AutoFitConfig(cv=2, without=tuple(name for name, *_ in CANDIDATES["classification"])))
+
+
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ("a,b\nx\n1,2", False),  # the header is no line of its table
+        ("a,b\n1,2\n3,4", True),
+        ("a,b\n1,2", False),
+        ("a\n1\n2", False),
+        ('a,b\n"x, y",2\n3,4', True),
+        ("a,b\n1,2\n\n3,4\n5", True),
+    ],
+)
+def test_looks_like_csv(text, found):
+    assert csv_source.looks_like_csv(text) is found
+
+
+def test_tables_in_messages():
+    table = "a,b\n1,2\n3,4"
+    prose = "\n".join(["well, so", "it is, as I said, late, or not", "and, then, this", "yes, no, maybe, or, else", "ok, so it, is"])
+    assert csv_source.find_csv(f"{prose}\n\n{table}\n\nthanks") == table  # a longer run of prose before it
+    assert csv_source.find_csv(f"Look, here, please:\n{table}") == table
+    assert csv_source.find_csv("no table", {"x.csv": "not a table", "y.csv": table, "z.txt": "a,b"}) == table
+    assert csv_source.find_csv("no table", {"x.csv": "not a table"}) is None
+    assert csv_source.find_csv(f"{csv_source.FENCE}csv\n{table}\n{csv_source.FENCE}\nand x,y\n1,2\n2,3\n4,5") == table
+
+
+@pytest.mark.parametrize(
+    "message,target",
+    [
+        ("please predict Total Price", "Total Price"), ("predicting the 'churn'", "Churn"), ("target column: Age", "Age"), ("the target is `Age`", "Age"),
+        ("Forecast the Total", "Total"), ("label = Churn", "Churn"), ("I think **Age** matters, not Id", "Age"), ("use `Churn`, or Age", "Churn"),
+        ("what about Churn?", "Churn"), ("Age and Id", None), ("nothing", None), ("target = Id, predict Churn", "Churn"), ("Target: Age.\nId,Age,Churn\n1,2,3", "Age"),
+    ],
+)
+def test_targets_in_messages(message, target):
+    assert csv_source.find_target(message, ["Id", "Age", "Total Price", "Total", "Churn"]) == target
+
+
+def test_csv_files(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('a,b\n 1 ,"x, ""y"""\n2,\n')
+    assert sorted(map(tuple, csv_source.read_csv_file(spark, str(tmp_path / "x.csv")).collect())) == [("1", 'x, "y"'), ("2", None)]
+
+
+def test_settings_by_size(spark):
+    many, few = message_config(501), message_config(500)
+    assert (many.cv, many.n_iter, many.time_budget, many.fast, many.max_rows) == (2, 3, 30.0, True, None)
+    assert (few.cv, few.n_iter, few.fast) == (3, 8, False) and message_config(900, 500).max_rows == 500
+    assert [n for n, *_ in candidates("classification", True)] == ["DecisionTree", "RandomForest", "GaussianNaiveBayes", "LogisticRegression"]
+    assert dict((n, s) for n, _, s in candidates("regression", True))["RandomForest"]["n_trees"] == [5] and CANDIDATES["regression"][1][2]["n_trees"] != [5]
+    said = []
+    out = answer(spark, f"predict Churn\n\n{CSV}", config=AutoFitConfig(cv=2, n_iter=1, drop_ids=True, fast=True, without=("RandomForest",)), say=said.append)
+    assert out.startswith("## Best model") and "30 rows" in said[0] and "Id" in said[1] and "KNN" not in out.split("<details>")[0]
+
+
+def test_reports_escape_and_show(spark, tmp_path):
+    r = {"task": "regression", "target": "<b>", "metric": "neg_mse", "n_rows": 3, "n_features_in": 1, "n_features_out": 1, "best_model": "M", "best_score": -4.0, "best_params": {"a": 1}, "rankings": [{"model": "M", "score": -4.0}, {"model": "N", "score": float("nan")}], "feature_importances": [{"feature": "f&g", "importance": 0.5}], "warnings": ["w<1"], "elapsed_seconds": 0.1}
+    page = reports.page(r, "s.csv")
+    assert "&lt;b&gt;" in page and "f&amp;g" in page and "w&lt;1" in page and "2.0000" in page and "N/A" in page
+    assert "RMSE: 2.0000" in reports.summary(r) and "1. M: 2.0000" in reports.markdown(r) and '"target": "<b>"' in reports.to_json(r)
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from quarry.plans import autofit as plan
+
+    (tmp_path / "t.csv").write_text(CSV)
+    monkeypatch.setattr("sys.argv", ["autofit", str(tmp_path / "t.csv"), "Churn", str(tmp_path / "out.html")])
+    monkeypatch.setattr(plan, "CANDIDATES", {"classification": [c for c in CANDIDATES["classification"] if c[0] == "GaussianNaiveBayes"]})
+    plan.main()
+    assert "Best model: GaussianNaiveBayes" in capsys.readouterr().out and "<svg" in (tmp_path / "out.html").read_text()
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from quarry.streaming.storage import shared_folder
+
+    session = lambda master, named: N(conf=N(get=lambda k, d: named), sparkContext=N(master=master))
+    assert shared_folder(session("spark://x", "hdfs://y")) == "hdfs://y" and shared_folder(session("local[2]", None))
+    with pytest.raises(ValueError):
+        shared_folder(session("spark://x", None))
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.ORACLES) - SLOW))
 def test_sql_twin(spark, name):
     con = duckdb.connect()
