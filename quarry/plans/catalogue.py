@@ -531,6 +531,98 @@ def grid_search_knn(spark, sf):
     return rounded(spark.createDataFrame([(r.params["k"], r.mean_score, r.std_score) for r in s.results], "k int, mean_score double, std_score double"), 6)
 
 
+@query("orchestrator_report", f"WITH p AS {_FOLDED}, near AS (SELECT q.p_partkey, q.fold, q.y, tr.y AS label, row_number() OVER (PARTITION BY q.p_partkey ORDER BY {_DIST['euclidean']}, tr.p_partkey) AS r FROM p q, p tr WHERE q.fold <> tr.fold), scored AS ({_SCORED.format(k=3)} UNION ALL {_SCORED.format(k=7)}), m AS (SELECT k, avg(score) AS mean FROM scored GROUP BY k) SELECT arg_min(k, (-mean, k))::INT AS best_k, round(max(mean), 6) AS best_score, count(*)::BIGINT AS candidates FROM m")
+def orchestrator_report(spark, sf):
+    from quarry.operators.local_models import Neighbours
+    from quarry.operators.search import Orchestrator, OrchestratorConfig
+
+    r = Orchestrator(OrchestratorConfig(cv=3)).run(_part(spark, sf), ["a", "b"], "y", "p_partkey", Neighbours, {"k": [3, 7], "task": ["classification"]})
+    return spark.createDataFrame([(r.best_params["k"], round(r.best_score, 6), r.n_candidates_evaluated)], "best_k int, best_score double, candidates long")
+
+
+@query("search_grid", "SELECT a.v AS lr, b.v AS steps FROM (VALUES (0.001::DOUBLE), (0.01), (0.1)) a(v), (SELECT DISTINCT 100 * (c_nationkey % 3 + 1)::INT AS v FROM customer) b")
+def search_grid(spark, sf):
+    """Every combination of a fixed list and one read off a table."""
+    from quarry.operators.search import grid
+
+    steps = sorted(100 * (r[0] % 3 + 1) for r in t(spark, sf, "customer").select(F.col("c_nationkey") % 3).distinct().collect())
+    return spark.createDataFrame([(x["lr"], x["steps"]) for x in grid({"lr": [0.001, 0.01, 0.1], "steps": sorted(set(steps))})], "lr double, steps int")
+
+
+def _descent_sql(rate: str, steps: int) -> str:
+    return f"SELECT round(w, 6) AS weight, round(b, 6) AS bias FROM (WITH RECURSIVE d AS (SELECT l_quantity / 50.0::DOUBLE AS x, l_extendedprice / 100000.0::DOUBLE AS y FROM lineitem), m AS (SELECT count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM d), g AS (SELECT 0 AS t, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b UNION ALL SELECT t + 1, w - {rate} * 2 / n * (sxx * w + sx * b - sxy), b - {rate} * 2 / n * (sx * w + n * b - sy) FROM g, m WHERE t < {steps}) SELECT * FROM g WHERE t = {steps})"
+
+
+_RATES = {"time_decay": "(0.1::DOUBLE / (1 + 0.01 * t))", "step_decay": "(0.1::DOUBLE * power(0.5::DOUBLE, (1 + t) // 100))"}
+
+
+@query("linreg_schedules", " UNION ALL ".join(f"SELECT '{name}' AS schedule, * FROM ({_descent_sql(rate, 150)})" for name, rate in _RATES.items()))
+def linreg_schedules(spark, sf):
+    df = t(spark, sf, "lineitem").select((F.col("l_quantity") / 50.0).alias("x"), (F.col("l_extendedprice") / 100000.0).alias("y"))
+    fits = {name: mod.LinearRegression(0.1, 150, name, 0.01 if name == "time_decay" else 0.5).fit(df, ["x"], "y").get_params() for name in _RATES}
+    return spark.createDataFrame([(name, round(p["weights"][0], 6), round(p["bias"], 6)) for name, p in fits.items()], "schedule string, weight double, bias double")
+
+
+@query("linreg_score", f"SELECT round(1 - avg((y - (f.w * x + f.b)) * (y - (f.w * x + f.b))) / var_pop(y), 5) AS r2 FROM (SELECT l_quantity / 50.0::DOUBLE AS x, l_extendedprice / 100000.0::DOUBLE AS y FROM lineitem), (SELECT weight AS w, bias AS b FROM ({_descent_sql('0.1::DOUBLE', 100)})) f")
+def linreg_score(spark, sf):
+    df = t(spark, sf, "lineitem").select((F.col("l_quantity") / 50.0).alias("x"), (F.col("l_extendedprice") / 100000.0).alias("y"))
+    return spark.createDataFrame([(round(mod.LinearRegression(0.1, 100).fit(df, ["x"], "y").score(df), 5),)], "r2 double")
+
+
+@query("logreg_threshold", "WITH RECURSIVE d AS (SELECT doc_id, (doc_id % 17) / 17.0::DOUBLE AS x, quality::DOUBLE AS y FROM labels), g AS (SELECT 0 AS t, 0.0::DOUBLE AS w, 0.0::DOUBLE AS b UNION ALL SELECT t + 1, w - 0.5::DOUBLE * (SELECT avg((1 / (1 + exp(-(g.w * x + g.b))) - y) * x) FROM d), b - 0.5::DOUBLE * (SELECT avg(1 / (1 + exp(-(g.w * x + g.b))) - y) FROM d) FROM g WHERE t < 5) SELECT doc_id, round(p, 6) AS probability, (p >= 0.45)::INT::DOUBLE AS prediction FROM (SELECT doc_id, 1 / (1 + exp(-(g.w * x + g.b))) AS p FROM d, g WHERE t = 5)")
+def logreg_threshold(spark, sf):
+    df = t(spark, sf, "labels").select("doc_id", ((F.col("doc_id") % 17) / 17.0).alias("x"), F.col("quality").cast("double").alias("y"))
+    m = mod.LogisticRegression(0.5, 5, threshold=0.45).fit(df, ["x"], "y")
+    return m.transform(df).select("doc_id", F.round("probability", 6).alias("probability"), "prediction")
+
+
+@query("split_target", "SELECT 'features' AS part, count(*)::BIGINT AS n, min(o_orderkey) AS low FROM orders UNION ALL SELECT 'target', count(o_totalprice)::BIGINT, NULL FROM orders")
+def split_target(spark, sf):
+    x, y = P.split_target(t(spark, sf, "orders"), "o_totalprice")
+    return x.agg(F.lit("features").alias("part"), F.count("*").alias("n"), F.min("o_orderkey").alias("low")).union(y.agg(F.lit("target"), F.count("o_totalprice"), F.lit(None).cast("long")))
+
+
+_GONE = {c: f"count(*) FILTER ({c} IS NULL OR trim(lower({c}::VARCHAR)) IN ('', 'nan', 'none', 'null', 'na', 'n/a'))" for c in ("value", "kind", "flat")}
+
+
+@query("cleaner_warnings", f"WITH e AS (SELECT value, kind, 1.5::DOUBLE AS flat FROM {EVENTS}) " + " UNION ALL ".join([f"SELECT '''{c}'' has ' || n || ' missing values; they will be imputed' AS warning FROM (SELECT {g} AS n FROM e) WHERE n > 0" for c, g in _GONE.items()] + ["SELECT '''flat'' is constant; scaling sets it to one value' FROM (SELECT min(flat) AS a, max(flat) AS b FROM e) WHERE a = b"]))
+def cleaner_warnings(spark, sf):
+    df = gaps(spark, sf).select("value", "kind", F.lit(1.5).alias("flat"))
+    cleaner = P.Cleaner(P.CleanerConfig(encoder=None)).fit(df, {"value": "numerical", "kind": "categorical", "flat": "numerical"})
+    return spark.createDataFrame([(w,) for w in cleaner.report.warnings], "warning string")
+
+
+@query("inspector_capped", f"SELECT round(least(greatest(value, q1 - 0.2 * (q3 - q1)), q3 + 0.2 * (q3 - q1)), 4) AS value FROM {EVENTS}, (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM {EVENTS}) WHERE value IS NOT NULL")
+def inspector_capped(spark, sf):
+    report = pr.inspect(gaps(spark, sf).select("value"), pr.InspectorConfig(outlier_k=0.2, cap_outliers=True))
+    return rounded(report.capped.filter("value IS NOT NULL"))
+
+
+@query("message_table", "SELECT n_nationkey::VARCHAR AS id, n_name AS name, 'name' AS target FROM nation")
+def message_table(spark, sf):
+    """A table within a message, between prose with commas, and the column that the message asks for."""
+    from quarry.sources import csv_source
+
+    rows = t(spark, sf, "nation").orderBy("n_nationkey").collect()  # a catalogue of 25 rows
+    message = "Well, hello, there\n\nplease predict **name**:\n\n" + "\n".join(["id,name", *[f"{r.n_nationkey},{r.n_name}" for r in rows]]) + "\n\nthanks, or so"
+    df = csv_source.read_csv_text(spark, csv_source.find_csv(message))
+    return df.select("id", "name", F.lit(csv_source.find_target(message, ["id", "name"])).alias("target"))
+
+
+_FACTS = {"rows": "count(*)", "nations": "count(DISTINCT c_nationkey)", "keys": "max(c_custkey)"}
+
+
+@query("report_json", "SELECT '{' || chr(10) || " + " || ',' || chr(10) || ".join(f"'  \"{k}\": ' || {e}" for k, e in _FACTS.items()) + " || chr(10) || '}' AS json, format('{:.4f}', sqrt(avg(c_acctbal * c_acctbal))) AS rmse, replace('&' || min(c_name) || '<', '&', '&amp;') AS shown FROM customer")
+def report_json(spark, sf):
+    """Facts as JSON, a squared error as shown, and a name as a page shows it."""
+    import html
+
+    from quarry.sources import reports
+
+    r = t(spark, sf, "customer").agg(F.count("*").alias("rows"), F.count_distinct("c_nationkey").alias("nations"), F.max("c_custkey").alias("keys"), F.avg(F.col("c_acctbal") * F.col("c_acctbal")).alias("mse"), F.min("c_name").alias("name")).first()
+    return spark.createDataFrame([(reports.to_json({k: r[k] for k in _FACTS}), reports.shown_score(-r["mse"], "neg_mse"), html.escape(f"&{r['name']}<").replace("&lt;", "<"))], "json string, rmse string, shown string")
+
+
 @query("csv_ingest", "SELECT (row_number() OVER (ORDER BY n_nationkey) - 1)::BIGINT AS _row, n_nationkey::VARCHAR AS id, n_name AS name, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_regionkey || '.5' END AS score FROM nation")
 def csv_ingest(spark, sf):
     """The text of a small table: cells are trimmed, blanks are null."""
