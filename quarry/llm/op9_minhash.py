@@ -272,7 +272,7 @@ def fitting(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80, bins: int = BINS, rows: int = ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc, text_hash, n_shingles, root (of the component; null for the empty set) and component_id of each row."""
+    """doc, text_hash, n_shingles and ``best`` of each row: the doc and text_hash of its component's smallest row (null for the empty set)."""
     all_ = checkpoint(sketch(docs, width, bins, rows, text, key))
     full = all_.filter("n_shingles > 0")
     first = F.struct(F.col("doc").isNull().alias("none"), "doc", "text_hash")
@@ -303,15 +303,17 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, bins: int = BINS,
     more = checkpoint(within_buckets(checkpoint(placed.join(split, "bucket")), grams, percent))
     if more.limit(1).count():
         roots = checkpoint(components(members, links.union(more)))
-    known = classes.select(*same, F.col("first.doc").alias("own"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = known.groupBy("root").agg(F.min("own").alias("least"))
-    out = all_.join(known.join(least, "root").select(*same, "root", "least"), same, "left")
-    return out.select("doc", "text_hash", "n_shingles", "root", F.when(F.col("root").isNull(), F.col("doc")).otherwise(F.col("least")).alias("component_id"))
+    known = classes.select(*same, "first", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Most classes are components of their own; the smallest row of the others travels to their classes.
+    several = checkpoint(known.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("classes")).filter("classes > 1").select("root", "best"))
+    known = known.join(small_side(several, several.count(), 64), "root", "left").select(*same, F.coalesce("best", "first").alias("best"))
+    return all_.join(known, same, "left").select("doc", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("best")).alias("best"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: int = BINS, rows: int = ROWS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles and component_id (smallest key reachable) of each row."""
-    return groups(docs, width, percent, bins, rows, text, key).select(F.col("doc").alias(key), "n_shingles", "component_id")
+    out = groups(docs, width, percent, bins, rows, text, key)
+    return out.select(F.col("doc").alias(key), "n_shingles", F.when(F.col("best").isNull(), F.col("doc")).otherwise(F.col("best.doc")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -319,17 +321,18 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "te
 
     The row with the smallest key stays (among equal keys: the smallest text hash).
     """
-    rows = groups(docs, width, percent, text=text, key=key).filter("root IS NOT NULL")
-    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "text_hash")
-    rows = checkpoint(rows.groupBy("root", "doc", "text_hash").agg(F.count("*").alias("n"), F.first(place).alias("place")))
-    best = rows.groupBy("root").agg(F.min("place").alias("best"))
-    marked = rows.join(best, "root").select("doc", "text_hash", "n", (F.col("place") == F.col("best")).alias("stays"))
-    marked = checkpoint(marked.filter("NOT stays OR n > 1"))
+    rows = groups(docs, width, percent, text=text, key=key).filter("best IS NOT NULL")
+    stays = F.col("doc").eqNullSafe(F.col("best.doc")) & (F.col("text_hash") == F.col("best.text_hash"))
+    marked = rows.groupBy("doc", "text_hash", stays.alias("stays")).agg(F.count("*").alias("n"))
+    marked = checkpoint(marked.filter("NOT stays OR n > 1").select("doc", "text_hash", "stays"))  # rows that go, and rows that stay but have copies with the same id
     hash_ = F.xxhash64(F.col(f"`{text}`"))
     match = lambda d, m: d[key].eqNullSafe(m["doc"]) & (hash_ == m["text_hash"])
-    out = docs.join(marked, match(docs, marked), "left_anti")
-    again = marked.filter("stays").select("doc", "text_hash")  # rows that stay and have copies with the same id
-    if again.limit(1).count():
+    side = small_side(marked, marked.count(), 64)
+    out = docs.join(side, match(docs, side), "left_anti")
+    again = marked.filter("stays").select("doc", "text_hash")
+    count = again.count()
+    if count:
+        again = small_side(again, count, 64)
         twins = docs.join(again, match(docs, again), "left_semi").withColumn(name := unused("hash", docs.columns), hash_)
         out = out.unionByName(twins.dropDuplicates([key, name]).drop(name))
     return out
