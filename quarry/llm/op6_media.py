@@ -42,6 +42,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.llm.common import prepare, schema_of, slices, table
 
 UNIT, RESTART, MOST_ROWS, TENSORS = 576, 8, 4095, 64
+#: Bytes of payload that are written or read together.
+TOGETHER = 2 << 20
 TAG = b"PAYLOAD\x00"
 #: (components, first and last coefficient, high and low bit position)
 SCANS = [((0, 1, 2), 0, 0, 0, 1), *(((c,), 1, 5, 0, 1) for c in range(3)), *(((c,), 6, 63, 0, 0) for c in range(3)), *(((c,), 1, 5, 1, 0) for c in range(3)), ((0, 1, 2), 0, 0, 1, 0)]
@@ -525,13 +527,21 @@ def images(heads: list[File], coef: np.ndarray, base: np.ndarray) -> Iterator[np
         stop = k + 1
         while stop < len(heads) and heads[stop].quant == heads[k].quant and base[stop + 1] - base[k] <= 6 * 2048:
             stop += 1
-        blocks = macroblocks(coef[base[k] : base[stop]], heads[k].quant) if base[stop] - base[k] <= 6 * 2048 else np.concatenate([macroblocks(coef[a : min(a + 6 * 2048, base[stop])], heads[k].quant) for a in range(base[k], base[stop], 6 * 2048)])
+        parts = [macroblocks(coef[a : min(a + 6 * 2048, base[stop])], heads[k].quant) for a in range(base[k], base[stop], 6 * 2048)]
+        blocks = parts[0] if len(parts) == 1 else np.concatenate(parts)
         for h, a, b in zip(heads[k:stop], (base[k:stop] - base[k]) // 6, (base[k + 1 : stop + 1] - base[k]) // 6):
             tiles = blocks[a:b].reshape(h.high, h.wide, 16, 16, 3).transpose(0, 2, 1, 3, 4)
             yield tiles.reshape(16 * h.high, 16 * h.wide, 3)[: h.size[0], : h.size[1]]
         k = stop
 
 
+def mean_colour(image: np.ndarray) -> list[float]:
+    """Mean of each channel of a tensor."""
+    wide = 48 if image.shape[1] % 16 == 0 else 3  # sums along longer rows are faster
+    total = np.add.reduce(image.reshape(-1, wide), axis=0, dtype=np.int64).reshape(-1, 3).sum(axis=0)
+    return (total / (image.shape[0] * image.shape[1])).tolist()
+
+
 def tensor(head: File, coef: np.ndarray) -> np.ndarray:
     """Full-resolution RGB image, height x width x 3."""
     return next(images([head], coef, np.array([0, len(coef)])))
@@ -553,7 +563,7 @@ def store(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in slices(batch, text, 1 << 20):
+            for part, data, offsets in slices(batch, text, TOGETHER):
                 raw = data.tobytes()
                 texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(list(map(len, texts)), pa.int64()), pa.array(encode([pad(t) for t in texts]), pa.binary())], names=[*keep, "n_bytes", "media"])
@@ -586,15 +596,15 @@ def digests(media: DataFrame, keep: list[str]) -> DataFrame:
         for batch in batches:
             sizes = batch.column("n_bytes").to_numpy()
             cut, k = [0], 0
-            while k < len(sizes):  # files of about a megabyte of payload are read together
-                k = max(k + 1, int(np.searchsorted(np.cumsum(sizes[k:] + UNIT), 1 << 20)) + k)
+            while k < len(sizes):  # files of about as much payload are read together
+                k = max(k + 1, int(np.searchsorted(np.cumsum(sizes[k:] + UNIT), TOGETHER)) + k)
                 cut.append(min(k, len(sizes)))
             for a, b in zip(cut[:-1], cut[1:]):
                 part = batch.slice(a, b - a)
                 files = part.column("media").to_pylist()
                 heads, coef, base = read(files)
                 back = [payload(h, coef[i:j]) for h, i, j in zip(heads, base[:-1].tolist(), base[1:].tolist())]
-                feature = ["%dx%d:%s" % (*i.shape[:2], ",".join("%.3f" % v for v in i.reshape(-1, 3).mean(axis=0, dtype=np.float64))) for i in images(heads, coef, base)]
+                feature = ["%dx%d:%s" % (*i.shape[:2], ",".join("%.3f" % v for v in mean_colour(i))) for i in images(heads, coef, base)]
                 cols = [part.column("n_bytes"), pa.array(list(map(len, back)), pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in back]), pa.array([zlib.crc32(p[-32:]) for p in back], pa.int64()), pa.array(list(map(len, files)), pa.int64()), pa.array([hashlib.sha256(f).hexdigest() for f in files]), pa.array(feature)]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *cols], names=[*keep, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
