@@ -64,6 +64,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named or f"{tempfile.gettempdir()}/checkpoints"
 
 
+def settled(df: DataFrame, rows: int = 50_000) -> tuple[DataFrame, int]:
+    """A checkpoint and its number of rows, read back by a task for every so many rows: few rows don't go on as many files."""
+    out = checkpoint(df)
+    n = out.count()
+    return out.coalesce(max(1, -(-n // rows))), n
+
+
 def unused(name: str, columns: list[str]) -> str:
     """The name, with underscores appended until no column has it (whatever the case)."""
     taken = {c.lower() for c in columns}

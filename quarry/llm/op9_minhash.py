@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import checkpoint, find_words, hash_words, lower_ascii, mix, prepare, rolling, row_of, schema_of, slices, small_side, table, unused
+from quarry.llm.common import checkpoint, find_words, hash_words, lower_ascii, mix, prepare, rolling, row_of, schema_of, settled, slices, small_side, table, unused
 
 BINS, ROWS = 128, 4
 #: Members of a bucket compared at once; rows of a group that buckets are dealt into, and the least number of groups.
@@ -189,11 +189,11 @@ def within_buckets(placed: DataFrame, grams: DataFrame, percent: int) -> DataFra
     large = F.col("g") >= BLOCK
     dealt = placed.join(sizes, ["bucket", "root"]).join(pool, "bucket")
     part = F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("g") / BLOCK))).otherwise(F.pmod(F.xxhash64("root"), F.ceil(F.col("pool") / BLOCK)))
-    dealt = checkpoint(dealt.select("bucket", "node", "n", "root", F.when(large, F.col("root")).otherwise(F.lit(-1)).alias("kin"), part.cast("int").alias("part")))
+    dealt, _ = settled(dealt.select("bucket", "node", "n", "root", F.when(large, F.col("root")).otherwise(F.lit(-1)).alias("kin"), part.cast("int").alias("part")))
     chunks = dealt.select("bucket", "kin", "part").distinct()
     other = chunks.select("bucket", F.col("kin").alias("kin2"), F.col("part").alias("part2"))
     meets = (F.col("kin") != F.col("kin2")) | (F.col("kin") == -1)
-    cells = checkpoint(chunks.join(other, "bucket").filter(meets))  # each pair in both directions
+    cells, _ = settled(chunks.join(other, "bucket").filter(meets))  # each pair in both directions
     low, mine = F.struct(F.col("kin2").alias("kin"), F.col("part2").alias("part")), F.struct("kin", "part")
     dealt = dealt.join(cells, ["bucket", "kin", "part"]).select("bucket", "node", "n", "root", F.least(low, mine).alias("i"), F.greatest(low, mine).alias("j"), (mine <= low).alias("mine"))
     groups = max(MIN_GROUPS, -(-dealt.count() // GROUP_ROWS))
@@ -245,25 +245,30 @@ def _alike(flat: np.ndarray, bounds: np.ndarray, own: np.ndarray, n: np.ndarray,
     return np.nonzero(np.triu(good, 1))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node and root, the smallest node reachable over edges (a, b).
+def components(edges: DataFrame) -> DataFrame:
+    """node and root, the smallest node reachable over edges (a, b), of nodes that have an edge.
 
     Hash-to-min with shortcuts: each round a node takes the smallest root next
-    to it, then its root's root. Only nodes that have an edge move at all.
+    to it, then its root's root. Labels are broadcast while they are few.
     """
-    both = checkpoint(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
+    both, _ = settled(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label, n = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
     while True:
-        near = both.join(label.select(F.col("node").alias("b"), F.col("root").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+        roots = small_side(label, n, 64)
+        near = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         # The smallest label near a node is also offered to the node's present root.
-        offers = near.join(label, "node").select("node", "root", F.least("near", "root").alias("to"))
-        moved = offers.select("node", "to").union(offers.filter("to < root").select(F.col("root").alias("node"), "to")).groupBy("node").agg(F.min("to").alias("to"))
-        jump = label.select(F.col("node").alias("to"), F.col("root").alias("next"))
-        new = checkpoint(moved.join(jump, "to", "left").join(label, "node").select("node", F.least("to", "next").alias("root"), (F.least("to", "next") != F.col("root")).alias("moved")))
+        offers = near.join(roots, "node").select("node", "root", F.least("near", "root").alias("to"))
+        moved = offers.select(F.explode(F.array(F.struct("node", "to"), F.struct(F.col("root").alias("node"), "to"))).alias("o")).groupBy(F.col("o.node").alias("node")).agg(F.min("o.to").alias("to"))
+        jump = roots.select(F.col("node").alias("to"), F.col("root").alias("next"))
+        new, n = settled(moved.join(jump, "to", "left").join(roots, "node").select("node", F.least("to", "next").alias("root"), (F.least("to", "next") != F.col("root")).alias("moved")))
         label = new.select("node", "root")
         if not new.filter("moved").limit(1).count():
-            break
-    return nodes.join(label, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+            return label
+
+
+def rooted(nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """node and root of all nodes; one without an edge is its own root."""
+    return settled(nodes.join(label, "node", "left").select("node", F.coalesce("root", "node").alias("root")))[0]
 
 
 def fitting(pairs: DataFrame, percent: int) -> DataFrame:
@@ -278,7 +283,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, bins: int = BINS,
     first = F.struct(F.col("doc").isNull().alias("none"), "doc", "text_hash")
     same = ["set_a", "set_b", "n_shingles"]
     # Numbers are unique within the checkpoint, and nothing else is asked of them.
-    classes = checkpoint(full.groupBy(*same).agg(F.min(first).alias("first"), F.min_by("bands", first).alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    classes, _ = settled(full.groupBy(*same).agg(F.min(first).alias("first"), F.min_by("bands", first).alias("bands")).withColumn("node", F.monotonically_increasing_id()), 10_000)
     entries = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     crowd = entries.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
     entries = entries.join(crowd, "bucket")
@@ -287,26 +292,28 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80, bins: int = BINS,
     entries = checkpoint(entries.join(popular, "node").select("bucket", "node", "n", (-F.col("degree")).alias("place")))
     centre = entries.groupBy("bucket").agg(F.min(F.struct("place", "node", "n")).alias("c")).select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("n_a"))
     stars = entries.join(centre, "bucket").filter("node <> a").select("a", "n_a", F.col("node").alias("b"), F.col("n").alias("n_b"))
-    stars = checkpoint(fitting(stars, percent))
-    members = checkpoint(entries.select("node").distinct().join(classes.select("node", *same, F.col("first.doc").alias("rep"), F.col("first.text_hash").alias("rep_hash")), "node"))
+    stars, _ = settled(fitting(stars, percent))
+    members, count = settled(entries.select("node").distinct().join(classes.select("node", *same, F.col("first.doc").alias("rep"), F.col("first.text_hash").alias("rep_hash")), "node"))
     # A row of each class is read again for its set: the rows with the id and text of its first one.
     reps = members.select("rep", "rep_hash").distinct()
     texts = named(docs, text, key)
-    chosen = texts.join(small_side(reps, members.count(), 64), texts["doc"].eqNullSafe(reps["rep"]) & (texts["text_hash"] == reps["rep_hash"]), "left_semi")
-    grams = checkpoint(sets(chosen, width).join(members.select("node", *same), same).select("node", "grams").dropDuplicates(["node"]))
-    members = members.select("node")
+    chosen = texts.join(small_side(reps, count, 64), texts["doc"].eqNullSafe(reps["rep"]) & (texts["text_hash"] == reps["rep_hash"]), "left_semi")
+    grams, _ = settled(sets(chosen, width).join(members.select("node", *same), same).select("node", "grams").dropDuplicates(["node"]), 5_000)
     links = checkpoint(confirm(stars, grams, percent))
-    roots = checkpoint(components(members, links))
+    roots = rooted(members.select("node"), components(links))
     # Members of a bucket that the stars left in different components are compared within the bucket.
     placed = entries.select("bucket", "node", "n").join(roots, "node")
     split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
-    more = checkpoint(within_buckets(checkpoint(placed.join(split, "bucket")), grams, percent))
-    if more.limit(1).count():
-        roots = checkpoint(components(members, links.union(more)))
+    more, found = settled(within_buckets(settled(placed.join(split, "bucket"))[0], grams, percent))
+    if found:  # links between components: these are the nodes of a smaller graph
+        name = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+        between = more.join(name("a"), "a").join(name("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).filter("a <> b")
+        higher = components(between).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        roots = roots.join(higher, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     known = classes.select(*same, "first", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Most classes are components of their own; the smallest row of the others travels to their classes.
-    several = checkpoint(known.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("classes")).filter("classes > 1").select("root", "best"))
-    known = known.join(small_side(several, several.count(), 64), "root", "left").select(*same, F.coalesce("best", "first").alias("best"))
+    several, count = settled(known.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("classes")).filter("classes > 1").select("root", "best"))
+    known = known.join(small_side(several, count, 64), "root", "left").select(*same, F.coalesce("best", "first").alias("best"))
     return all_.join(known, same, "left").select("doc", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("best")).alias("best"))
 
 
@@ -324,10 +331,10 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "te
     rows = groups(docs, width, percent, text=text, key=key).filter("best IS NOT NULL")
     stays = F.col("doc").eqNullSafe(F.col("best.doc")) & (F.col("text_hash") == F.col("best.text_hash"))
     marked = rows.groupBy("doc", "text_hash", stays.alias("stays")).agg(F.count("*").alias("n"))
-    marked = checkpoint(marked.filter("NOT stays OR n > 1").select("doc", "text_hash", "stays"))  # rows that go, and rows that stay but have copies with the same id
+    marked, count = settled(marked.filter("NOT stays OR n > 1").select("doc", "text_hash", "stays"))  # rows that go, and rows that stay but have copies with the same id
     hash_ = F.xxhash64(F.col(f"`{text}`"))
     match = lambda d, m: d[key].eqNullSafe(m["doc"]) & (hash_ == m["text_hash"])
-    side = small_side(marked, marked.count(), 64)
+    side = small_side(marked, count, 64)
     out = docs.join(side, match(docs, side), "left_anti")
     again = marked.filter("stays").select("doc", "text_hash")
     count = again.count()
