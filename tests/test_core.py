@@ -471,6 +471,22 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert "Best model: GaussianNaiveBayes" in capsys.readouterr().out and "<svg" in (tmp_path / "out.html").read_text()
 
 
+def test_fitted_steps_on_a_stream(spark, tmp_path):
+    from quarry.streaming.apply import profile_stream, transform_stream
+
+    df = spark.createDataFrame([(float(i), "ab"[i % 2]) for i in range(20)], "x double, c string")
+    df.repartition(2).write.parquet(str(tmp_path / "in"))
+    kinds = {"x": "numerical", "c": "categorical"}
+    steps = [P.StandardScaler().fit(df, kinds), P.LabelEncoder().fit(df, kinds)]
+    want = df
+    for step in steps:
+        want = step.transform(want)
+    got = []
+    stream = transform_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), *steps)
+    profile_stream(stream, lambda batch, i: got.extend(map(tuple, batch.collect())), str(tmp_path / "check")).awaitTermination(120)
+    assert sorted(got) == sorted(map(tuple, want.collect()))
+
+
 def test_shared_folder_must_be_named_on_a_cluster():
     from types import SimpleNamespace as N
 
