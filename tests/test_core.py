@@ -12,6 +12,7 @@ from quarry.functions import stats as S
 from quarry.functions import values as V
 from quarry.operators import evaluate as E
 from quarry.operators import models as mod
+from quarry.operators import neighbours
 from quarry.operators import prepare as P
 from quarry.operators import profile as pr
 from quarry.operators import search as search_module
@@ -340,6 +341,35 @@ def test_neighbours_by_blocks(spark, monkeypatch):
         monkeypatch.undo()
 
 
+@pytest.mark.parametrize("task,metric", [("classification", "euclidean"), ("classification", "manhattan"), ("regression", "euclidean")])
+def test_each_row_from_others_by_regions(spark, monkeypatch, task, metric):
+    rng = np.random.default_rng(4)
+    x = np.concatenate((rng.integers(0, 6, (150, 2)), np.full((40, 2), 3.0), rng.normal(20, 5, (110, 2))))  # ties, copies, and apart from them others
+    y = rng.integers(0, 3, 300).astype(float)
+    monkeypatch.setattr(mod.KNN, "BLOCK_ROWS", 25)
+    df = spark.createDataFrame([(i, *map(float, p), float(c)) for i, (p, c) in enumerate(zip(x, y))], "k long, a double, b double, y double")
+    got = {r.k: r.prediction for r in mod.KNN(4, task, metric).fit(df, ["a", "b"], "y", "k").leave_one_out().collect()}
+    d = neighbours.distances(x, x, metric)
+    np.fill_diagonal(d, np.inf)
+    near = y[np.argsort(d, axis=1, kind="stable")[:, :4]].tolist()
+    assert got == {i: (sum(v) / 4 if task == "regression" else min(v, key=lambda c: (-v.count(c), c))) for i, v in enumerate(near)}
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_neighbours_without_all_pairs(monkeypatch, metric):
+    rng = np.random.default_rng(6)
+    x, q = np.round(rng.uniform(0, 30, (20_000, 2)), 1), np.round(rng.uniform(0, 30, (5000, 2)), 1)
+    x[:2000], q[0] = x[0], np.nan
+    y, cells, plain = np.arange(20_000) % 5 * 1.0, [], neighbours.distances
+    monkeypatch.setattr(neighbours, "distances", lambda a, b, m: cells.append(len(a) * len(b)) or plain(a, b, m))
+    model = Neighbours(7, "regression", metric)
+    model.fit(x, y)
+    got = model.predict(q)
+    assert sum(cells) < len(x) * len(q) / 10  # each pair before
+    some = np.arange(0, 5000, 10)
+    assert got[some].tolist() == y[np.argsort(plain(q[some], x, metric), axis=1, kind="stable")[:, :7]].mean(axis=1).tolist()
+
+
 def test_metrics_refuse_what_they_cannot_judge(spark):
     df = spark.createDataFrame([(1.0, 1.0), (0.0, 1.0)], "y double, p double")
     assert E.evaluated(df, "y", "p", "accuracy") == 0.5
