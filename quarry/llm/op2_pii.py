@@ -199,26 +199,32 @@ class Tagger:
         out = np.empty((steps, len(TAGS), n), np.float32)
         out[:] = self.p["c"][None, :, None]
         for d, weights in (("f", self.p["V"][:h]), ("b", self.p["V"][h:])):
-            table_, recur = (self.p["X" + d] + self.p["b" + d]) * sign, np.ascontiguousarray((self.p["H" + d] * sign).T)
-            steep = float(np.abs(table_).max() + np.abs(recur).sum(axis=1).max()) > 80
+            table_, recur = (self.p["X" + d] + self.p["b" + d]) * sign, np.ascontiguousarray(self.p["H" + d] * sign)
+            steep = float(np.abs(table_).max() + np.abs(recur).sum(axis=0).max()) > 80
             states, cell = np.empty((steps, h, n), np.float32), np.zeros((h, n), np.float32)
-            state, z, picked, new = np.zeros((h, n), np.float32), np.empty((4 * h, n), np.float32), np.empty((n, 4 * h), np.float32), np.empty((h, n), np.float32)
+            state, z, row, picked, new = np.zeros((h, n), np.float32), np.empty((4 * h, n), np.float32), np.empty((n, 4 * h), np.float32), np.empty((n, 4 * h), np.float32), np.empty((h, n), np.float32)
             for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                np.matmul(recur, state, out=z)
-                np.take(table_, xt[t], axis=0, out=picked, mode="clip")
-                z += picked.T
+                np.matmul(state.T, recur, out=row)
+                table_.take(xt[t], axis=0, out=picked, mode="clip")
+                row += picked
+                z[:] = row.T
                 if steep:  # exp must stay finite
                     np.minimum(z, 80, out=z)
                 np.exp(z, out=z)
                 z += 1
-                np.reciprocal(z, out=z)
+                np.divide(1, z, out=z)
                 np.multiply(z[3 * h :], 2, out=new)
                 new -= 1
                 new *= z[:h]
                 cell *= z[h : 2 * h]
                 cell += new
                 state = states[t]
-                np.tanh(cell, out=state)
+                np.multiply(cell, -2, out=new)
+                np.minimum(new, 80, out=new)
+                np.exp(new, out=new)
+                new += 1
+                np.divide(2, new, out=state)
+                state -= 1
                 state *= z[2 * h : 3 * h]
             out += weights.T @ states
         return out
@@ -366,17 +372,24 @@ def emitted(model: Tagger, texts: list[np.ndarray], count: np.ndarray, base: np.
         flat[b : b + len(t)] = t
     out = np.zeros((len(TAGS), total), np.float32)
     place = np.arange(WINDOW)
-    for parity in (0, 1):  # every second window of a text: none of them overlap
-        chosen = np.flatnonzero(turn % 2 == parity)
-        for k in range(0, len(chosen), LANES):
-            own = chosen[k : k + LANES]
+    # Equal windows are read once.
+    seen: dict[bytes, int] = {}
+    same = flat.astype(np.uint8)[start[:, None] + place].tobytes()
+    one = np.array([seen.setdefault(same[k : k + WINDOW], len(seen)) for k in range(0, len(same), WINDOW)])
+    order = np.argsort(one, kind="stable")
+    cut = np.searchsorted(one[order], np.arange(len(seen) + 1))
+    for k in range(0, len(seen), LANES):
+        stop = min(k + LANES, len(seen))
+        e = model.emissions(flat[start[order[cut[k:stop]], None] + place])
+        every = order[cut[k] : cut[stop]]
+        for parity in (0, 1):  # every second window of a text: none of them overlap
+            own = every[turn[every] % 2 == parity]
             at = start[own, None] + place
             weight = np.broadcast_to(_RAMP, at.shape).copy()
             weight[turn[own] == 0, : WINDOW - STRIDE] = 1
             weight[turn[own] == count[of[own]] - 1, STRIDE:] = 1
-            e = model.emissions(flat[at])
             for tag in range(len(TAGS)):
-                out[tag, at] += e[:, tag].T * weight
+                out[tag, at] += e[:, tag, one[own] - k].T * weight
     return out
 
 
@@ -423,7 +436,7 @@ def viterbi(e: np.ndarray, a: np.ndarray, first: np.ndarray, end: np.ndarray) ->
     inside = np.zeros(n + 1, np.int8)
     np.add.at(inside, first, 1)
     np.add.at(inside, end, -1)
-    lead[np.cumsum(inside[:n]) == 0] = -1e6
+    lead[np.cumsum(inside[:n], dtype=np.int8) == 0] = -1e6
     total = np.concatenate(([0.0], np.cumsum(lead)))
     most = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1])  # of the runs around each character
     open_ = most + into + out_of - each > -1e-3

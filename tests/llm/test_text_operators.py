@@ -782,3 +782,14 @@ def test_pipeline_leaves_one_folder(spark, tmp_path):
     before = set(root.glob("pipeline-*"))
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert len(set(root.glob("pipeline-*")) - before) == 1
+
+
+def test_pii_equal_windows_are_read_once(monkeypatch):
+    model, read = o2.train(), []
+    plain = model.emissions
+    monkeypatch.setattr(model, "emissions", lambda x: read.append(len(x)) or plain(x))
+    text = 'the token = "0f3b9c2d4e5a6b7c8d9e0f1a2b3c4d5e" and words that follow it ' * 9
+    once = o2.find(model, [text])
+    one = sum(read)
+    read.clear()
+    assert o2.find(model, [text, "", text, text]) == [once[0], ([], []), once[0], once[0]] and sum(read) == one
