@@ -370,6 +370,21 @@ def test_neighbours_without_all_pairs(monkeypatch, metric):
     assert got[some].tolist() == y[np.argsort(plain(q[some], x, metric), axis=1, kind="stable")[:, :7]].mean(axis=1).tolist()
 
 
+def test_trees_grow_from_different_points(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.tile(rng.integers(0, 12, (60, 2)).astype(float), (50, 1))
+    y, sizes, plain = rng.integers(0, 3, len(x)).astype(float), [], Tree._grow
+    monkeypatch.setattr(Tree, "_grow", lambda self, x, t, depth: sizes.append((len(x), t.sum())) or plain(self, x, t, depth))
+    tree, forest = Tree(max_depth=None), Forest(n_trees=3)
+    tree.fit(x, y)
+    assert sizes[0][0] <= 60 and sizes[0][1] == len(x)  # each row was carried before
+    most = {tuple(p): np.bincount(y[(x == p).all(axis=1)].astype(int)).argmax() for p in x[:60]}
+    assert tree.predict(x).tolist() == [most[tuple(p)] for p in x]
+    sizes.clear()
+    forest.fit(x, y)
+    assert max(n for n, _ in sizes) <= 12 and max(w for _, w in sizes) == len(x)
+
+
 def test_metrics_refuse_what_they_cannot_judge(spark):
     df = spark.createDataFrame([(1.0, 1.0), (0.0, 1.0)], "y double, p double")
     assert E.evaluated(df, "y", "p", "accuracy") == 0.5
