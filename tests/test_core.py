@@ -355,6 +355,47 @@ def test_each_row_from_others_by_regions(spark, monkeypatch, task, metric):
     assert got == {i: (sum(v) / 4 if task == "regression" else min(v, key=lambda c: (-v.count(c), c))) for i, v in enumerate(near)}
 
 
+@pytest.mark.parametrize("task,label", [("classification", "text"), ("classification", "y"), ("regression", "y")])
+def test_each_row_from_others_without_a_shuffle(spark, monkeypatch, task, label):
+    rng = np.random.default_rng(11)
+    x = np.concatenate((rng.integers(0, 6, (150, 2)), np.full((40, 2), 3.0), rng.normal(20, 5, (110, 2))))
+    y = [None if i % 3 else int(c) for i, c in enumerate(rng.integers(0, 3, 300))]
+    rows = [(f"{i:03d}", i, *map(float, p), None if c is None else str(c), c) for i, (p, c) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "name string, k int, a double, b double, text string, y int").repartition(3)
+    d = neighbours.distances(x, x, "euclidean")
+    np.fill_diagonal(d, np.inf)
+    want = {}
+    for i, near in enumerate(np.argsort(d, axis=1, kind="stable")[:, :4].tolist()):
+        votes = [y[j] for j in near if y[j] is not None]
+        want[i] = (sum(votes) / len(votes) if task == "regression" else min(votes, key=lambda v: (-votes.count(v), v))) if votes else None
+    assert None in want.values()
+    monkeypatch.setattr(mod.KNN, "BLOCK_ROWS", 45)
+    for key in ("k", "name"):
+        out = mod.KNN(4, task).fit(df, ["a", "b"], label, key).leave_one_out()
+        assert not any(s in out._jdf.queryExecution().executedPlan().toString() for s in ("Exchange", "ExistingRDD"))  # rows went by regions before
+        assert {int(r[key]): r.prediction for r in out.collect()} == want
+        monkeypatch.setattr(mod.KNN, "BROADCAST_BYTES", 0)  # and by regions
+        assert {int(r[key]): r.prediction for r in mod.KNN(4, task).fit(df, ["a", "b"], label, key).leave_one_out().collect()} == want
+        monkeypatch.setattr(mod.KNN, "BROADCAST_BYTES", 64 << 20)
+    for odd in (df.union(df.filter("k = 5")), df.withColumn("a", F.expr("if(k = 5, null, a)")), df.withColumn("b", F.expr("if(k = 5, double('nan'), b)")), df.withColumn("k", F.expr("if(k = 5, null, k)"))):
+        with pytest.raises(ValueError):
+            mod.KNN(4, task).fit(odd, ["a", "b"], label, "k").leave_one_out()
+
+
+def test_points_that_lie_together_share_a_leaf(monkeypatch):
+    x = np.random.default_rng(12).uniform(0, 100, (30_000, 2))
+    calls, plain = [], neighbours.distances
+    found = neighbours.Others(x, "euclidean", 5)
+    monkeypatch.setattr(neighbours, "distances", lambda a, b, m: calls.append(len(a)) or plain(a, b, m))
+    rows, near = found.nearest(6000, 9000)
+    assert len(calls) <= 2 * 3000 / 25  # groups of 8 points before
+    monkeypatch.undo()
+    d = plain(x[rows[::50]], x, "euclidean")
+    d[np.arange(len(d)), rows[::50]] = np.inf
+    assert near[::50].tolist() == np.argsort(d, axis=1, kind="stable")[:, :5].tolist()
+    assert sorted(np.concatenate([found.nearest(a, a + 7500)[0] for a in range(0, 30_000, 7500)]).tolist()) == list(range(30_000))
+
+
 @pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
 def test_neighbours_without_all_pairs(monkeypatch, metric):
     rng = np.random.default_rng(6)
