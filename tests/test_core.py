@@ -382,6 +382,21 @@ def test_each_row_from_others_without_a_shuffle(spark, monkeypatch, task, label)
             mod.KNN(4, task).fit(odd, ["a", "b"], label, "k").leave_one_out()
 
 
+def test_regions_are_found_once(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    rows = [(i, float(a), None if i % 50 == 7 else float(b), None if i % 9 == 0 else int(c)) for i, (a, b, c) in enumerate(zip(rng.integers(0, 9, 400), rng.normal(0, 3, 400), rng.integers(0, 3, 400)))]
+    df = spark.createDataFrame(rows, "k long, a double, b double, y int")
+    train, asked = df.filter("k % 3 > 0 AND y IS NOT NULL"), df.filter("k % 3 = 0")
+    want = {r.k: r.prediction for r in mod.KNN(4).fit(train, ["a", "b"], "y", "k").transform(asked).collect()}
+    monkeypatch.setattr(mod.KNN, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(mod.KNN, "BLOCK_ROWS", 30)
+    assert {r.k: r.prediction for r in mod.KNN(4).fit(train, ["a", "b"], "y", "k").transform(asked).collect()} == want
+    model, kept, plain = mod.KNN(4).fit(df.filter("b IS NOT NULL"), ["a", "b"], "y", "k"), [], mod.checkpoint
+    monkeypatch.setattr(mod, "checkpoint", lambda d: kept.append(d._jdf.queryExecution().executedPlan().toString()) or plain(d))
+    assert model.leave_one_out().count() == model.n
+    assert "InMemoryTableScan" in kept[0] and kept[0].split("InMemoryRelation")[0].count("ArrowEvalPython") == 0  # regions were found again for each side before
+
+
 def test_points_that_lie_together_share_a_leaf(monkeypatch):
     x = np.random.default_rng(12).uniform(0, 100, (30_000, 2))
     calls, plain = [], neighbours.distances
