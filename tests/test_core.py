@@ -6,6 +6,7 @@ import math
 import duckdb
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from quarry.functions import stats as S
@@ -497,6 +498,101 @@ def test_autofit_beyond_the_collected_matrix(spark, monkeypatch):
     assert isinstance(r.model, mod.Estimator) and r.best_model == r.rankings[0]["model"]
 
 
+class Stub:
+    """Predicts 0; ``failing`` makes a ``fit_spark`` of it that fails once, at the given call."""
+
+    def transform(self, df):
+        return df.withColumn("prediction", F.lit(0.0))
+
+    @staticmethod
+    def failing(at, error):
+        calls = []
+
+        def fit(*_):
+            calls.append(1)
+            if len(calls) == at:
+                raise error
+            return Stub()
+
+        return fit
+
+
+def fussy(error):
+    """An estimator that predicts 0, and fails with ``error`` for x = 2 without row 0 or always for x = 3."""
+
+    class Fussy:
+        def __init__(self, x):
+            self.x = x
+
+        def fit(self, x, y):
+            if self.x == 3 or self.x == 2 and x.min() > 0:
+                raise error("no")
+
+        def predict(self, x):
+            return np.zeros(len(x)) if self.x else np.full(len(x), np.nan)
+
+    return Fussy
+
+
+def test_a_candidate_with_a_failed_fold_has_no_mean(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i), float(i >= 20)) for i in range(60)], "k int, a double, y double")
+    search = lambda xs, **o: Search(fussy(ValueError), {"x": xs}, cv=3, shuffle=False, **o)
+    s = search([2, 1]).fit(df, ["a"], "y", "k")  # row 0 is in the fold that 0 is right for
+    assert [r.params["x"] for r in s.results] == [1, 2] and s.best_score_ == pytest.approx(1 / 3) and not s.results[0].error
+    odd = s.results[1]
+    assert math.isnan(odd.mean_score) and math.isnan(odd.std_score) and odd.fold_scores[1:] == [0.0, 0.0] and odd.error == "ValueError: no"
+    with pytest.raises(RuntimeError, match="Fussy with {'x': 2}: ValueError: no"):
+        search([1, 2], strict=True).fit(df, ["a"], "y", "k")
+    with pytest.raises(RuntimeError, match="no number"):
+        Search(fussy(ValueError), {"x": [0]}, "neg_mse", cv=3, strict=True).fit(df, ["a"], "y", "k")
+    monkeypatch.setattr(search_module, "MAX_CELLS", 10)
+    monkeypatch.setattr(search_module, "fit_spark", Stub.failing(1, ValueError("no")))
+    s = Search(Tree, {"max_depth": [1, 2]}, cv=3, shuffle=False).fit(df, ["a"], "y", "k")
+    assert [r.params["max_depth"] for r in s.results] == [2, 1] and math.isnan(s.results[1].mean_score) and s.results[1].error == "ValueError: no"
+
+
+def test_what_is_no_candidates_error_ends_a_search(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i), float(i >= 20)) for i in range(60)], "k int, a double, y double")
+    s = Search(fussy(MemoryError), {"x": [1, 2]}, cv=3, shuffle=False)
+    with pytest.raises(Exception, match="MemoryError"):
+        s.fit(df, ["a"], "y", "k")
+    assert s.results is None
+    monkeypatch.setattr(search_module, "MAX_CELLS", 10)
+    lost = F.udf(lambda v: 1 / 0, "double")
+    monkeypatch.setattr(Stub, "transform", lambda self, df: df.withColumn("prediction", lost("a")))
+    monkeypatch.setattr(search_module, "fit_spark", lambda *_: Stub())
+    s = Search(Tree, {"max_depth": [1]}, cv=3).fit  # a job fails
+    with pytest.raises(PySparkException):
+        s(df, ["a"], "y", "k")
+
+
+def test_autofit_rankings_do_not_pass_over_a_failure(spark, tmp_path, monkeypatch):
+    rows = [(i, i % 25, float(i * 37 % 101), "AB"[i % 2]) for i in range(60)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    run = lambda: catalogue.QUERIES["autofit_rankings"](spark, str(tmp_path)).collect()
+    some = [("DecisionTree", Tree, {"max_depth": [1]}), ("Fussy", fussy(ValueError), {"x": [1, 3]})]
+    monkeypatch.setitem(CANDIDATES, "classification", some)
+    with pytest.raises(RuntimeError, match="Fussy with {'x': 3}: ValueError: no"):
+        run()
+    monkeypatch.setitem(CANDIDATES, "classification", [("DecisionTree", Tree, {"max_depth": [1, 2]})])
+    monkeypatch.setattr(search_module, "MAX_CELLS", 10)
+    for error in (ValueError("no"), PySparkException("no")):
+        monkeypatch.setattr(search_module, "fit_spark", Stub.failing(2, error))
+        with pytest.raises(Exception, match="ValueError: no$|^no$"):
+            run()
+
+
+def test_autofit_names_what_failed(spark, monkeypatch):
+    some = [("Fussy", fussy(ValueError), {"x": [1, 3]}), ("Odd", fussy(ValueError), {"x": []})]
+    monkeypatch.setitem(CANDIDATES, "classification", some)
+    r = run_csv(spark, CSV, "Churn", AutoFitConfig(cv=2, n_iter=None, drop_ids=True))
+    assert r.best_model == "Fussy" and [m["model"] for m in r.rankings] == ["Fussy", "Odd"] and math.isnan(r.rankings[1]["score"]) and r.rankings[1]["error"]
+    assert "Fussy: 1 of 2 candidates had errors; the first: ValueError: no" in r.warnings and any(w.startswith("Odd failed") for w in r.warnings)
+    monkeypatch.setitem(CANDIDATES, "classification", [("Fussy", fussy(ValueError), {"x": [3]})])
+    with pytest.raises(RuntimeError, match="no model could be fitted"):
+        run_csv(spark, CSV, "Churn", AutoFitConfig(cv=2, n_iter=None, drop_ids=True))
+
+
 def test_autofit_without_any_model_is_an_error(spark):
     with pytest.raises(RuntimeError):
         run_csv(spark, CSV, "Churn", AutoFitConfig(cv=2, without=tuple(name for name, *_ in CANDIDATES["classification"])))
