@@ -582,6 +582,14 @@ def test_autofit_rankings_do_not_pass_over_a_failure(spark, tmp_path, monkeypatc
             run()
 
 
+@pytest.mark.parametrize("error", [ValueError("no"), PySparkException("no")])
+def test_grid_search_knn_does_not_pass_over_a_failure(spark, monkeypatch, error):
+    monkeypatch.setattr(search_module, "MAX_CELLS", 10)
+    monkeypatch.setattr(search_module, "fit_spark", Stub.failing(2, error))
+    with pytest.raises(Exception, match="ValueError: no$|^no$"):
+        catalogue.QUERIES["grid_search_knn"](spark, SF).collect()
+
+
 def test_autofit_names_what_failed(spark, monkeypatch):
     some = [("Fussy", fussy(ValueError), {"x": [1, 3]}), ("Odd", fussy(ValueError), {"x": []})]
     monkeypatch.setitem(CANDIDATES, "classification", some)
